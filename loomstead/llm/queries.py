@@ -41,3 +41,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     drawn, plan, _ = compose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
     return shares(drawn, plan)
+
+
+@_query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each document in runs of 200 or more that stand in another document."""
+    from loomstead.llm.spans import shared_share
+
+    return shared_share(table(spark, sf_dir, "documents"))
