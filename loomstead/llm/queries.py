@@ -49,3 +49,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomstead.llm.spans import shared_share
 
     return shared_share(table(spark, sf_dir, "documents"))
+
+
+@_query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs in which one is among the other's five most similar vectors, from cosine 0.85."""
+    from loomstead.llm.neighbours import similar_pairs
+
+    pairs = similar_pairs(table(spark, sf_dir, "chunk_vectors"))
+    return pairs.selectExpr("a as chunk_pk_a", "b as chunk_pk_b")
