@@ -196,12 +196,12 @@ def _suffix_order(symbols: np.ndarray, kinds: int, longest: int) -> tuple[np.nda
     while True:
         order = np.argsort(key)
         ordered = key[order]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         levels.append((depth, rank))
         if depth >= longest or rank[order[-1]] == n - 1:
             return order, levels, unit
-        key = rank * (n + 1)
+        key = rank.astype(np.int64) * (n + 1)
         key[: n - depth] += rank[depth:] + 1
         depth *= 2
 
@@ -209,14 +209,16 @@ def _suffix_order(symbols: np.ndarray, kinds: int, longest: int) -> tuple[np.nda
 def _common_prefixes(symbols: np.ndarray, order: np.ndarray, levels: list[tuple[int, np.ndarray]], unit: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before in order; 0 at both ends."""
     n = len(symbols)
-    a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n - 1, np.int64)
+    a, b = order[:-1].astype(np.int32), order[1:].astype(np.int32)
+    common = np.zeros(n - 1, np.int32)
     for depth, rank in reversed(levels):
-        inside = np.maximum(a, b) < n
-        same = np.zeros(n - 1, bool)
-        same[inside] = rank[a[inside]] == rank[b[inside]]
-        step = same * depth
-        a, b, common = a + step, b + step, common + step
+        # Marks keep suffixes apart, so that neither place can pass the end while both agree.
+        step = (rank[a] == rank[b]) * np.int32(depth)
+        a += step
+        b += step
+        np.minimum(a, n - 1, out=a)
+        np.minimum(b, n - 1, out=b)
+        common += step
     todo = np.arange(n - 1)
     for _ in range(unit):
         todo = todo[np.maximum(a[todo], b[todo]) < n]

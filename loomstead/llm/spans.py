@@ -26,7 +26,7 @@ from loomstead.session import write_once
 #: Characters of a k-gram; the window then has need - GRAM + 1 of them.
 GRAM = 100
 #: Characters in an index; one index never holds more than this and one anchor's contexts.
-SHARD_CHARS = 1_500_000
+SHARD_CHARS = 800_000
 #: Anchors in more places than this are split into their single windows, equal ones of which are one row.
 HOT_PLACES = 4_000
 
@@ -90,7 +90,7 @@ def stretches(texts: list[str], need: int, gram: int) -> tuple[np.ndarray, ...]:
 def _anchors(documents: DataFrame, need: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _sliced(batch, "text", 4 << 20):
+            for part in _sliced(batch, "text", 256 << 10):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 owner, h, first, last = stretches(part.column("text").to_pylist(), need, gram)
                 columns = [pa.array(h), pa.array(ids[owner]), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
