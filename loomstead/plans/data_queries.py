@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.functions import timestamps as ts
-from loomstead.operators import timeline
+from loomstead.functions.text import WHITE_SPACE
+from loomstead.operators import incremental, timeline
 from loomstead.plans.registry import query
+from loomstead.session import shared_folder, write_once
 
 
 @query()
@@ -16,3 +20,33 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = timeline.session_records(spark, sf_dir)
     read = timeline.readings(rows, "raw", F.col("zone"), timeline.zone_abbreviations(spark, sf_dir))
     return timeline.settle(read, wanted=~F.col("raw").rlike(ts.CANONICAL))
+
+
+P5_SQL = r"""
+with docs as (
+  select row_id, lower(trim(source, {ws})) as source, trim(source_key, {ws}) as source_key, trim(text, {ws}) as body,
+         "timestamp" as ts, run_id from ingest_documents),
+last as (
+  select lower(trim(source, {ws})) as source, max(started_at) as last_start from scan_runs
+  where successful and watermark is not null group by 1),
+starts as (select run_id, max(started_at) as started from scan_runs where started_at is not null group by 1),
+latest as (
+  select d.*, row_number() over (partition by d.source, d.source_key order by d.ts desc nulls last, d.row_id desc) as n
+  from docs d join starts s using (run_id) left join last l on d.source = l.source
+  where l.last_start is null or s.started > l.last_start),
+stored as (
+  select lower(trim(source, {ws})) as source, trim(source_key, {ws}) as source_key,
+         regexp_replace(lower(trim(content_hash, {ws})), '^sha256:', '') as known from stored_documents)
+select v.row_id from latest v left join stored s on v.source = s.source and v.source_key = s.source_key
+where n = 1 and body is not null and body <> '' and sha256(body) is distinct from s.known
+""".replace("{ws}", "'" + WHITE_SPACE + "'")
+
+
+@query(P5_SQL)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents new or changed since their source's last successful run, and not held by the store already."""
+    state = incremental.stored_state(spark, sf_dir, f"{shared_folder(spark)}/state-{uuid.uuid4().hex}")
+    pending = write_once(incremental.pending_documents(spark, sf_dir, state), "pending")
+    # What was handed out is in force from now on.
+    state.swap(state.write(state.merged(pending)))
+    return pending.select("row_id")
