@@ -58,3 +58,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pairs = similar_pairs(table(spark, sf_dir, "chunk_vectors"))
     return pairs.selectExpr("a as chunk_pk_a", "b as chunk_pk_b")
+
+
+@_query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message rows of the kept conversations with their turns."""
+    from loomstead.llm.conversations import conversations
+
+    return conversations(spark, sf_dir)
