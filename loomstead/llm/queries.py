@@ -66,3 +66,56 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomstead.llm.conversations import conversations
 
     return conversations(spark, sf_dir)
+
+
+def split_documents(spark: SparkSession, sf_dir: str, limit: int = 1800, overlap: int = 200) -> DataFrame:
+    """Pieces of the ingested documents over the limit: (row_id, ordinal, breadcrumb, piece)."""
+    from pyspark.sql import functions as F
+
+    from loomstead.functions.text import strip, unix_lines
+    from loomstead.llm.splitting import has_headings, split_texts
+
+    docs = table(spark, sf_dir, "ingest_documents")
+    long = docs.where(F.length(strip(unix_lines(F.col("text")))) > limit)
+    marked = has_headings(F.col("source"), F.col("metadata"), F.col("title"))
+    return split_texts(long.select("row_id", "text", marked.alias("markdown")), limit, overlap)
+
+
+@_query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadcrumbs of the pieces of each document over the limit."""
+    return split_documents(spark, sf_dir).select("row_id", "breadcrumb").distinct()
+
+
+@_query
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each document over the limit."""
+    return split_documents(spark, sf_dir)
+
+
+def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families and clean text of the ingested documents and the messages: (tbl, row_id, families, clean)."""
+    from pyspark.sql import functions as F
+
+    from loomstead.llm.markup import clean_markup
+
+    host = F.nullif(F.regexp_extract(F.coalesce("uri", F.lit("")), r"^(?i)https?://([^/?#]+)", 1), F.lit(""))
+    docs = table(spark, sf_dir, "ingest_documents").select(F.lit("ingest_documents").alias("tbl"), "row_id", "text", host.alias("host"))
+    said = table(spark, sf_dir, "hermes_messages").select(
+        F.lit("hermes_messages").alias("tbl"), "row_id", F.col("content").alias("text"), F.lit(None).cast("string").alias("host")
+    )
+    return clean_markup(docs.unionByName(said))
+
+
+@_query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup families of each row."""
+    from pyspark.sql import functions as F
+
+    return cleaned_texts(spark, sf_dir).select("tbl", "row_id", F.explode("families").alias("family"))
+
+
+@_query
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without markup."""
+    return cleaned_texts(spark, sf_dir).select("tbl", "row_id", "clean")
