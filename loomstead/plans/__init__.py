@@ -1,4 +1,4 @@
 """Queries of the engine and the SQL they agree with."""
 
-from loomstead.plans import data_queries  # noqa: F401
+from loomstead.plans import data_queries, retrieval_queries  # noqa: F401
 from loomstead.plans.registry import ORACLE, QUERIES  # noqa: F401
