@@ -1,0 +1,70 @@
+"""Session files of agents, one JSON object on a line."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstead.functions.redact import spoken
+
+#: What records may hold; fields that a file lacks are null.
+_BLOCKS = "array<struct<type:string,text:string>>"
+RECORD = (
+    "struct<type:string,timestamp:string,sessionId:string,cwd:string,isSidechain:boolean,isMeta:boolean,"
+    "message:struct<role:string,timestamp:string,content:string>,"
+    f"payload:struct<type:string,role:string,id:string,cwd:string,message:string,content:{_BLOCKS}>,"
+    "params:struct<sessionId:string,update:struct<sessionUpdate:string,content:string>>,"
+    "id:string,messages:array<struct<role:string,content:string,timestamp:string>>>"
+)
+
+
+def read_lines(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """(file, raw, record, malformed) of all lines that aren't blank; a record that is no object is malformed and null.
+
+    Folders are read with all below them. Raises if none of the paths exists: an unavailable source is no empty one.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = [p for p in paths if (x := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(x)]
+    if not there:
+        raise FileNotFoundError(f"none of these exists: {paths}")
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(there)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).where(F.trim("raw") != "")
+    parsed = F.try_parse_json("raw")
+    is_object = parsed.isNotNull() & F.ltrim("raw").startswith("{")
+    return lines.select("file", "raw", F.when(is_object, F.from_json("raw", RECORD)).alias("record"), (~is_object).alias("malformed"))
+
+
+def scan_summary(lines: DataFrame) -> DataFrame:
+    """(file, scanned, malformed) of each file."""
+    return lines.groupBy("file").agg(F.count("*").alias("scanned"), F.count_if("malformed").alias("malformed"))
+
+
+def visible_text(content: Column) -> Column:
+    """Text of a content that is a string, or JSON blocks of which those of a text type count."""
+    blocks = F.from_json(content, _BLOCKS)
+    kept = F.filter(blocks, lambda b: b["type"].isin("text", "input_text", "output_text"))
+    joined = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return F.when(F.ltrim(content).startswith("["), F.coalesce(joined, F.lit(""))).otherwise(content)
+
+
+def agent_messages(lines: DataFrame) -> DataFrame:
+    """Messages of records with a message field: (file, session, role, text, ts); side chains and meta records are none."""
+    r = F.col("record")
+    role = F.lower(F.coalesce(r["message"]["role"], r["type"]))
+    shown = r["type"].isin("user", "assistant") & ~F.coalesce(r["isSidechain"], F.lit(False)) & ~F.coalesce(r["isMeta"], F.lit(False))
+    at = F.coalesce(r["timestamp"], r["message"]["timestamp"]).try_cast("timestamp")
+    made = lines.where(shown & role.isin("user", "assistant")).select(
+        "file", r["sessionId"].alias("session"), role.alias("role"), spoken(visible_text(r["message"]["content"])).alias("text"), at.alias("ts")
+    )
+    return made.where("text <> '' and ts is not null")
+
+
+def exported_messages(lines: DataFrame) -> DataFrame:
+    """Messages of exported sessions, one session on a line: (file, session, place, role, text, ts)."""
+    each = lines.where(F.col("record.id").isNotNull()).select(
+        "file", F.col("record.id").alias("session"), F.posexplode("record.messages").alias("place", "m")
+    )
+    made = each.select(
+        "file", "session", "place", F.lower("m.role").alias("role"), spoken(F.col("m.content")).alias("text"), F.col("m.timestamp").try_cast("timestamp").alias("ts")
+    )
+    return made.where("role in ('user', 'assistant') and text <> '' and ts is not null")
