@@ -73,7 +73,8 @@ def split_documents(spark: SparkSession, sf_dir: str, limit: int = 1800, overlap
     from pyspark.sql import functions as F
 
     from loomstead.functions.text import strip, unix_lines
-    from loomstead.llm.splitting import has_headings, split_texts
+    from loomstead.llm.splitting import split_texts
+    from loomstead.operators.headings import has_headings
 
     docs = table(spark, sf_dir, "ingest_documents")
     long = docs.where(F.length(strip(unix_lines(F.col("text")))) > limit)

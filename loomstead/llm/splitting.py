@@ -7,70 +7,17 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstead.functions.text import strip, unix_lines, word
+from loomstead.functions.text import strip, unix_lines
+from loomstead.operators.headings import sections
 
-#: Extensions of documents that have headings, the joint of a breadcrumb and its depth.
-MARKDOWN_EXTENSIONS = (".md", ".mdx", ".markdown")
-JOINT, DEPTH = " › ", 3
-_HASHES = re.compile(r"(#{1,6})\s+(\S.*)")
-_RULE = re.compile(r"\s*(=+|--+)\s*")
-_FENCE = re.compile(r"\s*(```|~~~)")
 #: Boundaries from the strongest on; each match ends where a cut may be.
 BOUNDARIES = [re.compile(p) for p in (r"\n[ \t]*\n\s*", r"\n\s*", r"[.!?…][\"')\]»”’]*\s+|[。！？][」』”’]*", r"[;:,、，；：]\s*", r"\s+")]
 
 
-def sections(text: str, markdown: bool) -> Iterator[tuple[str, str]]:
-    """(breadcrumb, body) of each section with a body that isn't blank; bodies without outer white space.
-
-    Without markdown the text is one section. Of nested headings the topmost DEPTH make the breadcrumb.
-    """
-    if not markdown:
-        if text.strip():
-            yield "", text.strip()
-        return
-    path: list[tuple[int, str]] = []
-    body: list[str] = []
-    fence = ""
-    lines = text.split("\n")
-    skip = False
-
-    def whole() -> tuple[str, str] | None:
-        said = "\n".join(body).strip()
-        body.clear()
-        return (JOINT.join(t for _, t in path[:DEPTH]), said) if said else None
-
-    for line, after in zip(lines, [*lines[1:], ""]):
-        if skip:
-            skip = False
-            continue
-        mark = _FENCE.match(line)
-        if mark:
-            if not fence:
-                fence = mark[1]
-            elif mark[1] == fence:
-                fence = ""
-        level, title = 0, ""
-        if not fence and not mark:
-            if hashes := _HASHES.fullmatch(line):
-                level, title = len(hashes[1]), hashes[2].rstrip().rstrip("#").strip()
-            elif line.strip() and line[0] not in "-*+>|" and (rule := _RULE.fullmatch(after)):
-                level, title, skip = (1 if rule[1][0] == "=" else 2), line.strip(), True
-        if not title:
-            body.append(line)
-            continue
-        if ended := whole():
-            yield ended
-        while path and path[-1][0] >= level:
-            path.pop()
-        path.append((level, title))
-    if ended := whole():
-        yield ended
-
-
 def _steady(text: str, at: int) -> int:
     """Not between a character and what modifies it."""
     for _ in range(32):
@@ -122,13 +69,6 @@ def pieces(text: str, markdown: bool, limit: int, overlap: int) -> Iterator[tupl
             begin = end - overlap
 
 
-def has_headings(source: Column, metadata: Column, title: Column) -> Column:
-    """Whether a document is one of a project in a markup with headings, by its extension."""
-    suffix = F.regexp_extract(F.coalesce(title, F.lit("")), r"[^/\\](\.[^./\\]+)$", 1)
-    extension = F.lower(F.coalesce(F.nullif(F.try_element_at(metadata, F.lit("extension")), F.lit("")), suffix))
-    return (word(source) == "projects") & extension.isin(*MARKDOWN_EXTENSIONS)
-
-
 def split_texts(df: DataFrame, limit: int = 1800, overlap: int = 200, text: str = "text", markdown: str = "markdown") -> DataFrame:
     """Replace the text of each row by its pieces: the other columns and (ordinal, breadcrumb, piece).
 
