@@ -17,11 +17,12 @@ NO_ANSWER = r"(?i)\b(?:no|without)\s+(?:assistant|agent)?\s*response\b|\bonly\s+
 def validated(s: Column) -> Column:
     """A summary struct with texts redacted, stripped and cut, and lists without blank items."""
     texts = [F.substring(F.trim(redact(s[k])), 1, n).alias(k) for k, n in TEXTS.items()]
-    lists = [
-        F.slice(F.transform(F.filter(s[k], lambda x: F.trim(x) != ""), lambda x, n=n: F.substring(F.trim(redact(x)), 1, n)), 1, MOST_ITEMS).alias(k)
-        for k, n in LISTS.items()
-    ]
-    return F.struct(*texts, *lists)
+    return F.struct(*texts, *(_items(s[k], n).alias(k) for k, n in LISTS.items()))
+
+
+def _items(items: Column, most: int) -> Column:
+    kept = F.filter(items, lambda x: F.trim(x) != "")
+    return F.slice(F.transform(kept, lambda x: F.substring(F.trim(redact(x)), 1, most)), 1, MOST_ITEMS)
 
 
 def consistent(s: Column, evidence: Column) -> Column:

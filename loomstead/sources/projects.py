@@ -34,7 +34,7 @@ def scan(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFr
 
     Kept are files that can't be used now (too large, binary, blank) but must not count as gone. Files in excluded
     folders, of other extensions or with names of secrets aren't listed at all. Names are filtered before any
-    content is read.
+    content is read. Files without any byte aren't given by the reader; their keys must be kept by their listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file:").replace("//", "/")
@@ -47,7 +47,7 @@ def scan(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFr
     wanted = F.lower(name).rlike(r"\.(md|mdx|txt)$") & ~looks_secret(name) & ~F.coalesce(excluded, F.lit(False))
     fits = (F.col("length") > 0) & (F.col("length") <= most_bytes)
     head = F.hex(F.substring("content", 1, 8192))
-    text = F.when(fits, F.try_validate_utf8(F.regexp_replace(F.col("content").cast("string"), "^﻿", "")))
+    text = F.regexp_replace(F.when(fits, F.try_validate_utf8(F.col("content").cast("string"))), "^\ufeff", "")
     usable = fits & ~head.rlike("^(..)*00") & text.isNotNull() & (F.trim(text) != "")
     project = F.when(F.size(folders) > 0, parts[0]).otherwise(F.lit(base.rsplit("/", 1)[-1]))
     return files.where(wanted).select(
