@@ -15,6 +15,8 @@ BITS, SUBSTRING = 63, 21
 RADIUS = 20
 #: Bits by which a probed part of a substring may differ.
 PROBE = 3
+#: Vectors of a cell that are all compared: medians of so few say little about which codes are near.
+FEW = 1_024
 _PAIRS_AT_ONCE = 1 << 20
 
 
@@ -118,6 +120,9 @@ class Cell:
 
     def near_codes(self):
         """Pairs of rows whose keys differ in at most PROBE bits and whose codes in at most RADIUS, in portions."""
+        if len(self.ids) <= FEW:
+            yield np.triu_indices(len(self.ids), 1)
+            return
         blocks = []
         for mask in _masks(self.width, min(PROBE, self.width)):
             other = self.keys ^ mask

@@ -135,7 +135,7 @@ class SharedTextIndex:
         self.same_until = np.where(several, np.arange(n), following[1:])
 
     def spans(self, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of every text against all owners but its own: maximal spans of at least `need`.
+        """Matching statistics of every text against all owners but its own: all maximal spans of at least `need`, and some within them.
 
         Returns the number of the text, begin and end of each span. A pattern is read from its end. It is extended
         to the left while what is read also stands with another owner; else its end is moved left to the next
