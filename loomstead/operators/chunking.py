@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.text import strip, unix_lines
 from loomstead.operators.headings import JOINT, sections
+from loomstead.session import spread
 
 # Sizes of chunks and of dialogue units.
 TARGET, OVERLAP, LEAST_TARGET = 1800, 200, 100
@@ -122,7 +123,7 @@ def chunk_documents(df: DataFrame, target: int = TARGET, overlap: int = OVERLAP)
             columns = [pa.array(ids, pa.string()), pa.array(ordinals, pa.int32()), pa.array(crumbs, pa.string()), pa.array(parts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["document_id", "ordinal", "breadcrumb", "content"])
 
-    rows = df.select("document_id", strip(unix_lines(F.col("text"))).alias("text"), "markdown").where("text <> ''")
+    rows = spread(df.select("document_id", strip(unix_lines(F.col("text"))).alias("text"), "markdown").where("text <> ''"))
     return rows.mapInArrow(run, "document_id string, ordinal int, breadcrumb string, content string")
 
 

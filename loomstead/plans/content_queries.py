@@ -11,11 +11,12 @@ from loomstead.operators import chunking, distill, embedding, hybrid, lexical, s
 from loomstead.operators.headings import has_headings
 from loomstead.plans import retrieval_queries, views
 from loomstead.plans.registry import query
-from loomstead.session import table
+from loomstead.session import spread, table, write_once
 
 
-def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "ingest_documents")
+def packed_chunks(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] | None = None) -> DataFrame:
+    """Chunks of the delivered documents, or of those of some sources."""
+    d = spread(table(spark, sf_dir, "ingest_documents").select("row_id", "source", "title", "metadata", "text").where(word(F.col("source")).isin(*sources) if sources else F.lit(True)))
     marked = has_headings(F.col("source"), F.col("metadata"), F.col("title"))
     return chunking.chunk_documents(d.select(F.col("row_id").cast("string").alias("document_id"), redact.redact(F.col("text")).alias("text"), marked.alias("markdown")))
 
@@ -29,9 +30,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dialogue_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of all dialogues, put together from their chunks."""
-    agents = table(spark, sf_dir, "ingest_documents").where(word(F.col("source")).isin("hermes", "claude", "codex", "grok"))
-    ids = agents.select(F.col("row_id").cast("string").alias("document_id"))
-    return chunking.dialogue_units(packed_chunks(spark, sf_dir).join(ids, "document_id", "left_semi"))
+    return chunking.dialogue_units(packed_chunks(spark, sf_dir, ("hermes", "claude", "codex", "grok")))
 
 
 @query()
@@ -44,7 +43,8 @@ def distilled_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def summary_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents found by the summaries of their units, each with the chunk of the unit that fits the query best."""
-    units = distilled_units(spark, sf_dir)
+    # Both the ranking and the lookup of its winners read the units; they are made once.
+    units = write_once(distilled_units(spark, sf_dir), "units")
     rows = units.withColumn("chunk_pk", F.col("document_id").cast("long") * 10_000 + F.col("unit")).select(
         "chunk_pk", "document_id", "first_ordinal", "last_ordinal", F.lit("").alias("title"), F.col("search_text").alias("content")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstead.operators import hybrid, lexical
 from loomstead.plans import views
 from loomstead.plans.registry import query
-from loomstead.session import table
+from loomstead.session import table, write_once
 
 
 def _lexical(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
@@ -150,19 +150,27 @@ _BEST = f"""{_FUSED},
     select * from (select *, row_number() over (partition by query_id, document_id order by score desc, chunk_pk) as n from scored) where n = 1) qualify position <= 20)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = hybrid.fuse(*_channels(spark, sf_dir))
+def _scored(spark: SparkSession, sf_dir: str, channels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The fused chunks with their scores: at most two channels' ranks of each query, so small enough to be kept."""
+    fused = hybrid.fuse(*(channels or _channels(spark, sf_dir)))
     now, epoch = F.to_timestamp(F.lit(views.NOW)), F.timestamp_seconds(F.lit(0))
     # Ranks first, wide rows afterwards: at most 100 chunks of each query are looked up.
     rows = views.chunks(spark, sf_dir).select("chunk_pk", "document_id", "ordinal").join(F.broadcast(fused), "chunk_pk")
     timed = rows.join(views.docs(spark, sf_dir).select("document_id", "ts"), "document_id")
-    return timed.withColumn("score", F.round(F.col("rrf") * hybrid.recency(F.coalesce("ts", epoch), now), 9))
+    return write_once(timed.withColumn("score", F.round(F.col("rrf") * hybrid.recency(F.coalesce("ts", epoch), now), 9)), "scored")
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.best_of_each_document(_scored(spark, sf_dir))
 
 
+def _variants(scored: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
+    """Variants of the anchors: only chunks of their few documents are looked at."""
+    anchors = hybrid.best_of_each_document(scored, most)
+    near = chunks.select("document_id", "ordinal", "chunk_pk")
+    return hybrid.variants(anchors, near.join(F.broadcast(anchors.select("document_id").distinct()), "document_id", "left_semi"))
+
+
 @query(f"with {_BEST} select query_id, document_id, chunk_pk, position, score from anchors")
 def best_chunk_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chunk of each document, of each query the best documents."""
@@ -194,8 +202,8 @@ _CHOSEN = f"""{_VARIANTS},
 @query(f"with {_CHOSEN} select * from chosen")
 def fallback_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variant that is shown when nothing reranks."""
-    made = hybrid.variants(_anchors(spark, sf_dir), views.chunks(spark, sf_dir))
-    return hybrid.fallback_variant(made, _scored(spark, sf_dir)).select("query_id", "document_id", "direction")
+    scored = _scored(spark, sf_dir)
+    return hybrid.fallback_variant(_variants(scored, views.chunks(spark, sf_dir)), scored).select("query_id", "document_id", "direction")
 
 
 @query(
@@ -208,9 +216,11 @@ def fallback_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search: both channels, fusion, recency, best chunk of a document, neighbour, citation."""
-    lex, vec = _channels(spark, sf_dir)
-    anchors = _anchors(spark, sf_dir).where("position <= 10")
-    chosen = hybrid.fallback_variant(hybrid.variants(anchors, views.chunks(spark, sf_dir)), _scored(spark, sf_dir))
+    # Ranks of 50 chunks in each channel are kept; all that follows reads them instead of ranking again.
+    lex, vec = (write_once(c, "ranks") for c in _channels(spark, sf_dir))
+    scored = _scored(spark, sf_dir, (lex, vec))
+    anchors = hybrid.best_of_each_document(scored, 10)
+    chosen = hybrid.fallback_variant(_variants(scored, views.chunks(spark, sf_dir), 10), scored)
     shaped = (
         anchors.join(chosen.select("query_id", "document_id", "direction"), ["query_id", "document_id"])
         .join(lex.select("query_id", "chunk_pk", F.col("rank").alias("lexical_rank")), ["query_id", "chunk_pk"], "left")
