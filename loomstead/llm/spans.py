@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.fmindex import SharedTextIndex
 from loomstead.llm.tokens import _sliced
-from loomstead.session import write_once
+from loomstead.session import spread, write_once
 
 #: Characters of a k-gram; the window then has need - GRAM + 1 of them.
 GRAM = 100
@@ -97,7 +97,7 @@ def _anchors(documents: DataFrame, need: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "first", "last"])
 
     long_enough = documents.where((F.length("text") >= need) & F.col("doc_id").isNotNull())
-    return long_enough.mapInArrow(run, "h long, doc_id long, first int, last int")
+    return spread(long_enough).mapInArrow(run, "h long, doc_id long, first int, last int")
 
 
 def shared_spans(documents: DataFrame, need: int = 200, gram: int = GRAM, hot_places: int = HOT_PLACES) -> DataFrame:

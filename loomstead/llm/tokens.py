@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomstead.llm.bpe import encoder, vocabulary_path
+from loomstead.session import spread
 
 #: Characters handled at once in a worker; bounds its memory whatever the size of a batch or a text.
 CHARS_AT_ONCE = 1_000_000
@@ -88,7 +89,7 @@ def encode_column(
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], [*keep, out])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return df.select(*_named(keep), f"`{text}`").mapInArrow(run, schema)
+    return spread(df.select(*_named(keep), f"`{text}`")).mapInArrow(run, schema)
 
 
 def count_column(
@@ -105,7 +106,7 @@ def count_column(
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(counts)], [*keep, out])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.LongType())])
-    return df.select(*_named(keep), f"`{text}`").mapInArrow(run, schema)
+    return spread(df.select(*_named(keep), f"`{text}`")).mapInArrow(run, schema)
 
 
 def _named(columns: list[str]) -> list[str]:
