@@ -217,8 +217,8 @@ def similar_pairs(
         return spark.createDataFrame([], "a long, b long, cosine double")
     coded = write_once(_coded(rows, rotations), "codes")
     if tables is None:
-        # Longer prefixes cost recall; more tables give it back.
-        tables = BITS // SUBSTRING + max(0, int(np.ceil(np.log2(max(1, coded.count()) / 4_000_000))))
+        # Longer prefixes cost recall; more tables give it back: one for each fourfold of what a few cells hold.
+        tables = BITS // SUBSTRING + max(0, int(np.ceil(np.log2(max(1, coded.count()) / (4 * CELL)) / 2)))
     plan = _plan(coded, rotations, tables)
     shapes, names = plan.shapes, list(rotations)
 
