@@ -110,7 +110,8 @@ def shared_spans(documents: DataFrame, need: int = 200, gram: int = GRAM, hot_pl
     if not 1 <= gram <= need:
         raise ValueError("a k-gram must fit into the span")
     texts = documents.select("doc_id", "text")
-    anchors = _anchors(texts, need, gram)
+    # Hashing reads all texts, and two steps need the anchors: they are written down once, at some 12 bytes each.
+    anchors = write_once(_anchors(texts, need, gram), "anchors")
     # Partial aggregation leaves one row of each anchor and task, however many documents hold it.
     held = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("places"))
     several = held.where("low <> high").select("h", (F.col("places") > hot_places).alias("hot"))
