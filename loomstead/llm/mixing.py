@@ -25,8 +25,6 @@ from loomstead.session import write_once
 
 #: Mixes are a small hand-written table; more rows than this are an error, as each task holds them all.
 MOST_TARGETS = 10_000
-#: Undecided documents of all strata below this are landed in one task (two of each partition and stratum remain).
-LAST_FLIGHT = 100_000
 
 
 def plan_shares(targets: list[Row], held: dict[str, tuple[int, int]]) -> list[dict]:
