@@ -26,7 +26,7 @@ from loomstead.session import spread, write_once
 #: Characters of a k-gram; the window then has need - GRAM + 1 of them.
 GRAM = 100
 #: Characters in an index; one index never holds more than this and one anchor's contexts.
-SHARD_CHARS = 800_000
+SHARD_CHARS = 300_000
 #: Anchors in more places than this are split into their single windows, equal ones of which are one row.
 HOT_PLACES = 4_000
 
