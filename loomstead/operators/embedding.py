@@ -64,16 +64,24 @@ class InvertedFile:
         placed.write.partitionBy("list").parquet(self.path)
 
     def search(self, queries: DataFrame, k: int = 50, probes: int = 8) -> DataFrame:
-        """(query_id, chunk_pk, score, rank) of the k best in the probed lists; queries (query_id, vector) are few."""
-        asked = queries.collect()
-        pairs = [
-            (r.query_id, int(c), list(map(float, r.vector)))
-            for r in asked
-            for c in np.argsort(-(np.array(r.vector, np.float32) @ self.centres.T))[:probes]
-        ]
-        probed = self.spark.createDataFrame(pairs, "query_id int, list int, vector array<float>")
-        stored = self.spark.read.parquet(self.path).where(F.col("list").isin(sorted({p[1] for p in pairs})))
-        scored = stored.join(F.broadcast(probed), "list").select("query_id", "chunk_pk", hybrid.dot(F.col("embedding"), F.col("vector")).alias("score"))
+        """(query_id, chunk_pk, score, rank) of the k best in the probed lists, for any number of (query_id, vector).
+
+        Queries stay a table: each is dealt to its lists and joined with them there. Those without a vector find nothing.
+        """
+        centres = self.centres
+
+        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x = np.array(b["vector"].tolist(), np.float32)
+                    near = np.argsort(-(x @ centres.T), axis=1)[:, :probes].astype(np.int32)
+                    yield b.assign(list=near.tolist())
+
+        asked = queries.select("query_id", "vector").where("vector is not null")
+        kind = asked.schema["query_id"].dataType.simpleString()
+        probed = asked.mapInPandas(probe, f"query_id {kind}, vector array<float>, list array<int>").withColumn("list", F.explode("list"))
+        stored = self.spark.read.parquet(self.path)
+        scored = stored.join(probed, "list").select("query_id", "chunk_pk", hybrid.dot(F.col("embedding"), F.col("vector")).alias("score"))
         return lexical.ranked(scored.withColumn("score", F.round("score", 9)), k, F.desc("chunk_pk"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomstead.functions import redact
 from loomstead.functions.text import is_blank, stable_id, strip
 from loomstead.operators import chunking, distill, embedding, headings, snippets
+from loomstead.plans import content_queries
 
 
 def crumbs(text):
@@ -134,6 +135,19 @@ def test_inverted_file_recall(spark, tmp_path):
     assert found / 400 >= 0.95
 
 
+def test_inverted_file_takes_all_queries(spark, small):
+    got = content_queries.ann_topk(spark, small).collect()
+    asked = [r.vec_id for r in spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id % 50 = 0").collect()]
+    assert len(asked) > 4 and sorted((r.query_id, r["rank"]) for r in got) == [(q, n) for q in sorted(asked) for n in range(1, 51)]
+
+
+def test_queries_stay_a_table(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)], "chunk_pk long, embedding array<float>")
+    queries = spark.createDataFrame([(2**40 + i, None if i == 2 else [1.0, float(i)]) for i in range(3)], "query_id long, vector array<float>")
+    got = embedding.InvertedFile(df, 2, str(tmp_path)).search(queries, 4, 2).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(2**40 + i, n) for i in range(2) for n in range(1, 5)]
+
+
 def test_hashed_vectors(spark):
     v = embedding.hashed_vector("Lease lease floor", 32)
     assert np.isclose(np.linalg.norm(v), 1) and (embedding.hashed_vector("", 32) == 0).all()
