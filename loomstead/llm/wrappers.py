@@ -9,23 +9,25 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Pages of a host that a template is induced from; more add little, as a template is what nearly all share.
 PAGES, LEAST_PAGES, SHARE = 12, 3, 0.8
-#: Nodes of a page that are aligned; deeper parts of larger pages count as content.
-NODES = 3_000
+#: In a matching the number of nodes comes first, then that of equal subtrees, which are fewer than this.
+_FIRST = 1 << 24
 _PAGE = re.compile(r"\s*(?:<!doctype\s+html|<html[\s>]|<head[\s>]|<body[\s>])", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "noscript", "template"))
 
 
 class Node:
-    __slots__ = ("tag", "text", "children")
+    __slots__ = ("tag", "text", "children", "shape", "same")
 
     def __init__(self, tag: str, text: str = ""):
         self.tag, self.text, self.children = tag, text, []
@@ -70,38 +72,121 @@ def is_page(text: str) -> bool:
     return bool(_PAGE.match(text))
 
 
-def match(a: Node, b: Node, budget: list[int]) -> tuple[int, list[tuple[Node, Node]]]:
-    """The greatest number of matching nodes of two trees, and the pairs (simple tree matching)."""
-    if a.tag != b.tag:
-        return 0, []
-    budget[0] -= 1
-    n, m = len(a.children), len(b.children)
-    if budget[0] < 0 or not n or not m:
-        return 1, [(a, b)]
-    score = [[0] * (m + 1) for _ in range(n + 1)]
-    pairs = {}
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            got, who = match(a.children[i - 1], b.children[j - 1], budget)
-            pairs[i, j] = got, who
-            score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + got)
-    out, i, j = [(a, b)], n, m
-    while i and j:
-        got, who = pairs[i, j]
-        if got and score[i][j] == score[i - 1][j - 1] + got:
-            out += who
+class _Forest:
+    """Trees with their subtrees numbered: `shape` by tags alone, `same` by tags and texts."""
+
+    def __init__(self, *roots: Node):
+        self.shapes: dict[tuple, int] = {}
+        self.sames: dict[tuple, int] = {}
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
+        self.size: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+        for root in roots:
+            for _, node in reversed(_nodes(root)):
+                key = (node.tag, tuple(c.shape for c in node.children))
+                node.shape = self.shapes.setdefault(key, len(self.shapes))
+                if node.shape == len(self.parts):
+                    self.parts.append(key)
+                    self.size.append(1 + sum(self.size[s] for s in key[1]))
+                node.same = self.sames.setdefault((node.tag, node.text, tuple(c.same for c in node.children)), len(self.sames))
+
+    def score(self, a: int, b: int) -> int:
+        """The greatest number of matching nodes of two shapes; each pair of shapes is compared once."""
+        todo = [(a, b)]
+        while todo:
+            pair = x, y = todo[-1]
+            (tag, p), (other, q) = self.parts[x], self.parts[y]
+            if pair in self.known:
+                todo.pop()
+            elif tag != other or x == y:
+                self.known[pair] = self.size[x] if x == y else 0
+            else:
+                head, tail = _ends(p, q)
+                equal = sum(self.size[s] for s in (*p[:head], *p[len(p) - tail :]))
+                p, q = p[head : len(p) - tail], q[head : len(q) - tail]
+                missing = [(i, j) for i in set(p) for j in set(q) if (i, j) not in self.known]
+                if missing:
+                    todo += missing
+                else:
+                    self.known[pair] = 1 + equal + _align(self.weights(p, q), len(p), len(q))[0]
+        return self.known[a, b]
+
+    def weights(self, p: tuple[int, ...], q: tuple[int, ...]) -> Callable[[int], np.ndarray]:
+        up, ip = np.unique(np.array(p, np.int64), return_inverse=True)
+        uq, iq = np.unique(np.array(q, np.int64), return_inverse=True)
+        table = np.array([[self.score(s, t) for t in uq.tolist()] for s in up.tolist()], np.int64).reshape(len(up), len(uq))
+        return lambda i: table[ip[i]][iq]
+
+    def children(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The children of two matched nodes that are matched; of the greatest matchings one with most equal subtrees."""
+        if not a.children or not b.children:
+            return []
+        p, q = [c.same for c in a.children], [c.same for c in b.children]
+        head, tail = _ends(p, q)
+        n, m = len(p) - tail, len(q) - tail
+        out = [*zip(a.children[:head], b.children[:head]), *zip(a.children[n:], b.children[m:])]
+        left, right = a.children[head:n], b.children[head:m]
+        if not left or not right:
+            return out
+        by_shape = self.weights(tuple(c.shape for c in left), tuple(c.shape for c in right))
+        mine, theirs = p[head:n], np.array(q[head:m], np.int64)
+        got = _align(lambda i: by_shape(i) * _FIRST + (theirs == mine[i]), len(left), len(right), True)[1]
+        return out + [(left[i], right[j]) for i, j in got]
+
+
+def _ends(p: Sequence[int], q: Sequence[int]) -> tuple[int, int]:
+    """How many equal items stand at the beginning and at the end; a matching of equal subtrees can't be bettered."""
+    least = min(len(p), len(q))
+    head = next((i for i in range(least) if p[i] != q[i]), least)
+    return head, next((i for i in range(least - head) if p[-1 - i] != q[-1 - i]), least - head)
+
+
+def _align(weights: Callable[[int], np.ndarray], n: int, m: int, traced: bool = False) -> tuple[int, list[tuple[int, int]]]:
+    """The greatest sum of weights of pairs that don't cross, and the pairs; weights(i) is row i."""
+    before, taken, above = np.zeros(m + 1, np.int64), [], []
+    for i in range(n):
+        w = weights(i)
+        with_it = before[:-1] + w
+        now = np.zeros(m + 1, np.int64)
+        np.maximum.accumulate(np.maximum(before[1:], with_it), out=now[1:])
+        if traced:
+            # A bit for each place, so that long lists fit.
+            taken.append(np.packbits((w > 0) & (now[1:] == with_it)))
+            above.append(np.packbits(now[1:] == before[1:]))
+        before = now
+    pairs, i, j = [], n - 1, m - 1
+    while traced and i >= 0 and j >= 0:
+        byte, bit = j >> 3, 128 >> (j & 7)
+        if taken[i][byte] & bit:
+            pairs.append((i, j))
             i, j = i - 1, j - 1
-        elif score[i][j] == score[i - 1][j]:
+        elif above[i][byte] & bit:
             i -= 1
         else:
             j -= 1
-    return 1 + score[n][m], out
+    return int(before[-1]), pairs
 
 
-def _paths(node: Node, path: tuple = ()) -> dict[int, tuple]:
-    out = {id(node): path}
-    for i, child in enumerate(node.children):
-        out.update(_paths(child, (*path, i)))
+def match(a: Node, b: Node, _limit: object = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """The greatest number of matching nodes of two trees, and the pairs (simple tree matching); nothing is limited."""
+    if a.tag != b.tag:
+        return 0, []
+    forest = _Forest(a, b)
+    out, todo = [], [(a, b)]
+    while todo:
+        pair = todo.pop()
+        out.append(pair)
+        todo += forest.children(*pair)
+    return forest.score(a.shape, b.shape), out
+
+
+def _nodes(root: Node) -> list[tuple[int, Node]]:
+    """The nodes in the order of the document, with their depths."""
+    out, todo = [], [(0, root)]
+    while todo:
+        depth, node = todo.pop()
+        out.append((depth, node))
+        todo += [(depth + 1, c) for c in reversed(node.children)]
     return out
 
 
@@ -114,7 +199,7 @@ def induce(pages: list[str]) -> str | None:
     same: dict[int, int] = {}
     texts: dict[int, Node] = {}
     for other in others:
-        for a, b in match(first, other, [NODES * 8])[1]:
+        for a, b in match(first, other)[1]:
             if a.tag == "#text":
                 texts[id(a)] = a
                 same[id(a)] = same.get(id(a), 0) + (a.text == b.text)

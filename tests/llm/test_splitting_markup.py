@@ -116,6 +116,35 @@ def test_matching_keeps_order():
     assert wrappers.match(a, b, [1000])[0] == 6
 
 
+def test_matching_goes_through_large_tables():
+    def wide(n):
+        rows = "".join("<tr>" + "".join(f"<td>{n} {i} {j}</td>" for j in range(5)) + "</tr>" for i in range(40 + n))
+        return f"<html><body><table>{rows}</table><footer><div>Imprint</div></footer></body></html>"
+
+    assert "Imprint" in wrappers.induce([wide(n) for n in range(4)])
+    deep = "<div>" * 3_000 + "x"
+    assert wrappers.match(wrappers.parse(deep), wrappers.parse(deep + "<p>y"))[0] == 3_002
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<i>", "</i>", "x", "y"]), max_size=14).map("".join), st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<i>", "</i>", "x", "y"]), max_size=14).map("".join))
+def test_matching_is_greatest(a, b):
+    def best(x, y):
+        if x.tag != y.tag:
+            return 0
+        row = [0] * (len(y.children) + 1)
+        for c in x.children:
+            new = [0]
+            for j, d in enumerate(y.children):
+                new.append(max(row[j + 1], new[j], row[j] + best(c, d)))
+            row = new
+        return 1 + row[-1]
+
+    x, y = wrappers.parse(a), wrappers.parse(b)
+    got, pairs = wrappers.match(x, y)
+    assert got == best(x, y) == len(pairs) and all(c.tag == d.tag for c, d in pairs)
+
+
 def test_table(spark):
     rows = [(i, page(i), "h", "t") for i in range(4)] + [(9, None, "h", "t"), (10, "", None, "t"), (11, "**x** " * 30_000, None, None), (0, page(0), "h", "t")]
     df = spark.createDataFrame(rows, "row_id long, text string, host string, template string")
