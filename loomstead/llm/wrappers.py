@@ -6,9 +6,10 @@ nodes that keeps parents and order. A text that stands at matched nodes of nearl
 
 from __future__ import annotations
 
-import html
+import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
@@ -23,46 +24,70 @@ PAGES, LEAST_PAGES, SHARE = 12, 3, 0.8
 _FIRST = 1 << 24
 _PAGE = re.compile(r"\s*(?:<!doctype\s+html|<html[\s>]|<head[\s>]|<body[\s>])", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset(("script", "style", "noscript", "template"))
+_HIDDEN = frozenset(("script", "style"))
+#: Elements of which clean text shows a mark even if they are empty.
+_MARKED = frozenset(("li", "h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Node:
-    __slots__ = ("tag", "text", "children", "shape", "same")
+    __slots__ = ("tag", "text", "children", "shape", "same", "span", "close")
 
-    def __init__(self, tag: str, text: str = ""):
+    def __init__(self, tag: str, text: str | None = ""):
         self.tag, self.text, self.children = tag, text, []
+        #: Where the text or start tag, and where the end tag stands in the source.
+        self.span = self.close = (0, 0)
 
 
 class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.lines = [0, *(m.end() for m in re.finditer("\n", source))]
+        self.waiting: list[tuple[Node, str, int]] = []
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def updatepos(self, i, j):
+        # Called after each event with its end.
+        j = super().updatepos(i, j)
+        for node, what, start in self.waiting:
+            setattr(node, what, (start, self._at()))
+        self.waiting.clear()
+        return j
+
+    def _add(self, tag: str) -> Node:
+        node = Node(tag)
+        self.open[-1].children.append(node)
+        self.waiting.append((node, "span", self._at()))
+        return node
 
     def handle_starttag(self, tag, attrs):
         if tag in ("li", "tr", "td", "th", "p", "dt", "dd", "option") and self.open[-1].tag == tag:
             self.open.pop()
-        node = Node(tag)
-        self.open[-1].children.append(node)
+        node = self._add(tag)
         if tag not in _VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Node(tag))
+        self._add(tag)
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
+                self.waiting.append((self.open[i], "close", self._at()))
                 del self.open[i:]
                 break
 
     def handle_data(self, data):
-        if data.strip():
-            self.open[-1].children.append(Node("#text", " ".join(data.split())))
+        if data.strip() and self.open[-1].tag not in _HIDDEN:
+            self._add("#text").text = " ".join(data.split())
 
 
 def parse(text: str) -> Node:
-    builder = _Builder()
+    builder = _Builder(text)
     builder.feed(text)
     builder.close()
     return builder.root
@@ -190,52 +215,95 @@ def _nodes(root: Node) -> list[tuple[int, Node]]:
     return out
 
 
+def keys(text: str) -> set[int]:
+    """The texts of a page with the tags above them, hashed; constant texts of a host are among those of nearly all pages."""
+    out, chain = set(), [b""]
+    for depth, node in _nodes(parse(text)):
+        if node.tag == "#text":
+            out.add(int.from_bytes(hashlib.blake2b(node.text.encode("utf-8", "replace"), digest_size=8, key=chain[depth - 1]).digest(), "little", signed=True))
+        else:
+            del chain[max(depth, 1) :]
+            chain.append(hashlib.blake2b(node.tag.encode("utf-8", "replace"), digest_size=8, key=chain[-1]).digest())
+            if not depth:
+                del chain[0]
+    return out
+
+
+def constant(reference: str, page: str) -> list[int]:
+    """The numbers of the texts of a reference page that stand at the matched nodes of a page too."""
+    a = parse(reference)
+    number = {id(node): n for n, (_, node) in enumerate(_nodes(a))}
+    return sorted(number[id(x)] for x, y in match(a, parse(page))[1] if x.tag == "#text" and x.text == y.text)
+
+
+def skeleton(reference: str, kept: set[int]) -> list[list]:
+    """The nodes of a reference page as (depth, tag, text), with only those texts that are kept."""
+    return [[depth, node.tag, node.text if n in kept else None] for n, (depth, node) in enumerate(_nodes(parse(reference)))]
+
+
+def _grown(nodes: list[list]) -> Node:
+    open_: list[Node] = []
+    for depth, tag, text in nodes:
+        node = Node(tag, text)
+        del open_[depth:]
+        if open_:
+            open_[-1].children.append(node)
+        open_.append(node)
+    return open_[0]
+
+
 def induce(pages: list[str]) -> str | None:
-    """The template of pages: a list of (tags from the root, text) that stand in nearly all; null for too few pages."""
-    trees = [parse(p) for p in pages]
-    if len(trees) < LEAST_PAGES:
+    """The template of pages: skeletons of some with the texts that stand at matched nodes of nearly all.
+
+    The pages to take skeletons of are chosen until they hold all texts that nearly all pages have. Null for too few
+    different pages, and where nothing is constant.
+    """
+    pages = sorted(set(pages))
+    if len(pages) < LEAST_PAGES:
         return None
-    first, *others = trees
-    same: dict[int, int] = {}
-    texts: dict[int, Node] = {}
-    for other in others:
-        for a, b in match(first, other)[1]:
-            if a.tag == "#text":
-                texts[id(a)] = a
-                same[id(a)] = same.get(id(a), 0) + (a.text == b.text)
-    chains: dict[int, list[str]] = {}
-
-    def walk(node: Node, chain: list[str]) -> None:
-        chains[id(node)] = chain
-        for child in node.children:
-            walk(child, [*chain, child.tag])
-
-    walk(first, [])
-    need = SHARE * len(others)
-    return json.dumps(sorted({("/".join(chains[i]), texts[i].text) for i, n in same.items() if n >= need}))
+    need = SHARE * (len(pages) - 1)
+    of = [keys(p) for p in pages]
+    counts = Counter(k for own in of for k in own)
+    left, out = {k for k, n in counts.items() if n - 1 >= need}, []
+    while left:
+        best = max(range(len(pages)), key=lambda i: len(of[i] & left))
+        left -= of[best]
+        found = Counter(n for i, p in enumerate(pages) if i != best for n in constant(pages[best], p))
+        kept = {n for n, c in found.items() if c >= need}
+        if kept:
+            out.append(skeleton(pages[best], kept))
+    return json.dumps(out) if out else None
 
 
 def without_template(text: str, template: str) -> str:
-    """A page without the texts of its template, as HTML again."""
-    constant = {tuple(x) for x in json.loads(template)}
-    out: list[str] = []
-
-    def walk(node: Node, chain: str) -> None:
+    """A page without the texts of its template; all else of the source stays as it is.
+
+    List items and headings that hold nothing else lose their tags too, as they would leave a mark.
+    """
+    page = parse(text)
+    gone = {
+        id(y) for nodes in json.loads(template) for x, y in match(_grown(nodes), page)[1] if x.tag == "#text" and x.text == y.text
+    }
+    cuts: list[tuple[int, int]] = []
+    emptied: dict[int, bool] = {}
+    for _, node in reversed(_nodes(page)):
         if node.tag == "#text":
-            if (chain, node.text) not in constant:
-                out.append(html.escape(node.text, quote=False))
-            return
-        if node.tag in _HIDDEN:
-            return
-        if node.tag != "#root":
-            out.append(f"<{node.tag}>")
-        for child in node.children:
-            walk(child, f"{chain}/{child.tag}" if chain else child.tag)
-        if node.tag != "#root" and node.tag not in _VOID:
-            out.append(f"</{node.tag}>")
-
-    walk(parse(text), "")
-    return "".join(out)
+            emptied[id(node)] = id(node) in gone
+            if id(node) in gone:
+                start, end = node.span
+                said = text[start:end]
+                cuts.append((start + len(said) - len(said.lstrip()), end - len(said) + len(said.rstrip())))
+            continue
+        inside = [emptied[id(c)] for c in node.children if id(c) in emptied]
+        if inside:
+            emptied[id(node)] = all(inside)
+            if node.tag in _MARKED and all(inside):
+                cuts += [node.span, node.close]
+    at, out = 0, []
+    for start, end in sorted(c for c in cuts if c[0] < c[1]):
+        out.append(text[at:start])
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def templates(df: DataFrame, text: str, host: str) -> DataFrame:

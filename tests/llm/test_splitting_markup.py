@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import html
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -145,6 +147,27 @@ def test_matching_is_greatest(a, b):
     assert got == best(x, y) == len(pairs) and all(c.tag == d.tag for c, d in pairs)
 
 
+def test_wrapper_keeps_the_rest_of_the_source():
+    def rich(n):
+        return (
+            "<html><body><ul><li>Home</li><li>News</li></ul><p>foo%d <b>bar%d</b> baz &amp; q%d</p><pre>if x%d:\n    y\n</pre>"
+            "<table><tr><td>Yes</td><td>%s</td></tr></table></body></html>" % (n, n, n, n, "Yes" if n == 2 else n)
+        )
+
+    template = wrappers.induce([rich(n) for n in range(6)])
+    want = "<html><body><ul></ul><p>foo2 <b>bar2</b> baz &amp; q2</p><pre>if x2:\n    y\n</pre><table><tr><td></td><td>Yes</td></tr></table></body></html>"
+    assert wrappers.without_template(rich(2), template) == want
+    assert wrappers.induce([f"<html><p>{n}</p></html>" for n in range(4)]) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<li>", "<br/>", "<!-- c -->", "&lt;", "&", "<", "\n", "\r\n", " ", "x", "漢", "<pre>", "<script>", "</script>", "<x y='"]), max_size=25).map("".join))
+def test_texts_are_where_they_stand(text):
+    for _, node in wrappers._nodes(wrappers.parse(text)):
+        if node.tag == "#text":
+            assert " ".join(html.unescape(text[slice(*node.span)]).split()) == node.text
+
+
 def test_table(spark):
     rows = [(i, page(i), "h", "t") for i in range(4)] + [(9, None, "h", "t"), (10, "", None, "t"), (11, "**x** " * 30_000, None, None), (0, page(0), "h", "t")]
     df = spark.createDataFrame(rows, "row_id long, text string, host string, template string")
