@@ -10,16 +10,18 @@ import hashlib
 import json
 import re
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host that a template is induced from; more add little, as a template is what nearly all share.
-PAGES, LEAST_PAGES, SHARE = 12, 3, 0.8
+from loomstead.session import rows_known_below, spread, write_once
+
+#: Different pages of a host that a template needs, and in what share of the others a text of it stands.
+LEAST_PAGES, SHARE = 3, 0.8
 #: In a matching the number of nodes comes first, then that of equal subtrees, which are fewer than this.
 _FIRST = 1 << 24
 _PAGE = re.compile(r"\s*(?:<!doctype\s+html|<html[\s>]|<head[\s>]|<body[\s>])", re.I)
@@ -307,18 +309,61 @@ def without_template(text: str, template: str) -> str:
 
 
 def templates(df: DataFrame, text: str, host: str) -> DataFrame:
-    """(_host, template) of hosts with enough whole pages; of each host at most PAGES pages are looked at."""
+    """(_host, template) of hosts with enough different whole pages, as induce() makes it, from all of these pages.
+
+    Counts are merged, so that the pages of a host need not fit into a task. A round takes one page of each host as
+    reference, that with most of the common texts which none before it has; as each common text is missing from few
+    pages, a round leaves at most a fifth of them.
+    """
+    spark = df.sparkSession
     pages = df.select(F.col(host).alias("_host"), F.col(text).alias("_page")).where(
         F.col("_host").isNotNull() & F.col("_page").rlike(r"(?i)^\s*(<!doctype\s+html|<html[\s>]|<head[\s>]|<body[\s>])")
     )
-    some = Window.partitionBy("_host").orderBy(F.xxhash64("_page"), "_page")
-    sample = pages.withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= PAGES)
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        got = induce(sorted(set(group.column("_page").to_pylist())))
-        return pa.table([[key[0].as_py()], [got]], pa.schema([("_host", pa.string()), ("template", pa.string())]))
-
-    return sample.select("_host", "_page").groupBy("_host").applyInArrow(run, "_host string, template string")
+    pages = write_once(pages.withColumn("_id", F.sha2("_page", 256)).dropDuplicates(["_host", "_id"]), "pages")
+    sizes = pages.groupBy("_host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    none = spark.createDataFrame([], "_host string, template string")
+    if rows_known_below(sizes, 1):
+        return none
+    need = F.lit(SHARE) * (F.col("n") - 1)
+
+    def all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, i, page in zip(*(batch.column(c).to_pylist() for c in ("_host", "_id", "_page"))):
+                own = sorted(keys(page))
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(own), pa.string()), pa.array([i] * len(own), pa.string()), pa.array(own, pa.int64())], ["_host", "_id", "key"])
+
+    keyed = write_once(spread(pages.join(sizes, "_host", "left_semi")).mapInArrow(all_keys, "_host string, _id string, key long"), "keys")
+    common = keyed.groupBy("_host", "key").agg(F.count("*").alias("c")).join(sizes, "_host").where(F.col("c") - 1 >= need)
+    left = write_once(keyed.join(common, ["_host", "key"], "left_semi"), "common")
+    references = None
+    while not rows_known_below(left, 1):
+        best = left.groupBy("_host", "_id").agg(F.count("*").alias("c")).groupBy("_host")
+        best = write_once(best.agg(F.max_by("_id", F.struct("c", "_id")).alias("_id")), "best")
+        references = best if references is None else references.unionByName(best)
+        covered = left.join(best, ["_host", "_id"], "left_semi").select("_host", "key")
+        left = write_once(left.join(covered, ["_host", "key"], "left_anti"), "left")
+    if references is None:
+        return none
+    references = write_once(references.join(pages, ["_host", "_id"]).select("_host", F.col("_id").alias("_ref"), F.col("_page").alias("_first")), "references")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, ref, first, page in zip(*(batch.column(c).to_pylist() for c in ("_host", "_ref", "_first", "_page"))):
+                own = constant(first, page)
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(own), pa.string()), pa.array([ref] * len(own), pa.string()), pa.array(own, pa.int64())], ["_host", "_ref", "node"])
+
+    pairs = spread(pages.join(references, "_host").where("_id <> _ref").select("_host", "_ref", "_first", "_page"))
+    nodes = pairs.mapInArrow(compare, "_host string, _ref string, node long").groupBy("_host", "_ref", "node").agg(F.count("*").alias("c"))
+    nodes = nodes.join(sizes, "_host").where(F.col("c") >= need).groupBy("_host", "_ref").agg(F.collect_list("node").alias("nodes"))
+
+    def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [json.dumps(skeleton(p, set(n))) for p, n in zip(batch.column("_first").to_pylist(), batch.column("nodes").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array(made, pa.string())], ["_host", "one"])
+
+    made = references.join(nodes, ["_host", "_ref"]).select("_host", "_first", "nodes").mapInArrow(skeletons, "_host string, one string")
+    whole = made.groupBy("_host").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("one")), ","), F.lit("]")).alias("template"))
+    return write_once(whole, "templates")
 
 
 _BLOCKS = frozenset(

@@ -168,6 +168,17 @@ def test_texts_are_where_they_stand(text):
             assert " ".join(html.unescape(text[slice(*node.span)]).split()) == node.text
 
 
+def test_template_of_all_pages(spark):
+    layout = lambda n: page(n) if n % 6 else f"<html><body><p>Only {n}</p></body></html>"
+    rows = [(i, layout(i), "h") for i in range(1, 30)] + [(100 + i, f"<html><p>{i // 20}</p><div>Menu</div></html>", "copies") for i in range(80)]
+    got = {r.row_id: r.clean for r in markup.clean_markup(spark.createDataFrame(rows, "row_id long, text string, host string")).collect()}
+    assert got[6] == "Only 6" and all(got[i] == f"# Title {i}\n\nStory {i * i}" for i in range(1, 30) if i % 6)
+    assert all(got[100 + i] == str(i // 20) for i in range(80))
+    few = dict(wrappers.templates(spark.createDataFrame(rows, "row_id long, text string, host string"), "text", "host").collect())
+    for host in few:
+        assert few[host] == wrappers.induce([t for _, t, h in rows if h == host])
+
+
 def test_table(spark):
     rows = [(i, page(i), "h", "t") for i in range(4)] + [(9, None, "h", "t"), (10, "", None, "t"), (11, "**x** " * 30_000, None, None), (0, page(0), "h", "t")]
     df = spark.createDataFrame(rows, "row_id long, text string, host string, template string")
