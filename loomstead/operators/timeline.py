@@ -59,10 +59,13 @@ def settle(df: DataFrame, wanted: Column | None = None) -> DataFrame:
     wanted: which rows to give out; all take part in the choice. The readings are written down once, as they are
     dear to make and used by each of the passes.
 
-    Rows without a reading are left out. Order within a session is by place, then row_id.
+    Rows without a reading are left out. Order within a session is by place, then row_id. A row without a session has
+    no row before it: it is a session of its own.
     """
     wanted = F.lit(True) if wanted is None else wanted
-    df = df.select("source", "session", F.col("place").cast("long").alias("place"), "row_id", "readings", wanted.alias("wanted"))
+    # The mark keeps these keys apart from names of sessions.
+    own = F.coalesce(F.concat(F.lit("="), "session"), F.concat(F.lit("#"), F.col("row_id").cast("string")))
+    df = df.select("source", own.alias("session"), F.col("place").cast("long").alias("place"), "row_id", "readings", wanted.alias("wanted"))
     valid = write_once(df, "readings").where(F.size("readings") > 0)
     several = F.size("readings") > 1
     sure = valid.where(~several & F.col("wanted")).select("source", "row_id", F.col("readings")[0]["us"].alias("epoch_us"))

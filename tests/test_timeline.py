@@ -100,6 +100,16 @@ def test_settle_follows_the_rule_across_blocks(spark, monkeypatch, block):
     assert got == {k: v for k, v in want.items() if k < 120}
 
 
+def test_rows_without_a_session_keep_their_instant(spark):
+    hour = 3_600_000_000
+    rows = [("s", None, 1, 0, [10**15 + 2 * hour]), ("s", None, 2, 1, [10**15, 10**15 + hour]), ("s", "1", 1, 2, [10**15 + 2 * hour]), ("s", "1", 2, 3, [10**15, 10**15 + hour])]
+    rows = [(*r[:4], [(c, "iso") for c in r[4]]) for r in rows]
+    df = spark.createDataFrame(rows, "source string, session string, place int, row_id long, readings array<struct<us:long,form:string>>")
+    got = {r.row_id: r.epoch_us for r in timeline.settle(df).collect()}
+    # Nothing is known to come before a row without a session.
+    assert got == {0: 10**15 + 2 * hour, 1: 10**15, 2: 10**15 + 2 * hour, 3: 10**15 + hour}
+
+
 def test_viterbi_prefers_one_spelling():
     path = timeline.Viterbi(None)
     day, month = 86_400_000_000, 30 * 86_400_000_000
