@@ -118,8 +118,9 @@ def link_sessions(messages: DataFrame) -> DataFrame:
     """Conversations of messages without identifiers: (message_id, conversation).
 
     messages: message_id, reply_to (a message_id or null), content. Links are replies, and quotes: a paragraph of
-    lines that begin with > is tied to the messages whose whole text it repeats. A message without links is a
-    conversation of its own; a reply to an unknown message counts as no link.
+    lines that begin with > is tied to the message whose whole text it repeats, else one of whose paragraphs, else one
+    of whose lines; else one of its lines is looked for alike. Lines that quote are no text of their message. A message
+    without links is a conversation of its own; a reply to an unknown message counts as no link.
     """
     ids = messages.select("message_id").where("message_id is not null").distinct()
     replies = messages.select(F.col("message_id").alias("u"), F.col("reply_to").alias("v")).join(
@@ -127,11 +128,19 @@ def link_sessions(messages: DataFrame) -> DataFrame:
     )
     quote = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)((?:^>.*\n?)+)"), F.lit(1)))
     unquoted = F.trim(F.regexp_replace("quote", r"(?m)^> ?", ""))
-    quotes = messages.select(F.col("message_id").alias("u"), quote.alias("quote")).select("u", F.btrim(unquoted, F.lit("\n ")).alias("said"))
-    whole = messages.select(F.col("message_id"), F.btrim("content", F.lit("\n ")).alias("said")).where("said <> ''")
-    # Of messages with the same text the first is meant.
-    first = whole.groupBy("said").agg(F.min("message_id").alias("v"))
-    quoted = quotes.where("said <> ''").join(first, "said").select("u", "v")
+    quotes = messages.select(F.col("message_id").alias("u"), quote.alias("quote")).select("u", F.btrim(unquoted, F.lit("\n ")).alias("quote"))
+    asked = F.concat(F.array(F.struct(F.lit(0).alias("form"), F.col("quote").alias("said"))), F.transform(F.split("quote", "\n"), lambda x: F.struct(F.lit(1).alias("form"), F.btrim(x).alias("said"))))
+    quotes = quotes.withColumn("part", F.explode(asked)).select("u", "quote", "part.form", "part.said").where("said <> ''")
+    own = messages.where("message_id is not null").withColumn("own", F.regexp_replace("content", r"(?m)^>.*$", ""))
+    # Whole texts, paragraphs and lines.
+    part = lambda depth, texts: F.transform(texts, lambda x: F.struct(F.lit(depth).alias("depth"), F.btrim(x, F.lit("\n ")).alias("said")))
+    parts = F.concat(part(0, F.array("content")), part(1, F.split("own", r"\n[ \t]*\n")), part(2, F.split("own", "\n")))
+    held = own.select(F.col("message_id").alias("v"), F.explode(parts).alias("part")).select("v", "part.depth", "part.said").where("said <> ''")
+    held = held.groupBy("said", "v").agg(F.min("depth").alias("depth"))
+    # Of messages with the same text the first is meant; the second serves where that is the quoting one.
+    order = Window.partitionBy("said").orderBy("depth", "v")
+    first = held.withColumn("n", F.row_number().over(order)).where("n <= 2")
+    quoted = quotes.join(first, "said").where("u <> v").groupBy("u", "quote").agg(F.min(F.struct("form", "depth", "v")).alias("at")).select("u", F.col("at.v").alias("v"))
     tied = components(replies.select("u", "v").unionByName(quoted))
     return ids.join(tied.withColumnRenamed("node", "message_id"), "message_id", "left").select(
         "message_id", F.coalesce("component", "message_id").alias("conversation")

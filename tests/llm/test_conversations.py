@@ -47,6 +47,13 @@ def test_links(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "f"}
 
 
+def test_links_of_quoted_lines(spark):
+    text = "first point\nsecond point\n\nthird point\nand its end"
+    rows = [("a", None, text), ("b", None, "> second point\n\nwhy?"), ("c", None, "> third point\n> and its end\nno"), ("d", None, "> first point\n> second point\n\nboth"), ("e", None, "> never said\n\nhm"), ("f", None, "> never said\n\nhm too")]
+    got = {r.message_id: r.conversation for r in cv.link_sessions(spark.createDataFrame(rows, "message_id string, reply_to string, content string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f"}
+
+
 HERMES = "row_id long, session_id string, seq int, role string, content string, timestamp string, ingested_at long, unit string"
 
 
