@@ -161,6 +161,10 @@ def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevant documents of each query, as the SQL judges: those that hold its word and are dated 2026-06-01 or later.
+
+    Older and undated documents count as not relevant, though the ranking is over all documents.
+    """
     words = spark.createDataFrame([(1, "stale lease"), (2, "shared footer"), (3, "migration runner"), (4, "verrou")], "query_id int, word string")
     gain = F.when(F.col("kind") == "note", 2.0).when(F.col("kind") == "summary", 1.5).otherwise(1.0)
     d = views.docs(spark, sf_dir).where(F.col("ts") >= F.to_timestamp(F.lit("2026-06-01 00:00:00")))
