@@ -1,35 +1,44 @@
-"""Learned binary codes of vectors, and the search for near codes by multi-index hashing."""
+"""Learned binary codes of vectors, short fixed-point copies of them, and the search inside one cell of an index."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 
-#: Bits of a code; three substrings of 21 bits.
+#: Bits of a code; three substrings of 21 bits, each of which has a table of its own.
 BITS, SUBSTRING = 63, 21
-#: Codes that differ in more bits than this aren't reranked. Vectors of cosine 0.85 differ in 11 bits of 63 on average
-#: (standard deviation 3).
-RADIUS = 20
-#: Bits by which a probed part of a substring may differ.
-PROBE = 3
-#: Vectors of a cell that are all compared: medians of so few say little about which codes are near.
-FEW = 1_024
-_PAIRS_AT_ONCE = 1 << 20
+TABLES = BITS // SUBSTRING
+#: Cells of each table that a vector stands in: its own, and those behind the least certain bits of its prefix.
+PROBES = 3
+#: In a cell, buckets of at most about so many vectors are compared if their keys differ by at most so many bits.
+BUCKET, RADIUS = 2_048, 2
+#: Vectors of a cell below which all are compared.
+SMALL = 8_192
+#: Rows and columns of a block of cosines, and candidates that wait before the best are chosen.
+BLOCK, WAITING = 1_024, 1 << 20
+#: More candidates than k that are kept until cosines are rounded and ties are decided.
+SPARE = 3
+_NO_CELL = np.int64(-(1 << 63))
+_LEVELS = 511
 
 
 @dataclass(frozen=True)
 class Rotation:
-    """Centre, rotation and thresholds that turn vectors of one model into codes."""
+    """Centre, rotation, thresholds and spreads that turn vectors into codes with a margin for each bit."""
 
     centre: np.ndarray
     turn: np.ndarray
     level: np.ndarray
+    spread: np.ndarray
+
+    def margins(self, units: np.ndarray) -> np.ndarray:
+        """How far each bit is from flipping, in spreads; the bit is the sign."""
+        return ((units - self.centre) @ self.turn - self.level) / self.spread
 
     def bits(self, units: np.ndarray) -> np.ndarray:
-        return (units - self.centre) @ self.turn > self.level
+        return self.margins(units) > 0
 
 
 def learn_rotation(units: np.ndarray, rounds: int = 25, seed: int = 11) -> Rotation:
@@ -51,26 +60,33 @@ def learn_rotation(units: np.ndarray, rounds: int = 25, seed: int = 11) -> Rotat
     turn = axes @ spin
     if dims < BITS:
         turn = np.hstack([turn, rng.standard_normal((dims, BITS - dims))])
-    return Rotation(centre, turn, np.median(moved @ turn, axis=0))
+    seen = moved @ turn
+    return Rotation(centre, turn, np.median(seen, axis=0), np.maximum(seen.std(axis=0), 1e-12))
+
+
+@lru_cache(None)
+def drawn_rotation(dims: int) -> Rotation:
+    """A rotation for models that none is learned for."""
+    turn = np.random.default_rng(dims).standard_normal((dims, BITS))
+    return Rotation(np.zeros(dims), turn / np.linalg.norm(turn, axis=0), np.zeros(BITS), np.full(BITS, dims**-0.5))
 
 
 @lru_cache(None)
 def bit_order(table: int) -> np.ndarray:
-    """The order of bits in a table's key: its substring first; beyond the first three tables, drawn orders."""
-    plain = np.arange(BITS)
-    if table < BITS // SUBSTRING:
-        return np.roll(plain, -SUBSTRING * table)
-    return np.random.default_rng(1000 + table).permutation(BITS)
+    """The order of bits in a table's key: its substring first."""
+    return np.roll(np.arange(BITS), -SUBSTRING * table)
 
 
-def packed(bits: np.ndarray, table: int) -> np.ndarray:
-    """Codes as integers below 2**63, the table's substring on top."""
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Codes as integers below 2**63, the first bit on top."""
     spare = np.zeros((len(bits), 64 - BITS), bool)
-    return np.ascontiguousarray(np.packbits(np.hstack([spare, bits[:, bit_order(table)]]), axis=1)).view(">u8").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.packbits(np.hstack([spare, bits]), axis=1)).view(">u8").ravel().astype(np.int64)
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     exact = vectors.astype(np.float64)
+    # The largest element first, so that squares can't overflow or vanish.
+    exact /= np.abs(exact).max(axis=1)[:, None]
     return exact / np.linalg.norm(exact, axis=1)[:, None]
 
 
@@ -87,89 +103,271 @@ def class_keys(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-@lru_cache(None)
-def _masks(width: int, radius: int) -> np.ndarray:
-    return np.array([sum(1 << i for i in c) for r in range(1, radius + 1) for c in combinations(range(width), r)], np.int64)
+def shortened(units: np.ndarray) -> np.ndarray:
+    """Unit vectors in steps of 10 bits: a byte for each element and one for each four; (n, 5/4 of the dimensions)."""
+    steps = np.rint(units / np.abs(units).max(axis=1)[:, None] * _LEVELS).astype(np.int16) + (_LEVELS + 1)
+    steps = np.pad(steps, ((0, 0), (0, -units.shape[1] % 4)), constant_values=_LEVELS + 1)
+    high = (steps >> 8).reshape(len(steps), -1, 4) @ np.array([1, 4, 16, 64], np.int16)
+    return np.hstack([(steps & 255).astype(np.uint8), high.astype(np.uint8)])
+
+
+def restored(short: np.ndarray) -> np.ndarray:
+    """The unit vectors of shortened(), up to its steps; a multiple of four dimensions."""
+    dims = short.shape[1] // 5 * 4
+    high = (short[:, dims:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
+    out = (high.reshape(len(short), dims).astype(np.int16) << 8 | short[:, :dims]).astype(np.float64) - (_LEVELS + 1)
+    return out / np.linalg.norm(out, axis=1)[:, None]
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Cells of a table as ranges of codes: where each begins, the bits of its prefix, and the rotation that codes it again or -1."""
+
+    begins: np.ndarray
+    bits: np.ndarray
+    again: np.ndarray
+    again_bits: np.ndarray
+
+
+@dataclass(frozen=True)
+class Index:
+    """The tables of one model, and the rotations of the cells whose vectors are too alike for its codes."""
+
+    rotation: Rotation
+    trees: tuple[Tree, ...]
+    inner: tuple[Rotation, ...] = ()
+
+    def cells(self, units: np.ndarray, salt: int) -> np.ndarray:
+        """The cells of each vector, (n, slots): its own and probed ones of each table; unused slots are _NO_CELL."""
+        deep = PROBES if self.inner else 1
+        out = np.full((len(units), TABLES, PROBES, deep), _NO_CELL)
+        margins = self.rotation.margins(units)
+        for t, tree in enumerate(self.trees):
+            for p, (code, there) in enumerate(_probed(margins[:, bit_order(t)], lambda c: tree.bits[_leaf(tree, c)])):
+                leaf = _leaf(tree, code)
+                bits = tree.bits[leaf]
+                cell = _cell(salt, t, bits, np.where(bits > 0, code >> np.maximum(BITS - bits, 0), 0))
+                out[there, t, p, 0] = cell[there]
+                for again in np.unique(tree.again[leaf[there]]):
+                    if again < 0:
+                        continue
+                    rows = np.flatnonzero(there & (tree.again[leaf] == again))
+                    wide = int(tree.again_bits[leaf[rows[0]]])
+                    below = self.inner[again].margins(units[rows])
+                    for q, (inner, fine) in enumerate(_probed(below, lambda c: np.full(len(c), wide))):
+                        out[rows, t, p, q] = np.where(fine, _cell(cell[rows], again + 7, wide, inner >> (BITS - wide)), _NO_CELL)
+        return out.reshape(len(units), -1)
+
+
+def _leaf(tree: Tree, code: np.ndarray) -> np.ndarray:
+    return np.searchsorted(tree.begins, code, "right") - 1
+
+
+def _probed(margins: np.ndarray, bits):
+    """A code and those that differ in one of its least certain prefix bits, each with the rows that have it."""
+    code = packed(margins > 0)
+    yield code, np.ones(len(code), bool)
+    unsure = np.where(np.arange(BITS) < bits(code)[:, None], np.abs(margins), np.inf)
+    flips = np.argpartition(unsure, PROBES - 2, axis=1)[:, : PROBES - 1]
+    for p in range(PROBES - 1):
+        flip = flips[:, p]
+        yield code ^ (np.int64(1) << (BITS - 1 - flip)), np.isfinite(unsure[np.arange(len(code)), flip])
+
+
+def _cell(salt, table: int, bits, prefix) -> np.ndarray:
+    """A cell as one number; cells are told apart by 64 bits."""
+    with np.errstate(over="ignore"):
+        h = np.asarray(prefix).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(salt).astype(np.int64).view(np.uint64)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (np.asarray(bits) * 64 + table).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def build_index(sample: np.ndarray, rows: int, cell: int, learned: int = 4_096) -> Index:
+    """Learn the codes of a model from a sample of its unit vectors, and split its tables into cells of about `cell` rows.
+
+    Prefixes are split while the sample shows too many rows; one that the sample is too small for gets as many bits
+    as its rows need. One that its code's first two substrings don't split is coded again around its own centre.
+    """
+    rotation = learn_rotation(sample[:learned])
+    margins = rotation.margins(sample)
+    inner: list[Rotation] = []
+    trees = []
+    # Each row stands in PROBES cells of a table.
+    weight = rows * PROBES / len(sample)
+    deepest = 2 * SUBSTRING
+    for t in range(TABLES):
+        codes = packed(margins[:, bit_order(t)] > 0)
+        order = np.argsort(codes, kind="stable")
+        ordered = codes[order]
+        leaves: list[tuple[int, int, int, int, int]] = []
+        todo = [(0, 0, len(ordered))]
+        while todo:
+            depth, low, high = todo.pop()
+            held = (high - low) * weight
+            begin = int(ordered[low] >> (BITS - depth) << (BITS - depth)) if depth else 0
+            end = begin + (1 << (BITS - depth))
+            if held <= cell or high - low < 16 and depth < deepest:
+                more = max(0, int(np.ceil(np.log2(max(held, 1) / cell))))
+                leaves.append((begin, end, min(depth + more, BITS - 1), -1, 0))
+            elif depth >= deepest:
+                members = sample[order[low:high]]
+                leaves.append((begin, end, depth, len(inner), min(int(np.ceil(np.log2(held * PROBES / cell))), BITS - 1)))
+                inner.append(learn_rotation(members[:learned]))
+            else:
+                bit = np.int64(1) << (BITS - 1 - depth)
+                middle = low + int(np.searchsorted(ordered[low:high] & bit, bit))
+                todo += [(depth + 1, a, b) for a, b in ((low, middle), (middle, high)) if a < b]
+        # A prefix that the sample lacks belongs to the range before it, under a prefix of its own.
+        trees.append(Tree(*(np.array(c, np.int64) for c in zip(*_whole(sorted(leaves))))))
+    return Index(rotation, tuple(trees), tuple(inner))
+
+
+def _whole(leaves: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Leaves for all codes: what lies between those of the sample gets leaves of the same depth."""
+    out: list[tuple[int, int, int, int]] = []
+    at = 0
+    for begin, end, bits, again, wide in leaves:
+        if begin > at:
+            out.append((at, bits, -1, 0))
+        out.append((begin, bits, again, wide))
+        at = end
+    if at < 1 << BITS:
+        out.append((at, leaves[-1][2], -1, 0))
+    return out
+
+
+def drawn_index(dims: int, rows: int, cell: int) -> Index:
+    """An index without learning: as many prefix bits as the rows need."""
+    bits = max(0, int(np.ceil(np.log2(max(rows, 1) * PROBES / cell))))
+    one = [np.array([x], np.int64) for x in (0, min(bits, BITS - 1), -1, 0)]
+    return Index(drawn_rotation(dims), (Tree(*one),) * TABLES)
+
+
+class Best:
+    """The most similar candidates of each row, while pairs come; at most k of each row and some that wait are held."""
+
+    def __init__(self, rows: int, k: int, least: float):
+        self.k, self.least = k, least
+        self.other = np.full((rows, k), -1, np.int32)
+        self.value = np.full((rows, k), -np.inf, np.float32)
+        #: What a candidate must have to count.
+        self.bar = np.full(rows, least, np.float32)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.count = 0
+
+    def add(self, rows: np.ndarray, others: np.ndarray, values: np.ndarray) -> None:
+        if len(rows):
+            self.waiting.append((rows, others, values))
+            self.count += len(rows)
+        if self.count > WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        rows, others, values = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.count = [], 0
+        touched, of = np.unique(rows, return_inverse=True)
+        held = np.repeat(np.arange(len(touched)), self.k)
+        of = np.concatenate([of, held])
+        others = np.concatenate([others, self.other[touched].ravel()])
+        values = np.concatenate([values, self.value[touched].ravel()])
+        order = np.lexsort((-values, of))
+        of, others, values = of[order], others[order], values[order]
+        place = np.arange(len(of)) - np.searchsorted(of, np.arange(len(touched)))[of]
+        top = place < self.k
+        self.other[touched[of[top]], place[top]] = others[top]
+        self.value[touched[of[top]], place[top]] = values[top]
+        self.bar[touched] = np.maximum(self.value[touched, -1], self.least)
 
 
 class Cell:
-    """The vectors of one cell of one table: those that agree in a prefix of the table's substring."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: Rotation, table: int, prefix: int):
-        units = unit_rows(vectors)
-        first, second = class_keys(units)
-        # Of copies the one of the smallest id stays.
-        order = np.lexsort((ids, second, first))
-        lead = np.ones(len(ids), bool)
-        lead[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-        kept = order[lead]
-        self.ids, self.units = ids[kept], units[kept]
-        code = packed(rotation.bits(self.units), table)
-        width = min(max(6, int(len(kept)).bit_length()), BITS - prefix)
-        key = code >> (BITS - prefix - width) & ((1 << width) - 1)
+    """The vectors of one cell, each once: copies (of one class and one short form) are the one of the smallest id."""
+
+    def __init__(self, ids: np.ndarray, classes: np.ndarray, short: np.ndarray):
+        marks = class_keys(short.astype(np.float64) / 1e6)
+        order = np.lexsort((ids, classes, *marks))
+        same = np.zeros(len(ids), bool)
+        same[1:] = True
+        for c in (classes, *marks):
+            same[1:] &= c[order][1:] == c[order][:-1]
+        kept = order[~same]
+        self.ids, self.units = ids[kept], restored(short[kept])
+
+    def blocks(self, bits: np.ndarray | None) -> list[tuple[np.ndarray, int]]:
+        """Rows in blocks, with the key that a block's rows share."""
+        n = len(self.ids)
+        wide = int((n - 1) // BUCKET).bit_length() if bits is not None and n > SMALL else 0
+        if not wide:
+            return [(np.arange(s, min(s + BLOCK, n)), 0) for s in range(0, n, BLOCK)]
+        # The bits that split this cell best.
+        chosen = np.argsort(np.abs(bits.mean(axis=0) - 0.5), kind="stable")[:wide]
+        key = bits[:, chosen] @ (1 << np.arange(wide))
         order = np.argsort(key, kind="stable")
-        self.ids, self.units, self.code, key = self.ids[order], self.units[order], code[order].view(np.uint64), key[order]
-        self.width = width
-        self.counts = np.bincount(key, minlength=1 << width)
-        self.begins = np.cumsum(self.counts) - self.counts
-        self.keys = np.flatnonzero(self.counts)
-
-    @cached_property
-    def narrow(self) -> np.ndarray:
-        return self.units.astype(np.float32)
-
-    def near_codes(self):
-        """Pairs of rows whose keys differ in at most PROBE bits and whose codes in at most RADIUS, in portions."""
-        if len(self.ids) <= FEW:
-            yield np.triu_indices(len(self.ids), 1)
-            return
-        blocks = []
-        for mask in _masks(self.width, min(PROBE, self.width)):
-            other = self.keys ^ mask
-            both = (self.keys < other) & (self.counts[other] > 0)
-            blocks.append(np.stack([self.keys[both], other[both]]))
-        same = self.keys[self.counts[self.keys] > 1]
-        a, b = np.concatenate([*blocks, np.stack([same, same])], axis=1) if len(self.keys) else np.zeros((2, 0), np.int64)
-        size = self.counts[a] * self.counts[b]
-        upto = np.cumsum(size)
-        at = 0
-        while at < len(a):
-            # Buckets together, up to a number of pairs; a larger pair of buckets is cut by rows.
-            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS_AT_ONCE, side="right")))
-            whole = int(size[at:stop].sum())
-            for low in range(0, whole, 4 * _PAIRS_AT_ONCE):
-                if stop == at + 1:
-                    r = np.arange(low, min(whole, low + 4 * _PAIRS_AT_ONCE))
-                    which = np.full(len(r), at)
-                else:
-                    which = np.repeat(np.arange(at, stop), size[at:stop])
-                    r = np.arange(whole) - np.repeat(upto[at:stop] - size[at:stop] - (upto[at] - size[at]), size[at:stop])
-                wide = self.counts[b[which]]
-                i, j = self.begins[a[which]] + r // wide, self.begins[b[which]] + r % wide
-                near = (np.bitwise_count(self.code[i] ^ self.code[j]) <= RADIUS) & ((a[which] != b[which]) | (i < j))
-                yield i[near], j[near]
-                if stop != at + 1:
-                    break
-            at = stop
-
-    def best(self, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each row its k most similar of the candidates with at least that cosine: ids, ids of those, cosines."""
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i, j in self.near_codes():
-            for s in range(0, len(i), 1 << 17):
-                a, b = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
-                rough = np.einsum("nd,nd->n", self.narrow[a], self.narrow[b]) >= least - 1e-4
-                a, b = a[rough], b[rough]
-                fine = np.round(np.einsum("nd,nd->n", self.units[a], self.units[b]), 6)
-                good = fine >= least
-                got.append((a[good], b[good], fine[good]))
-        if not got:
-            none = np.zeros(0, np.int64)
-            return none, none, np.zeros(0)
-        a, b, cosine = (np.concatenate(x) for x in zip(*got))
-        a, b, cosine = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([cosine, cosine])
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        parts = np.split(order, cuts)
+        return [(p[s : s + BLOCK], int(key[p[0]])) for p in parts for s in range(0, len(p), BLOCK)]
+
+    def best(self, k: int, least: float, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row the k most similar of the probed rows with at least that cosine: rows, rows of those, cosines.
+
+        bits: codes of the rows, by which a large cell is probed; null compares all.
+        """
+        narrow = self.units.astype(np.float32)
+        blocks = self.blocks(bits)
+        found = Best(len(self.ids), k + SPARE, least - 1e-5)
+        for n, (x, mine) in enumerate(blocks):
+            for y, theirs in blocks[n:]:
+                if (mine ^ theirs).bit_count() <= RADIUS:
+                    _compare(narrow, x, y, found)
+        found.settle()
+        a = np.repeat(np.arange(len(self.ids)), k + SPARE)
+        b = found.other.ravel()
+        a, b = a[b >= 0], b[b >= 0]
+        cosine = np.round(np.einsum("nd,nd->n", self.units[a], self.units[b]), 6)
+        a, b, cosine = a[cosine >= least], b[cosine >= least], cosine[cosine >= least]
         order = np.lexsort((self.ids[b], -cosine, a))
         a, b, cosine = a[order], b[order], cosine[order]
-        begin = np.searchsorted(a, a)
-        top = np.arange(len(a)) - begin < k
-        return self.ids[a[top]], self.ids[b[top]], cosine[top]
+        top = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return a[top], b[top], cosine[top]
+
+
+def _compare(narrow: np.ndarray, x: np.ndarray, y: np.ndarray, found: Best) -> None:
+    """All pairs of two blocks (or of one) that reach a row's bar."""
+    cosines = narrow[x] @ narrow[y].T
+    own = x is y
+    if own:
+        np.fill_diagonal(cosines, -2.0)
+    bars, wide = (found.bar[x], found.bar[y]), cosines.shape[1]
+    # While no row is full, one look serves both.
+    same = own or (bars[0].max() <= found.least and bars[1].max() <= found.least)
+    for side in (0,) if same else (0, 1):
+        rows, others = (x, y) if not side else (y, x)
+        at = np.flatnonzero((cosines >= (bars[0][:, None] if not side else bars[1][None, :])).ravel())
+        if len(at) > 32 * (len(x) + len(y)) and len(others) > found.k:
+            # Rows with many: the best of each first, so that no more than these wait.
+            for one, two, values in ((x, y, cosines), (y, x, cosines.T)) if same and not own else ((rows, others, cosines.T if side else cosines),):
+                near = np.argpartition(-values, min(found.k, len(two)) - 1, axis=1)[:, : found.k]
+                best = np.take_along_axis(values, near, 1)
+                i, j = np.nonzero(best >= found.bar[one][:, None])
+                found.add(one[i], two[near[i, j]], best[i, j])
+            found.settle()
+        elif len(at):
+            i, j = at // wide, at % wide
+            value = cosines.ravel()[at]
+            if not side:
+                found.add(x[i], y[j], value)
+            if side or same and not own:
+                found.add(y[j], x[i], value)
+
+
+def meets_first(mine: np.ndarray, theirs: np.ndarray, here: int) -> np.ndarray:
+    """Whether, of the cells that both vectors of a pair stand in, this one has the least number."""
+    out = np.ones(len(mine), bool)
+    for s in range(0, len(mine), 50_000):
+        a, b = mine[s : s + 50_000], theirs[s : s + 50_000]
+        lower = (a < here) & (a != _NO_CELL)
+        both = (a[:, :, None] == b[:, None, :]) & lower[:, :, None]
+        out[s : s + 50_000] = ~both.any(axis=(1, 2))
+    return out

@@ -1,10 +1,15 @@
 """The most similar vectors of every vector, by multi-index hashing over the cluster.
 
 Each vector gets a learned binary code. A table of each substring of the code routes vectors by a prefix of the
-substring, as long as makes cells of a bounded size; in a cell the bits that follow are probed within a Hamming
-radius, codes near enough are reranked with the vectors, and the best of all tables are merged. Copies (equal
-directions) are one vector in the search: tasks drop them before the shuffle, and the results are given back to
-all members of a class at the end, so that a class of any size costs no more than its rows.
+substring, as long as makes cells of a bounded size: to the vector's own cell, and to the cells behind those bits of
+the prefix that its projections are least sure of. In a cell, buckets of codes within a Hamming radius are compared
+by cosines, in blocks, and the best of each vector are kept while pairs come; a pair is given out only by the first
+of the cells that both stand in. Vectors whose codes agree in two of three substrings everywhere (near copies of one
+another) are coded again around their own centre. Equal directions are one vector in the search and get their
+results back at the end, so that a class of any size costs no more than its rows.
+
+Two vectors whose codes differ in at most two bits share a whole substring, and so meet for sure; beyond that radius
+vectors meet by the probed bits, with the recall that the README gives.
 """
 
 from __future__ import annotations
@@ -17,37 +22,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstead.llm.codes import BITS, SUBSTRING, Cell, Rotation, class_keys, learn_rotation, packed, unit_rows
+from loomstead.llm import codes
+from loomstead.llm.codes import Cell, Index, class_keys, meets_first, restored, shortened, unit_rows
 from loomstead.session import write_once
 
-#: Vectors of each model that the rotation is learned from.
-SAMPLE = 4_096
-#: Different models (with their dimensions) in one collection; each has its own codes on the driver.
-MOST_MODELS = 256
-#: Vectors in a cell; larger ones are split by more bits of the prefix, STEP at a time.
-CELL, STEP = 100_000, 12
-#: Members by which copies are small enough to be sent to all executors, after counting.
-FEW = 500_000
+#: Vectors of each model that its index is learned from, and bytes that all models' samples share.
+SAMPLE, SAMPLE_BYTES = 16_384, 256 << 20
+#: Models, from the largest, that get a learned index; smaller ones get a drawn rotation of the same search.
+LEARNED = 256
+#: Rows of a cell; fewer where vectors are so long that they would take more than these bytes.
+CELL, CELL_BYTES = 65_536, 48 << 20
+#: Parts of the hash space that samples are taken by.
+_PARTS = 1 << 30
+#: What goes before a shortened vector: its model, the bits of the number of that model's rows (0: all in one cell), its class.
+_HEAD = np.dtype([("model", "<i8"), ("log", "<i2"), ("mark", "<u4")])
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Rotations by model, the number of tables, and cells: (model, table, bits, prefix) → number, or -1 where split on."""
+    """The indexes of learned models by their key, and how large cells are."""
 
-    rotations: dict[tuple[str, int], Rotation]
-    tables: int
-    cells: dict[tuple[int, int], list[tuple[int, dict[int, int]]]]
-    shapes: list[tuple[int, int, int]]
+    numbers: dict[int, int]
+    indexes: tuple[Index, ...]
+    cell: int
+    whole: int
 
-    def place(self, model: int, table: int, codes: np.ndarray) -> np.ndarray:
-        out = np.full(len(codes), -1)
-        for bits, known in self.cells.get((model, table), ()):
-            todo = np.flatnonzero(out < 0)
-            if not len(todo):
-                break
-            prefix, back = np.unique(codes[todo] >> (BITS - bits), return_inverse=True)
-            out[todo] = np.array([known.get(int(p), -1) for p in prefix])[back]
-        return out
+    def size(self, dims: int) -> int:
+        return max(64, min(self.cell, CELL_BYTES // (dims + dims // 4 + 16)))
 
 
 def usable(df: DataFrame, vector: str, dims: str) -> DataFrame:
@@ -57,135 +58,113 @@ def usable(df: DataFrame, vector: str, dims: str) -> DataFrame:
     return df.where(v.isNotNull() & (F.size(v) == F.col(dims)) & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0))
 
 
-def _learn(rows: DataFrame) -> dict[tuple[str, int], Rotation]:
-    by_hash = Window.partitionBy("model", "dims").orderBy(F.xxhash64("id"), "id")
-    sample = rows.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE).drop("n")
-    models = rows.groupBy("model", "dims").count().limit(MOST_MODELS + 1).collect()
-    if len(models) > MOST_MODELS:
-        raise ValueError(f"more than {MOST_MODELS} models")
-    parts: dict[tuple[str, int], list] = {}
-    for r in sample.collect():
-        parts.setdefault((r.model, r.dims), []).append(r.vector)
-    return {k: learn_rotation(unit_rows(np.array(v, np.float32))) for k, v in sorted(parts.items())}
+def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of a batch by the length of their vectors, and their unit vectors."""
+    dims = batch.column("dims").to_numpy()
+    for d in np.unique(dims):
+        rows = np.flatnonzero(dims == d)
+        flat = batch.column("vector").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        yield rows, unit_rows(flat.reshape(len(rows), int(d)))
 
 
-def _vectors(batch: pa.RecordBatch, rows: np.ndarray, dims: int) -> np.ndarray:
-    column = batch.column("vector").take(pa.array(rows))
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dims)
-
-
-def _by_model(batch: pa.RecordBatch, names: list[tuple[str, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    number = {k: i for i, k in enumerate(names)}
-    of = np.array([number[k] for k in zip(batch.column("model").to_pylist(), batch.column("dims").to_pylist())], np.int64)
-    for m in np.unique(of):
-        rows = np.flatnonzero(of == m)
-        yield int(m), rows, _vectors(batch, rows, names[m][1])
-
-
-def _coded(rows: DataFrame, rotations: dict[tuple[str, int], Rotation]) -> DataFrame:
-    names = list(rotations)
+def _classed(rows: DataFrame) -> DataFrame:
+    """(id, model, c1, c2): the class of equal directions that each vector belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            for m, which, vectors in _by_model(batch, names):
-                units = unit_rows(vectors)
+            ids, model = batch.column("id").to_numpy(), batch.column("model").to_numpy()
+            for which, units in _by_dims(batch):
                 first, second = class_keys(units)
-                code = packed(rotations[names[m]].bits(units), 0)
-                columns = [ids[which], np.full(len(which), m, np.int32), first, second, code]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "m", "c1", "c2", "code"])
-
-    return rows.mapInArrow(run, "id long, m int, c1 long, c2 long, code long")
-
-
-def _reordered(table: int, code: np.ndarray) -> np.ndarray:
-    """A code of table 0 as that of another table."""
-    bits = np.unpackbits(code.astype(">u8").view(np.uint8).reshape(len(code), 8), axis=1)[:, 64 - BITS :].astype(bool)
-    return packed(bits, table)
-
-
-def _plan(coded: DataFrame, rotations: dict[tuple[str, int], Rotation], tables: int) -> Plan:
-    """Split each table's prefixes, STEP bits at a time, until cells are small; only prefixes too large are counted again."""
-    cells: dict[tuple[int, int], list[tuple[int, dict[int, int]]]] = {}
-    shapes: list[tuple[int, int, int]] = []
-    parents: set[tuple[int, int, int]] | None = None
-    bits = 0
-    while (parents is None or parents) and bits < BITS - STEP:
-        bits += STEP
-        upper = None if parents is None else frozenset(parents)
-
-        def run(batches: Iterator[pa.RecordBatch], bits: int = bits, upper: frozenset | None = upper) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                m, code = batch.column("m").to_numpy(), batch.column("code").to_numpy()
-                for table in range(tables):
-                    prefix = _reordered(table, code) >> (BITS - bits)
-                    keys, counts = np.unique(np.stack([m.astype(np.int64), prefix]), axis=1, return_counts=True)
-                    keep = np.ones(len(counts), bool)
-                    if upper is not None:
-                        keep = np.array([(int(a), table, int(b) >> STEP) in upper for a, b in keys.T], bool)
-                    n = int(keep.sum())
-                    columns = [keys[0][keep], np.full(n, table), keys[1][keep], counts[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["m", "t", "prefix", "n"])
-
-        counted = coded.select("m", "code").mapInArrow(run, "m long, t long, prefix long, n long")
-        rows = counted.groupBy("m", "t", "prefix").agg(F.sum("n").alias("n")).collect()
-        hot: set[tuple[int, int, int]] = set()
-        trees: dict[tuple[int, int, int], dict[int, int]] = {}
-        for r in rows:
-            trees.setdefault((r.m, r.t, r.prefix >> STEP), {})[r.prefix & ((1 << STEP) - 1)] = r.n
-        for (m, t, above), leaves in sorted(trees.items()):
-            counts = np.zeros(1 << STEP, np.int64)
-            counts[list(leaves)] = list(leaves.values())
-            known: dict[int, int] = {}
-            # Halve ranges of prefixes while they are too large.
-            todo = [(0, 0)]
-            while todo:
-                depth, value = todo.pop()
-                low, high = value << (STEP - depth), (value + 1) << (STEP - depth)
-                whole = int(counts[low:high].sum())
-                if whole == 0:
-                    continue
-                if whole > CELL and depth == STEP and bits < BITS - STEP:
-                    hot.add((m, t, above << STEP | value))
-                elif whole > CELL and depth < STEP:
-                    todo += [(depth + 1, value * 2), (depth + 1, value * 2 + 1)]
-                else:
-                    for leaf in (np.flatnonzero(counts[low:high]) + low).tolist():
-                        known[above << STEP | leaf] = len(shapes)
-                    shapes.append((m, t, bits - STEP + depth))
-            levels = cells.setdefault((m, t), [])
-            if not levels or levels[-1][0] != bits:
-                levels.append((bits, {}))
-            levels[-1][1].update(known)
-        parents = hot
-    return Plan(rotations, tables, cells, shapes)
+                columns = [ids[which], model[which], first ^ model[which], second + model[which]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "model", "c1", "c2"])
+
+    return rows.mapInArrow(run, "id long, model long, c1 long, c2 long")
+
+
+def _plan(rows: DataFrame, sizes: list, cell: int, whole: int) -> Plan:
+    """Learn an index of each large model, from a sample by hash: a bounded number of vectors, whatever the size."""
+    if not sizes:
+        return Plan({}, (), cell, whole)
+    counts = {r.model: r.n for r in sizes}
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame([(m, n) for m, n in counts.items()], "model long, n long")
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"), F.lit(float(SAMPLE_BYTES // len(counts))) / (F.col("n") * F.col("dims") * 4))
+    part = F.pmod(F.xxhash64("id", "vector"), F.lit(_PARTS))
+    # At most LEARNED rows.
+    sample = rows.join(F.broadcast(wanted), "model").where(part < share * _PARTS).select("model", "dims", "vector").toArrow()
+    plan = Plan({}, (), cell, whole)
+    numbers, indexes = {}, []
+    model = sample.column("model").to_numpy()
+    for m in sorted(counts):
+        which = np.flatnonzero(model == m)
+        if not len(which):
+            continue
+        flat = sample.column("vector").take(pa.array(which)).combine_chunks()
+        flat = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy(zero_copy_only=False)
+        units = restored(shortened(unit_rows(flat.reshape(len(which), -1))))
+        numbers[m] = len(indexes)
+        indexes.append(codes.build_index(units, counts[m], plan.size(units.shape[1])))
+    return Plan(numbers, tuple(indexes), cell, whole)
+
+
+def _index(plan: Plan, model: int, log: int, dims: int) -> Index:
+    number = plan.numbers.get(model)
+    # Rows of models without a learned index are rounded up to a power of two.
+    return codes.drawn_index(dims, 1 << log, plan.size(dims)) if number is None else plan.indexes[number]
 
 
 def _routed(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Each vector to its cell of each table; of copies in a task only the first."""
-    names = list(plan.rotations)
+    """Each vector, shortened, to its cells of each table; of copies in a batch only the first.
+
+    rows have `n`, the rows of their model if those are more than one cell takes whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int, int]] = set()
+        hot: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            for m, which, vectors in _by_model(batch, names):
-                units = unit_rows(vectors)
-                keys = zip(*(c.tolist() for c in class_keys(units)))
-                fresh = np.zeros(len(which), bool)
-                for i, (a, b) in enumerate(keys):
-                    if (m, a, b) not in seen:
-                        fresh[i] = True
-                        seen.add((m, a, b))
-                bits = plan.rotations[names[m]].bits(units[fresh])
-                raw = np.ascontiguousarray(vectors[fresh], "<f4")
-                binary = pa.array([r.tobytes() for r in raw], pa.binary())
-                for table in range(plan.tables):
-                    cell = plan.place(m, table, packed(bits, table)).astype(np.int32)
-                    columns = [pa.array(cell), pa.array(ids[which[fresh]]), binary]
+            ids, model = batch.column("id").to_numpy(), batch.column("model").to_numpy()
+            size = batch.column("n").fill_null(0).to_numpy()
+            for of_dims, every in _by_dims(batch):
+                keys = np.stack(class_keys(every), axis=1)
+                for m in np.unique(model[of_dims]):
+                    inside = np.flatnonzero(model[of_dims] == m)
+                    _, first, times = np.unique(keys[inside], axis=0, return_index=True, return_counts=True)
+                    # Classes met twice in a batch are remembered, so that hot ones come once from a task.
+                    fresh = np.ones(len(first), bool)
+                    for i in np.flatnonzero(times > 1) if not hot else range(len(first)):
+                        key = (int(m), *keys[inside[first[i]]].tolist())
+                        if key in hot:
+                            fresh[i] = False
+                        elif times[i] > 1:
+                            hot.add(key)
+                    inside = inside[np.sort(first[fresh])]
+                    which = of_dims[inside]
+                    if not len(which):
+                        continue
+                    short = shortened(every[inside])
+                    head = np.zeros(len(which), _HEAD)
+                    log = int(size[which[0]]).bit_length()
+                    head["model"], head["log"], head["mark"] = m, log, keys[inside, 0] & 0xFFFFFFFF
+                    raw = np.hstack([head.view(np.uint8).reshape(len(which), -1), short])
+                    if log:
+                        units = restored(short)
+                        cells = _index(plan, int(m), log, units.shape[1]).cells(units, int(m))
+                    else:
+                        cells = codes._cell(m, 63, 0, np.zeros((len(which), 1), np.int64))
+                    row, slot = np.nonzero(_distinct(cells))
+                    binary = pa.array([r.tobytes() for r in raw], pa.binary())
+                    columns = [pa.array(cells[row, slot]), pa.array(ids[which][row]), binary.take(pa.array(row))]
                     yield pa.RecordBatch.from_arrays(columns, ["cell", "id", "raw"])
 
-    return rows.mapInArrow(run, "cell int, id long, raw binary")
+    return rows.mapInArrow(run, "cell long, id long, raw binary")
+
+
+def _distinct(cells: np.ndarray) -> np.ndarray:
+    """The slots that are in use and don't repeat one before."""
+    out = cells != codes._NO_CELL
+    for s in range(1, cells.shape[1]):
+        out[:, s] &= (cells[:, :s] != cells[:, s : s + 1]).all(axis=1)
+    return out
 
 
 def similar_pairs(
@@ -196,70 +175,74 @@ def similar_pairs(
     vector: str = "embedding",
     model: str = "embedding_model",
     dims: str = "embedding_dimensions",
-    tables: int | None = None,
+    cell: int = CELL,
+    whole: int = codes.SMALL,
 ) -> DataFrame:
     """Pairs (a, b, cosine), a < b, in which one is among the other's k most similar vectors of the same model.
 
-    Cosines are rounded to 6 decimals, ties go to the smaller id; pairs below `least` are left out. Null vectors,
-    those with a null or infinite element, of another length than stated or all zero are no vectors; a null model
-    is a model like any other. An empty table gives no pairs. Approximate: a pair is found if in one of the tables
-    its codes agree in the cell's prefix and differ in at most PROBE of the bits that follow.
+    Ties go to the smaller id; pairs below `least` are left out. Null vectors, those with a null or infinite element,
+    of another length than stated or all zero are no vectors; a null model is a model like any other. An empty table
+    gives no pairs. Approximate: two vectors meet if their cells do (see above), and cosines are those of vectors
+    shortened to 10 bits an element, right to about three decimals. cell: rows of a cell; whole: rows of a model up
+    to which all are compared.
     """
     rows = usable(df, vector, dims).where(F.col(id).isNotNull()).select(
         F.col(id).cast("long").alias("id"),
-        F.coalesce(F.col(model), F.lit("")).alias("model"),
+        F.xxhash64(F.coalesce(F.col(model), F.lit("")), F.col(dims).cast("int")).alias("model"),
         F.col(dims).cast("int").alias("dims"),
         F.col(vector).cast("array<float>").alias("vector"),
     )
-    rotations = _learn(rows)
-    spark = df.sparkSession
-    if not rotations:
-        return spark.createDataFrame([], "a long, b long, cosine double")
-    coded = write_once(_coded(rows, rotations), "codes")
-    if tables is None:
-        # Longer prefixes cost recall; more tables give it back: one for each fourfold of what a few cells hold.
-        tables = BITS // SUBSTRING + max(0, int(np.ceil(np.log2(max(1, coded.count()) / (4 * CELL)) / 2)))
-    plan = _plan(coded, rotations, tables)
-    shapes, names = plan.shapes, list(rotations)
+    classed = write_once(_classed(rows), "classes")
+    sizes = classed.groupBy("model").agg(F.count("*").alias("n")).where(F.col("n") > whole)
+    plan = _plan(rows, sizes.orderBy(F.desc("n"), "model").limit(LEARNED).collect(), cell, whole)
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
-        m, table, prefix = shapes[key[0].as_py()]
-        raw = np.frombuffer(b"".join(group.column("raw").to_pylist()), "<f4").reshape(group.num_rows, names[m][1])
-        a, b, cosine = Cell(group.column("id").to_numpy(), raw, rotations[names[m]], table, prefix).best(k, least)
-        return pa.table([pa.array(a), pa.array(b), pa.array(cosine)], ["a", "b", "cosine"])
-
-    near = _routed(rows, plan).groupBy("cell").applyInArrow(search, "a long, b long, cosine double")
-    return _given_back(near, coded, k)
-
-
-def _given_back(near: DataFrame, coded: DataFrame, k: int) -> DataFrame:
-    """From the k best of each searched vector in each table to the pairs of all members of their classes."""
-    key = ["m", "c1", "c2"]
-    classes = coded.groupBy(*key).agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = write_once(coded.select("id", *key).join(classes.select(*key, "lead"), key).select("id", "lead"), "members")
+        here = key[0].as_py()
+        raw = group.column("raw").combine_chunks()
+        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+        wide = len(raw[0].as_py())
+        raw = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(group), wide)
+        head = np.ascontiguousarray(raw[:, : _HEAD.itemsize]).view(_HEAD).ravel()
+        held = Cell(group.column("id").to_numpy(), head["mark"], raw[:, _HEAD.itemsize :])
+        model, log = int(head["model"][0]), int(head["log"][0])
+        if log:
+            index = _index(plan, model, log, held.units.shape[1])
+            a, b, cosine = held.best(k, least, index.rotation.bits(held.units) if len(held.ids) > codes.SMALL else None)
+            cells = index.cells(held.units, model)
+            once = meets_first(cells[a], cells[b], here)
+            a, b, cosine = a[once], b[once], cosine[once]
+        else:
+            a, b, cosine = held.best(k, least)
+        return pa.table([pa.array(held.ids[a]), pa.array(held.ids[b]), pa.array(cosine)], ["a", "b", "cosine"])
+
+    large = rows.join(sizes, "model", "left")
+    near = _routed(large, plan).groupBy("cell").applyInArrow(search, "a long, b long, cosine double")
+    return _given_back(near, classed, k)
+
+
+def _given_back(near: DataFrame, classed: DataFrame, k: int) -> DataFrame:
+    """From the k best of each searched vector in each cell to the pairs of all members of their classes."""
+    key = ["model", "c1", "c2"]
+    classes = classed.groupBy(*key).agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    members = write_once(classed.join(classes.select(*key, "lead"), key).select("id", "lead"), "members")
     followers = members.where("id <> lead")
-    few = followers.limit(FEW).count() < FEW
-    maybe = F.broadcast if few else (lambda x: x)
     led = (
-        near.join(maybe(followers.select(F.col("id").alias("a"), F.col("lead").alias("lead_a"))), "a", "left")
-        .join(maybe(followers.select(F.col("id").alias("b"), F.col("lead").alias("lead_b"))), "b", "left")
+        near.join(followers.select(F.col("id").alias("a"), F.col("lead").alias("lead_a")), "a", "left")
+        .join(followers.select(F.col("id").alias("b"), F.col("lead").alias("lead_b")), "b", "left")
         .select(F.coalesce("lead_a", "a").alias("a"), F.coalesce("lead_b", "b").alias("b"), "cosine")
         .where("a <> b")
     )
-    # At most k of each table for a vector and task, so these lists are bounded.
-    lists = led.groupBy("a").agg(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "b")).alias("all"))
-    by_b = F.filter(
-        F.array_sort("all"),
-        lambda x: x.isNotNull(),
-    )
-    best = lists.select("a", F.slice(by_b, 1, k).alias("top"))
+    # At most k of each cell for a vector, so these lists are bounded; a class that was met twice counts once.
+    lists = led.groupBy("a").agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "b"))).alias("all"))
+    once = F.filter("all", lambda x, i: ~F.exists(F.slice("all", 1, i), lambda y: y.b == x.b))
+    best = lists.select("a", F.slice(once, 1, k).alias("top"))
     first = Window.partitionBy("lead").orderBy("id")
     smallest = members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     smallest = smallest.groupBy("lead").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     outer = (
         best.select("a", F.explode("top").alias("x"))
         .select("a", F.col("x.far").alias("far"), F.col("x.b").alias("b"))
-        .join(maybe(smallest.select(F.col("lead").alias("b"), "ids")), "b", "left")
+        .join(smallest.select(F.col("lead").alias("b"), "ids"), "b", "left")
         .select("a", "far", F.explode(F.coalesce(F.slice("ids", 1, k), F.array("b"))).alias("b"))
     )
     own = smallest.select(F.col("lead").alias("a"), F.lit(-1.0).alias("far"), F.explode("ids").alias("b"))

@@ -50,14 +50,49 @@ def test_recall(spark, rows):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
-def test_split_cells(spark, rows, monkeypatch):
-    """Many small cells, and hot prefixes that are split on."""
-    monkeypatch.setattr(neighbours, "CELL", 120)
-    monkeypatch.setattr(neighbours, "STEP", 3)
-    got, want = found(spark.createDataFrame(rows, SCHEMA), tables=5), exact(rows)
+def test_split_cells(spark, rows):
+    """Many small cells."""
+    got, want = found(spark.createDataFrame(rows, SCHEMA), cell=120, whole=100), exact(rows)
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_drawn_index(spark, rows, monkeypatch):
+    """Models beyond those that are learned."""
+    monkeypatch.setattr(neighbours, "LEARNED", 1)
+    got, want = found(spark.createDataFrame(rows, SCHEMA), cell=200, whole=100), exact(rows)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_near_copies_are_coded_again(spark):
+    """A third of the rows are so alike that the model's codes don't tell them apart."""
+    rng = np.random.default_rng(5)
+    rows = clustered(rng, 1200, 32, "m", 0)
+    centre = np.array(rows[7][1])
+    alike = centre + 1e-4 * np.abs(centre).max() * rng.standard_normal((600, 32))
+    far = [(10_000 + i, v.astype(np.float32).tolist(), "m", 32) for i, v in enumerate(alike)]
+    got, want = found(spark.createDataFrame(rows + far, SCHEMA), cell=100, whole=50), exact(rows)
+    other = {p for p in want if max(p) < 10_000 and 7 not in p}
+    assert len(got & other) >= 0.9 * len(other)
+    # Each of the alike has five partners among its like; which ones, their short forms can't tell.
+    partners: dict[int, int] = {}
+    for a, b in got:
+        if a >= 10_000:
+            partners[a], partners[b] = partners.get(a, 0) + 1, partners.get(b, 0) + 1
+    assert sum(partners.get(i, 0) >= 5 for i, *_ in far) >= 0.95 * len(far)
+
+
+def test_dense_cell_is_bounded():
+    """In a cell of near copies every pair is a candidate; only the best of each row are held."""
+    rng = np.random.default_rng(6)
+    x = codes.unit_rows(1 + 0.05 * rng.standard_normal((3000, 24)))
+    cell = codes.Cell(np.arange(3000), np.zeros(3000, np.uint32), codes.shortened(x))
+    a, b, cosine = cell.best(5, 0.85)
+    s = np.round(cell.units @ cell.units.T, 6)
+    np.fill_diagonal(s, -2)
+    assert (np.bincount(a, minlength=3000) == 5).all()
+    assert (np.sort(cosine.reshape(3000, 5), axis=1) == np.sort(np.partition(s, -5, axis=1)[:, -5:], axis=1)).all()
+
+
 def test_copies(spark):
     v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.3]
     rows = [(i, v, "m", 3) for i in range(10, 30)] + [(5, w, "m", 3), (40, [-1.0, 0.0, 0.0], "m", 3)]
@@ -79,11 +114,14 @@ def test_codes():
     rotation = codes.learn_rotation(x)
     bits = rotation.bits(x)
     assert bits.shape == (500, codes.BITS) and (np.abs(bits.mean(0) - 0.5) < 0.01).all()
-    for table in range(5):
-        packed = codes.packed(bits, table)
-        assert sorted(codes.bit_order(table).tolist()) == list(range(codes.BITS)) and (packed >= 0).all()
-        assert ((packed >> (codes.BITS - 1)) == bits[:, codes.bit_order(table)[0]]).all()
-        assert (neighbours._reordered(table, codes.packed(bits, 0)) == packed).all()
+    short = codes.restored(codes.shortened(x))
+    assert (np.einsum("nd,nd->n", short, x) > 0.9999).all()
+    index = codes.build_index(x, 500, 100)
+    cells = index.cells(x, 1)
+    assert cells.shape == (500, codes.TABLES * codes.PROBES) and (cells[:, ::codes.PROBES] != codes._NO_CELL).all()
+    assert (index.cells(x[::-1].copy(), 1)[::-1] == cells).all()
+    # A range of codes without a sample has a cell too.
+    assert (codes.Index(index.rotation, index.trees).cells(-x, 1)[:, 0] != codes._NO_CELL).all()
     a, b = codes.class_keys(x)
     c, d = codes.class_keys(codes.unit_rows((x * 3).astype(np.float32)))
     assert len(set(a.tolist())) == 500 and (a == c).mean() > 0.8 and ((a == c) == (b == d)).all()
