@@ -13,9 +13,9 @@ TABLES = BITS // SUBSTRING
 #: Cells of each table that a vector stands in: its own, and those behind the least certain bits of its prefix.
 PROBES = 3
 #: In a cell, buckets of at most about so many vectors are compared if their keys differ by at most so many bits.
-BUCKET, RADIUS = 2_048, 2
+BUCKET, RADIUS = 1_024, 2
 #: Vectors of a cell below which all are compared.
-SMALL = 8_192
+SMALL = 4_096
 #: Rows and columns of a block of cosines, and candidates that wait before the best are chosen.
 BLOCK, WAITING = 1_024, 1 << 20
 #: More candidates than k that are kept until cosines are rounded and ties are decided.
@@ -273,7 +273,8 @@ class Best:
         of = np.concatenate([of, held])
         others = np.concatenate([others, self.other[touched].ravel()])
         values = np.concatenate([values, self.value[touched].ravel()])
-        order = np.lexsort((-values, of))
+        # Cosines are within 1, so that one number orders by row, then cosine.
+        order = np.argsort(of * 4.0 - values.clip(-1.5, 1.5))
         of, others, values = of[order], others[order], values[order]
         place = np.arange(len(of)) - np.searchsorted(of, np.arange(len(touched)))[of]
         top = place < self.k

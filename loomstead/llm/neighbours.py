@@ -27,11 +27,11 @@ from loomstead.llm.codes import Cell, Index, class_keys, meets_first, restored,
 from loomstead.session import write_once
 
 #: Vectors of each model that its index is learned from, and bytes that all models' samples share.
-SAMPLE, SAMPLE_BYTES = 16_384, 256 << 20
+SAMPLE, SAMPLE_BYTES = 8_192, 256 << 20
 #: Models, from the largest, that get a learned index; smaller ones get a drawn rotation of the same search.
 LEARNED = 256
 #: Rows of a cell; fewer where vectors are so long that they would take more than these bytes.
-CELL, CELL_BYTES = 65_536, 48 << 20
+CELL, CELL_BYTES = 32_768, 48 << 20
 #: Parts of the hash space that samples are taken by.
 _PARTS = 1 << 30
 #: What goes before a shortened vector: its model, the bits of the number of that model's rows (0: all in one cell), its class.
