@@ -21,7 +21,7 @@ BLOCK, WAITING = 1_024, 1 << 20
 #: More candidates than k that are kept until cosines are rounded and ties are decided.
 SPARE = 3
 _NO_CELL = np.int64(-(1 << 63))
-_LEVELS = 511
+_LEVELS = 2_047
 
 
 @dataclass(frozen=True)
@@ -104,17 +104,17 @@ def class_keys(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shortened(units: np.ndarray) -> np.ndarray:
-    """Unit vectors in steps of 10 bits: a byte for each element and one for each four; (n, 5/4 of the dimensions)."""
+    """Unit vectors in steps of 12 bits: a byte for each element and one for each two; (n, 3/2 of the dimensions)."""
     steps = np.rint(units / np.abs(units).max(axis=1)[:, None] * _LEVELS).astype(np.int16) + (_LEVELS + 1)
-    steps = np.pad(steps, ((0, 0), (0, -units.shape[1] % 4)), constant_values=_LEVELS + 1)
-    high = (steps >> 8).reshape(len(steps), -1, 4) @ np.array([1, 4, 16, 64], np.int16)
+    steps = np.pad(steps, ((0, 0), (0, units.shape[1] % 2)), constant_values=_LEVELS + 1)
+    high = (steps >> 8).reshape(len(steps), -1, 2) @ np.array([1, 16], np.int16)
     return np.hstack([(steps & 255).astype(np.uint8), high.astype(np.uint8)])
 
 
 def restored(short: np.ndarray) -> np.ndarray:
-    """The unit vectors of shortened(), up to its steps; a multiple of four dimensions."""
-    dims = short.shape[1] // 5 * 4
-    high = (short[:, dims:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
+    """The unit vectors of shortened(), up to its steps; an even number of dimensions."""
+    dims = short.shape[1] // 3 * 2
+    high = (short[:, dims:, None] >> np.array([0, 4], np.uint8)) & 15
     out = (high.reshape(len(short), dims).astype(np.int16) << 8 | short[:, :dims]).astype(np.float64) - (_LEVELS + 1)
     return out / np.linalg.norm(out, axis=1)[:, None]
 

@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from loomstead.llm import codes
 from loomstead.llm.codes import Cell, Index, class_keys, meets_first, restored, shortened, unit_rows
-from loomstead.session import write_once
+from loomstead.session import rows_known_below, write_once
 
 #: Vectors of each model that its index is learned from, and bytes that all models' samples share.
 SAMPLE, SAMPLE_BYTES = 8_192, 256 << 20
 #: Models, from the largest, that get a learned index; smaller ones get a drawn rotation of the same search.
 LEARNED = 256
+#: Further large models, after counting, whose sizes are sent to all executors; more are joined.
+FEW_MODELS = 100_000
 #: Rows of a cell; fewer where vectors are so long that they would take more than these bytes.
 CELL, CELL_BYTES = 32_768, 48 << 20
 #: Parts of the hash space that samples are taken by.
@@ -43,12 +45,13 @@ class Plan:
     """The indexes of learned models by their key, and how large cells are."""
 
     numbers: dict[int, int]
+    logs: dict[int, int]
     indexes: tuple[Index, ...]
     cell: int
     whole: int
 
     def size(self, dims: int) -> int:
-        return max(64, min(self.cell, CELL_BYTES // (dims + dims // 4 + 16)))
+        return max(64, min(self.cell, CELL_BYTES // (dims * 3 // 2 + 16)))
 
 
 def usable(df: DataFrame, vector: str, dims: str) -> DataFrame:
@@ -84,7 +87,7 @@ def _classed(rows: DataFrame) -> DataFrame:
 def _plan(rows: DataFrame, sizes: list, cell: int, whole: int) -> Plan:
     """Learn an index of each large model, from a sample by hash: a bounded number of vectors, whatever the size."""
     if not sizes:
-        return Plan({}, (), cell, whole)
+        return Plan({}, {}, (), cell, whole)
     counts = {r.model: r.n for r in sizes}
     spark = rows.sparkSession
     wanted = spark.createDataFrame([(m, n) for m, n in counts.items()], "model long, n long")
@@ -92,7 +95,7 @@ def _plan(rows: DataFrame, sizes: list, cell: int, whole: int) -> Plan:
     part = F.pmod(F.xxhash64("id", "vector"), F.lit(_PARTS))
     # At most LEARNED rows.
     sample = rows.join(F.broadcast(wanted), "model").where(part < share * _PARTS).select("model", "dims", "vector").toArrow()
-    plan = Plan({}, (), cell, whole)
+    plan = Plan({}, {}, (), cell, whole)
     numbers, indexes = {}, []
     model = sample.column("model").to_numpy()
     for m in sorted(counts):
@@ -104,7 +107,7 @@ def _plan(rows: DataFrame, sizes: list, cell: int, whole: int) -> Plan:
         units = restored(shortened(unit_rows(flat.reshape(len(which), -1))))
         numbers[m] = len(indexes)
         indexes.append(codes.build_index(units, counts[m], plan.size(units.shape[1])))
-    return Plan(numbers, tuple(indexes), cell, whole)
+    return Plan(numbers, {m: n.bit_length() for m, n in counts.items()}, tuple(indexes), cell, whole)
 
 
 def _index(plan: Plan, model: int, log: int, dims: int) -> Index:
@@ -116,7 +119,7 @@ def _index(plan: Plan, model: int, log: int, dims: int) -> Index:
 def _routed(rows: DataFrame, plan: Plan) -> DataFrame:
     """Each vector, shortened, to its cells of each table; of copies in a batch only the first.
 
-    rows have `n`, the rows of their model if those are more than one cell takes whole.
+    rows have `n`, the rows of their model if that is large and not in the plan.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def _routed(rows: DataFrame, plan: Plan) -> DataFrame:
                         continue
                     short = shortened(every[inside])
                     head = np.zeros(len(which), _HEAD)
-                    log = int(size[which[0]]).bit_length()
+                    log = plan.logs.get(int(m), int(size[which[0]]).bit_length())
                     head["model"], head["log"], head["mark"] = m, log, keys[inside, 0] & 0xFFFFFFFF
                     raw = np.hstack([head.view(np.uint8).reshape(len(which), -1), short])
                     if log:
@@ -183,7 +186,7 @@ def similar_pairs(
     Ties go to the smaller id; pairs below `least` are left out. Null vectors, those with a null or infinite element,
     of another length than stated or all zero are no vectors; a null model is a model like any other. An empty table
     gives no pairs. Approximate: two vectors meet if their cells do (see above), and cosines are those of vectors
-    shortened to 10 bits an element, right to about three decimals. cell: rows of a cell; whole: rows of a model up
+    shortened to 12 bits an element, right to about four decimals. cell: rows of a cell; whole: rows of a model up
     to which all are compared.
     """
     rows = usable(df, vector, dims).where(F.col(id).isNotNull()).select(
@@ -194,7 +197,8 @@ def similar_pairs(
     )
     classed = write_once(_classed(rows), "classes")
     sizes = classed.groupBy("model").agg(F.count("*").alias("n")).where(F.col("n") > whole)
-    plan = _plan(rows, sizes.orderBy(F.desc("n"), "model").limit(LEARNED).collect(), cell, whole)
+    largest = sizes.orderBy(F.desc("n"), "model").limit(LEARNED + 1).collect()
+    plan = _plan(rows, largest[:LEARNED], cell, whole)
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         here = key[0].as_py()
@@ -215,8 +219,11 @@ def similar_pairs(
             a, b, cosine = held.best(k, least)
         return pa.table([pa.array(held.ids[a]), pa.array(held.ids[b]), pa.array(cosine)], ["a", "b", "cosine"])
 
-    large = rows.join(sizes, "model", "left")
-    near = _routed(large, plan).groupBy("cell").applyInArrow(search, "a long, b long, cosine double")
+    sized = rows.withColumn("n", F.lit(None).cast("long"))
+    if len(largest) > LEARNED:
+        others = write_once(sizes, "models")
+        sized = rows.join(F.broadcast(others) if rows_known_below(others, FEW_MODELS) else others, "model", "left")
+    near = _routed(sized, plan).groupBy("cell").applyInArrow(search, "a long, b long, cosine double")
     return _given_back(near, classed, k)
 
 
