@@ -34,6 +34,8 @@ LEARNED = 256
 FEW_MODELS = 100_000
 #: Rows of a cell; fewer where vectors are so long that they would take more than these bytes.
 CELL, CELL_BYTES = 32_768, 48 << 20
+#: Cosines above this are told apart neither by short forms nor by single precision.
+ALIKE = 0.999995
 #: Parts of the hash space that samples are taken by.
 _PARTS = 1 << 30
 #: What goes before a shortened vector: its model, the bits of the number of that model's rows (0: all in one cell), its class.
@@ -213,7 +215,8 @@ def similar_pairs(
             index = _index(plan, model, log, held.units.shape[1])
             a, b, cosine = held.best(k, least, index.rotation.bits(held.units) if len(held.ids) > codes.SMALL else None)
             cells = index.cells(held.units, model)
-            once = meets_first(cells[a], cells[b], here)
+            # Which of its like a near copy takes may differ from cell to cell, so these pairs are given out by each.
+            once = meets_first(cells[a], cells[b], here) | (cosine > ALIKE)
             a, b, cosine = a[once], b[once], cosine[once]
         else:
             a, b, cosine = held.best(k, least)
