@@ -46,7 +46,7 @@ def test_like_brute_force(spark, alphabet, hot):
     rows = mixed(rng, 60, shared, alphabet)
     rows += [(100, None), (101, ""), (102, "short"), (103, rows[0][1]), (104, "=" * 200), (None, rows[1][1])]
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, h int, first int")
-    got = {r.doc_id: r.shared_chars for r in spans.shared_share(df, 40, gram=20, hot_places=hot).collect()}
+    got = {r.doc_id: r.shared_chars for r in spans.shared_share(df, 40, gram=20, hot_contexts=hot).collect()}
     assert got == brute([r for r in rows if r[0] is not None], 40)
 
 
