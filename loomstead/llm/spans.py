@@ -6,7 +6,7 @@ another, into stretches of windows with one anchor, and only stretches whose anc
 hold a shared span. Those stretches ("contexts") are put together by anchor: each shard of them gets a compressed
 full-text index, in which the matching statistics of all its contexts are found by backward search; spans long
 enough are carried back to the documents and merged. No pair of documents is ever listed: equal contexts of any
-number of documents are one row with the least and the greatest document.
+number of documents are one row with the least and the greatest document, told apart by 128 bits of their text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.llm.fmindex import SharedTextIndex
@@ -27,8 +27,8 @@ from loomstead.session import spread, write_once
 GRAM = 100
 #: Characters in an index; one index never holds more than this and one anchor's contexts.
 SHARD_CHARS = 300_000
-#: Anchors in more places than this are split into their single windows, equal ones of which are one row.
-HOT_PLACES = 4_000
+#: Anchors with more different contexts than this don't fit into one index: their contexts are compared window by window.
+HOT_CONTEXTS = 4_000
 
 
 def _mix(a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
@@ -100,7 +100,7 @@ def _anchors(documents: DataFrame, need: int, gram: int) -> DataFrame:
     return spread(long_enough).mapInArrow(run, "h long, doc_id long, first int, last int")
 
 
-def shared_spans(documents: DataFrame, need: int = 200, gram: int = GRAM, hot_places: int = HOT_PLACES) -> DataFrame:
+def shared_spans(documents: DataFrame, need: int = 200, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """Maximal stretches of each document that lie in spans shared with another: rows (doc_id, begin, end), disjoint.
 
     A span is a run of at least `need` code points that stands verbatim in a document of another doc_id. Null,
@@ -113,19 +113,18 @@ def shared_spans(documents: DataFrame, need: int = 200, gram: int = GRAM, hot_pl
     # Hashing reads all texts, and two steps need the anchors: they are written down once, at some 12 bytes each.
     anchors = write_once(_anchors(texts, need, gram), "anchors")
     # Partial aggregation leaves one row of each anchor and task, however many documents hold it.
-    held = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("places"))
-    several = held.where("low <> high").select("h", (F.col("places") > hot_places).alias("hot"))
-    of_text = (
-        anchors.join(several, "h")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("parts"))
-    )
-    contexts = _contexts(texts.where(F.length("text") >= need).join(of_text.hint("shuffle_hash"), "doc_id"), need)
-    contexts = write_once(contexts.withColumn("mark", F.xxhash64("context")), "contexts")
-    distinct = contexts.groupBy("h", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    sharded = distinct.repartition("h").sortWithinPartitions("h")
-    found = sharded.mapInArrow(_search(need), "h long, context string, begins array<int>, ends array<int>")
-    found = found.select("h", F.xxhash64("context").alias("mark"), "begins", "ends")
+    held = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    of_text = anchors.join(held.where("low <> high").select("h"), "h").groupBy("doc_id")
+    of_text = of_text.agg(F.collect_list(F.struct("h", "first", "last")).alias("parts"))
+    joined = texts.where(F.length("text") >= need).join(of_text.hint("shuffle_hash"), "doc_id")
+    contexts = write_once(_contexts(joined, need), "contexts")
+    # Equal contexts of a task are one row before anything is shuffled.
+    distinct = contexts.groupBy("h", "mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("context").alias("context"))
+    distinct = write_once(distinct, "distinct")
+    hot = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts).select("h")
+    found = _windows(distinct.join(hot, "h", "left_semi"), need)
+    sharded = distinct.join(hot, "h", "left_anti").select("h", "mark", "low", "high", "context").repartition("h").sortWithinPartitions("h")
+    found = found.unionByName(sharded.mapInArrow(_search(need), "h long, mark binary, begins array<int>, ends array<int>"))
     back = contexts.select("h", "mark", "doc_id", "first").join(found, ["h", "mark"])
     spans = back.select(
         "doc_id",
@@ -149,17 +148,28 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 
 def _contexts(joined: DataFrame, need: int) -> DataFrame:
-    """The text of each stretch; of hot anchors, each window by itself under a key of its own."""
-    one = F.when(
-        F.col("part.hot"),
-        F.transform(F.sequence(F.col("part.first"), F.col("part.last")), lambda s: F.struct(s.alias("first"), s.alias("last"))),
-    ).otherwise(F.array(F.struct(F.col("part.first").alias("first"), F.col("part.last").alias("last"))))
-    exploded = joined.select("doc_id", "text", F.explode("parts").alias("part")).select(
-        "doc_id", "text", F.col("part.h").alias("h"), F.col("part.hot").alias("hot"), F.explode(one).alias("piece")
-    )
-    context = F.substr("text", F.col("piece.first") + 1, F.col("piece.last") - F.col("piece.first") + need)
-    out = exploded.select("h", "hot", "doc_id", F.col("piece.first").alias("first"), context.alias("context"))
-    return out.select(F.when(F.col("hot"), F.xxhash64("context")).otherwise(F.col("h")).alias("h"), "doc_id", "first", "context")
+    """The text of each stretch with its mark."""
+    each = joined.select("doc_id", "text", F.explode("parts").alias("part"))
+    context = F.substr("text", F.col("part.first") + 1, F.col("part.last") - F.col("part.first") + need)
+    each = each.select(F.col("part.h").alias("h"), "doc_id", F.col("part.first").alias("first"), context.alias("context"))
+    return each.withColumn("mark", _mark(F.col("context")))
+
+
+def _mark(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _windows(distinct: DataFrame, need: int) -> DataFrame:
+    """What _search() finds, by the windows of single contexts: a window is shared if its text is another document's too."""
+    start = F.explode(F.sequence(F.lit(0), F.length("context") - need)).alias("start")
+    each = distinct.select("h", "mark", "low", "high", "context", start)
+    each = each.select("h", "mark", "low", "high", "start", _mark(F.substr("context", F.col("start") + 1, F.lit(need))).alias("window"))
+    shared = each.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("window")
+    starts = each.join(shared, "window").groupBy("h", "mark").agg(F.array_sort(F.collect_list("start")).alias("begins"))
+    # Windows in a row are one span.
+    first = F.filter("begins", lambda x, i: (i == 0) | (F.get("begins", i - 1) < x - 1))
+    last = F.filter("begins", lambda x, i: F.coalesce(F.get("begins", i + 1) > x + 1, F.lit(True)))
+    return starts.select("h", "mark", first.alias("begins"), F.transform(last, lambda x: x + need).alias("ends"))
 
 
 def _search(need: int):
@@ -175,10 +185,10 @@ def _search(need: int):
             rows, first = np.unique(which[order], return_index=True)
             offsets = pa.array(np.append(first, len(which)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order], pa.int32())) for x in (begin, end)]
-            got = table.take(pa.array(rows)).select(["h", "context"]).combine_chunks()
-            columns = [got.column(c).combine_chunks() if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("h", "context")]
+            got = table.take(pa.array(rows)).select(["h", "mark"]).combine_chunks()
+            columns = [got.column(c).combine_chunks() if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("h", "mark")]
             if got.num_rows:
-                yield pa.RecordBatch.from_arrays([*columns, *lists], ["h", "context", "begins", "ends"])
+                yield pa.RecordBatch.from_arrays([*columns, *lists], ["h", "mark", "begins", "ends"])
 
         for batch in batches:
             if not batch.num_rows:
