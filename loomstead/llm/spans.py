@@ -29,6 +29,8 @@ GRAM = 100
 SHARD_CHARS = 300_000
 #: Anchors with more different contexts than this don't fit into one index: their contexts are compared window by window.
 HOT_CONTEXTS = 4_000
+#: Keys of such anchors up to these bytes are sent to all executors, more are joined.
+HOT_BYTES = 4 << 20
 
 
 def _mix(a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
@@ -121,10 +123,15 @@ def shared_spans(documents: DataFrame, need: int = 200, gram: int = GRAM, hot_co
     # Equal contexts of a task are one row before anything is shuffled.
     distinct = contexts.groupBy("h", "mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("context").alias("context"))
     distinct = write_once(distinct, "distinct")
-    hot = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts).select("h")
-    found = _windows(distinct.join(hot, "h", "left_semi"), need)
-    sharded = distinct.join(hot, "h", "left_anti").select("h", "mark", "low", "high", "context").repartition("h").sortWithinPartitions("h")
-    found = found.unionByName(sharded.mapInArrow(_search(need), "h long, mark binary, begins array<int>, ends array<int>"))
+    hot = write_once(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts).select("h"), "hot")
+    number = hot.count()
+    if number:
+        those = F.broadcast(hot) if number * 8 <= HOT_BYTES else hot
+        windows, distinct = _windows(distinct.join(those, "h", "left_semi"), need), distinct.join(those, "h", "left_anti")
+    sharded = distinct.select("h", "mark", "low", "high", "context").repartition("h").sortWithinPartitions("h")
+    found = sharded.mapInArrow(_search(need), "h long, mark binary, begins array<int>, ends array<int>")
+    if number:
+        found = found.unionByName(windows)
     back = contexts.select("h", "mark", "doc_id", "first").join(found, ["h", "mark"])
     spans = back.select(
         "doc_id",
@@ -165,11 +172,11 @@ def _windows(distinct: DataFrame, need: int) -> DataFrame:
     each = distinct.select("h", "mark", "low", "high", "context", start)
     each = each.select("h", "mark", "low", "high", "start", _mark(F.substr("context", F.col("start") + 1, F.lit(need))).alias("window"))
     shared = each.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("window")
-    starts = each.join(shared, "window").groupBy("h", "mark").agg(F.array_sort(F.collect_list("start")).alias("begins"))
+    found = each.join(shared, "window").groupBy("h", "mark").agg(F.array_sort(F.collect_list("start")).alias("starts"))
     # Windows in a row are one span.
-    first = F.filter("begins", lambda x, i: (i == 0) | (F.get("begins", i - 1) < x - 1))
-    last = F.filter("begins", lambda x, i: F.coalesce(F.get("begins", i + 1) > x + 1, F.lit(True)))
-    return starts.select("h", "mark", first.alias("begins"), F.transform(last, lambda x: x + need).alias("ends"))
+    first = F.filter("starts", lambda x, i: (i == 0) | (F.get("starts", i - 1) < x - 1))
+    last = F.filter("starts", lambda x, i: F.coalesce(F.get("starts", i + 1) > x + 1, F.lit(True)))
+    return found.select("h", "mark", first.alias("begins"), F.transform(last, lambda x: x + need).alias("ends"))
 
 
 def _search(need: int):
