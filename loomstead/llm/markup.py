@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from html.entities import html5
 
 import pyarrow as pa
@@ -26,12 +27,19 @@ ELEMENTS = frozenset(
 )
 _ATTRIBUTES = r"(?:\s+[A-Za-z_:@][\w:.@-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*"
 TAG = re.compile(rf"<(/?)([A-Za-z][A-Za-z0-9]*)({_ATTRIBUTES})\s*(/?)>")
-COMMENT = re.compile(r"<!--.*?-->", re.S)
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 FENCE = re.compile(r"^[ \t]{0,3}(`{3,}(?=[^`\n]*$)|~{3,})[^\n]*$", re.M)
-CODE = re.compile(r"(?<!`)(`+)(?!`)((?:(?!\n[ \t]*\n).)+?)(?<!`)\1(?!`)", re.S)
-PRE = re.compile(r"(<pre(?:\s[^<>]*)?>)(.*?)(</pre\s*>)", re.S | re.I)
-VERBATIM = re.compile(r"(\\begin\{(verbatim\*?|lstlisting|minted|Verbatim)\})(.*?)(\\end\{\2\})", re.S)
+_GAP, _LINE = re.compile(r"\n[ \t]*\n"), re.compile(r"\n")
+#: What stands between two marks: the opening and the closing one, which agree in their first group, and what may not lie between.
+COMMENT = (re.compile(r"<!--"), re.compile(r"-->"), None)
+CODE = (re.compile(r"(`+)"), re.compile(r"(`+)"), _GAP)
+PRE = (re.compile(r"<pre(?:\s[^<>]*)?>", re.I), re.compile(r"</pre\s*>", re.I), None)
+VERBATIM = tuple(re.compile(rf"\\{w}\{{(verbatim\*?|lstlisting|minted|Verbatim)\}}") for w in ("begin", "end")) + (None,)
+EQUATION = tuple(re.compile(rf"\\{w}\{{(equation|align|gather|multline)\*?\}}") for w in ("begin", "end")) + (None,)
+ROUND = (re.compile(r"(?<!\\)\\\((?!\\\))"), re.compile(r"\\\)"), _GAP)
+SQUARE = (re.compile(r"(?<!\\)\\\[(?!\\\])"), re.compile(r"\\\]"), _GAP)
+QUOTES = (re.compile(r"(?<!')('{5}|'{3}|'{2})(?=[^'\s])"), re.compile(r"(?<=[^'\s])('{5}|'{3}|'{2})(?!')"), _LINE)
+TABLE = (re.compile(r"^\{\|[^\n]*\n", re.M), re.compile(r"^\|\}", re.M), None)
 MARKDOWN = {
     "heading": re.compile(r"^ {0,3}#{1,6}[ \t]+[^\s#][^\n]*$|^(?![ \t]*$)(?!\s{0,3}[-*+>|#])[^\n]+\n {0,3}(?:=+|-{2,})[ \t]*$", re.M),
     "link": re.compile(r"!?\[[^\[\]\n]*\]\((?:<[^<>\n]*>|[^\s()<>]*(?:\([^\s()]*\)[^\s()<>]*)*)(?:\s+(?:\"[^\"\n]*\"|'[^'\n]*'))?\s*\)"),
@@ -43,19 +51,16 @@ MARKDOWN = {
 }
 _DELIMITERS = re.compile(r"^[ \t]{0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 WIKI = {
-    "heading": re.compile(r"^(={2,6})(?!=)[^\n]*?[^=\s][^\n]*?(?<!=)\1[ \t]*$", re.M),
-    "quotes": re.compile(r"(?<!')('{5}|'{3}|'{2})(?=[^'\s])[^\n]*?(?<=[^'\s])\1(?!')"),
+    "heading": re.compile(r"^(={2,6})(?!=)(?=[^\n]*[^=\s])[^\n]*?(?<!=)\1[ \t]*$", re.M),
     "link": re.compile(r"\[\[(?![\d,.\s|]*\]\])(?![\s\-])[^\[\]\n]+\]\]"),
     "outer": re.compile(r"(?<!\[)\[(?:https?|ftp)://[^\s\[\]]+(?: [^\[\]\n]+)?\](?![(\[:])"),
     "template": re.compile(r"\{\{\s*[A-Za-z#:][^{}]*\}\}"),
-    "table": re.compile(r"^\{\|[^\n]*\n(?:.*?\n)?\|\}", re.M | re.S),
 }
 LATEX = {
     "environment": re.compile(r"\\begin\{[A-Za-z]+\*?\}"),
     "command": re.compile(r"(?<!\\)\\[A-Za-z]{2,}\*?(?:\[[^\[\]\n]*\])*\{"),
     "display": re.compile(r"\$\$(?=\s*\S)(?:(?!\n[ \t]*\n)[^$])+\$\$"),
     "inline": re.compile(r"(?<![\\$\w])\$(?=[^\s$])(?:(?!\n[ \t]*\n)(?:[^$\\]|\\.))+?(?<=[^\s\\])\$(?![\d\w$])", re.S),
-    "bracketed": re.compile(r"(?<!\\)\\\((?:(?!\n[ \t]*\n).)+?\\\)|(?<!\\)\\\[(?:(?!\n[ \t]*\n).)+?\\\]", re.S),
 }
 
 
@@ -63,6 +68,43 @@ def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m[0])
 
 
+def enclosed(text: str, marks: tuple) -> list[tuple[re.Match, re.Match]]:
+    """The outermost pairs of marks in order, each opening with the next closing one that fits.
+
+    Closing marks are looked up by place, so that openings without an end cost no walk to the end of the text.
+    """
+    opening, closing, limit = marks
+    ends: dict[str, list[re.Match]] = {}
+    for m in closing.finditer(text):
+        ends.setdefault(m[1] if closing.groups else "", []).append(m)
+    places = {k: [m.start() for m in of] for k, of in ends.items()}
+    limits = [m.start() for m in limit.finditer(text)] if limit and ends else []
+    out, at = [], 0
+    for m in opening.finditer(text) if ends else ():
+        key = m[1] if opening.groups else ""
+        if m.start() < at or key not in ends:
+            continue
+        n = bisect_left(places[key], m.end())
+        if n == len(places[key]):
+            continue
+        before = bisect_left(limits, m.end())
+        if before < len(limits) and limits[before] < places[key][n]:
+            continue
+        out.append((m, ends[key][n]))
+        at = ends[key][n].end()
+    return out
+
+
+def replaced(text: str, marks: tuple, by: Callable[[str, str], str] | None = None) -> str:
+    """The text with what stands between marks, and these, replaced: by(opening, inside), or blanks."""
+    at, out = 0, []
+    for m, end in enclosed(text, marks):
+        whole = text[m.start() : end.end()]
+        out += [text[at : m.start()], by(m[0], text[m.end() : end.start()]) if by else re.sub(r"[^\n]", " ", whole)]
+        at = end.end()
+    return "".join([*out, text[at:]]) if out else text
+
+
 def _without_fences(text: str) -> tuple[str, bool]:
     """The text with fences and what they quote blanked; an open fence goes to the end."""
     out, at, found = [], 0, False
@@ -98,19 +140,19 @@ def families(text: str | None) -> list[str]:
         text, fenced = _without_fences(text)
         if fenced:
             found.add("markdown")
-    if "\\begin" in text and VERBATIM.search(text):
+    if "\\begin" in text and enclosed(text, VERBATIM):
         found.add("latex")
-        text = VERBATIM.sub(_blank, text)
-    if "`" in text and CODE.search(text):
+        text = replaced(text, VERBATIM)
+    if "`" in text and enclosed(text, CODE):
         found.add("markdown")
-        text = CODE.sub(_blank, text)
+        text = replaced(text, CODE)
     if "<" in text:
-        if "<!--" in text and COMMENT.search(text):
+        if "<!--" in text and enclosed(text, COMMENT):
             found.add("html")
-            text = COMMENT.sub(_blank, text)
-        if re.search("<pre", text, re.I) and PRE.search(text):
+            text = replaced(text, COMMENT)
+        if re.search("<pre", text, re.I) and enclosed(text, PRE):
             found.add("html")
-            text = PRE.sub(_blank, text)
+            text = replaced(text, PRE)
         if any(m[2].lower() in ELEMENTS for m in TAG.finditer(text)):
             found.add("html")
     if "&" in text and "html" not in found:
@@ -118,15 +160,18 @@ def families(text: str | None) -> list[str]:
             found.add("html")
     plain = TAG.sub(_blank, text) if "<" in text else text
     if "\\" in plain or "$" in plain:
-        if any(p.search(plain) for p in LATEX.values()):
+        if any(p.search(plain) for p in LATEX.values()) or enclosed(plain, ROUND) or enclosed(plain, SQUARE):
             found.add("latex")
-        for p in ("display", "inline", "bracketed"):
+        for p in ("display", "inline"):
             plain = LATEX[p].sub(_blank, plain)
-    if ("=" in plain or "''" in plain or "[" in plain or "{" in plain) and any(p.search(plain) for p in WIKI.values()):
-        found.add("wiki")
-    # What wiki markup holds is no markdown.
-    for p in WIKI.values():
-        plain = p.sub(_blank, plain)
+        plain = replaced(replaced(plain, ROUND), SQUARE)
+    if "=" in plain or "''" in plain or "[" in plain or "{" in plain:
+        if any(p.search(plain) for p in WIKI.values()) or enclosed(plain, QUOTES) or enclosed(plain, TABLE):
+            found.add("wiki")
+        # What wiki markup holds is no markdown.
+        for p in WIKI.values():
+            plain = p.sub(_blank, plain)
+        plain = replaced(replaced(plain, QUOTES), TABLE)
     if "markdown" not in found and (any(p.search(plain) for p in MARKDOWN.values()) or _pipe_table(plain)):
         found.add("markdown")
     return [f for f in FAMILIES if f in found]
@@ -153,14 +198,14 @@ def clean(text: str | None, found: list[str] | None = None) -> str | None:
         parts += [text[at : m.start()], keep(f"```\n{body}\n```")]
         at = close.end() if close else len(text)
     text = "".join([*parts, text[at:]])
-    text = VERBATIM.sub(lambda m: keep("```\n" + m[3].strip("\n") + "\n```"), text)
-    text = PRE.sub(lambda m: "\n" + keep("```\n" + html.unescape(TAG.sub("", m[2])).strip("\n") + "\n```") + "\n", text)
-    text = CODE.sub(lambda m: keep("`" + m[2].strip() + "`"), text)
+    text = replaced(text, VERBATIM, lambda _, said: keep("```\n" + said.strip("\n") + "\n```"))
+    text = replaced(text, PRE, lambda _, said: "\n" + keep("```\n" + html.unescape(TAG.sub("", said)).strip("\n") + "\n```") + "\n")
+    text = replaced(text, CODE, lambda _, said: keep("`" + said.strip() + "`"))
     if "latex" in found:
         text = LATEX["display"].sub(lambda m: keep("$$" + m[0][2:-2].strip() + "$$"), text)
-        text = re.sub(r"\\\[(.+?)\\\]", lambda m: keep("$$" + m[1].strip() + "$$"), text, flags=re.S)
-        text = re.sub(r"\\\((.+?)\\\)", lambda m: keep("$" + m[1].strip() + "$"), text, flags=re.S)
-        text = re.sub(r"\\begin\{(equation|align|gather|multline)\*?\}(.*?)\\end\{\1\*?\}", lambda m: keep("$$" + m[2].strip() + "$$"), text, flags=re.S)
+        text = replaced(text, SQUARE, lambda _, said: keep("$$" + said.strip() + "$$"))
+        text = replaced(text, ROUND, lambda _, said: keep("$" + said.strip() + "$"))
+        text = replaced(text, EQUATION, lambda _, said: keep("$$" + said.strip() + "$$"))
         text = LATEX["inline"].sub(lambda m: keep(m[0]), text)
         levels = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
         text = re.sub(r"\\(chapter|(?:sub){0,2}section|paragraph)\*?\{([^{}]*)\}", lambda m: "\n" + "#" * levels[m[1]] + " " + m[2] + "\n", text)
@@ -170,7 +215,8 @@ def clean(text: str | None, found: list[str] | None = None) -> str | None:
             text = re.sub(r"(?<!\\)\\[A-Za-z]{2,}\*?(?:\[[^\[\]\n]*\])*\{([^{}]*)\}", r"\1", text)
         text = text.replace(r" \\", "")
     if "html" in found:
-        text = COMMENT.sub("", text)
+        text = replaced(text, COMMENT, lambda *_: "")
+        text = replaced(text, wrappers.HIDDEN, lambda *_: "")
         text = wrappers.html_to_text(text, ELEMENTS, TAG)
         text = ENTITY.sub(lambda m: html.unescape(m[0]).replace("\xa0", " "), text)
     if "wiki" in found:
@@ -178,12 +224,12 @@ def clean(text: str | None, found: list[str] | None = None) -> str | None:
         text = re.sub(r"\[\[(?:File|Image|Category):[^\[\]\n]+\]\]", "", text)
         text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]", r"\1", text)
         text = re.sub(r"(?<!\[)\[(?:https?|ftp)://[^\s\[\]]+ ([^\[\]\n]+)\]", r"\1", text)
-        text = WIKI["quotes"].sub(lambda m: m[0].strip("'"), text)
+        text = replaced(text, QUOTES, lambda _, said: said.strip("'"))
         text = WIKI["template"].sub("", text)
-        text = re.sub(r"^(?:\{\||\|\}|\|-)[^\n]*\n?", "", text, flags=re.M) if WIKI["table"].search(text) else text
+        text = re.sub(r"^(?:\{\||\|\}|\|-)[^\n]*\n?", "", text, flags=re.M) if enclosed(text, TABLE) else text
         text = re.sub(r"^\*+[ \t]*", lambda m: "  " * (m[0].count("*") - 1) + "- ", text, flags=re.M)
     if "markdown" in found:
-        text = re.sub(r"^(?!\s*$)(?!\s{0,3}[-*+>|#])([^\n]+)\n {0,3}(=+|-{2,})[ \t]*$", lambda m: ("# " if m[2][0] == "=" else "## ") + m[1], text, flags=re.M)
+        text = re.sub(r"^(?![ \t]*$)(?!\s{0,3}[-*+>|#])([^\n]+)\n {0,3}(=+|-{2,})[ \t]*$", lambda m: ("# " if m[2][0] == "=" else "## ") + m[1], text, flags=re.M)
         text = re.sub(r"^ {0,3}(#{1,6})[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", r"\1 \2", text, flags=re.M)
         text = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\n]*\)", r"\1", text)
         text = MARKDOWN["definition"].sub("", text)

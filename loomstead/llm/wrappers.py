@@ -27,6 +27,8 @@ _FIRST = 1 << 24
 _PAGE = re.compile(r"\s*(?:<!doctype\s+html|<html[\s>]|<head[\s>]|<body[\s>])", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style"))
+#: Opening and closing marks of elements whose contents aren't shown.
+HIDDEN = (re.compile(r"<(script|style)\b[^<>]*>", re.I), re.compile(r"</(script|style)\s*>", re.I), None)
 #: Elements of which clean text shows a mark even if they are empty.
 _MARKED = frozenset(("li", "h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -373,9 +375,7 @@ _BLOCKS = frozenset(
 
 
 def html_to_text(text: str, elements: frozenset, tag: re.Pattern) -> str:
-    """Replace tags: headings and list items by their marks, cells by bars, blocks by line ends; others go."""
-    text = re.sub(r"<(script|style)\b[^<>]*>.*?</\1\s*>", "", text, flags=re.S | re.I)
-
+    """Replace tags (what HIDDEN encloses is gone before): headings and list items by their marks, cells by bars, blocks by line ends; others go."""
     def one(m: re.Match) -> str:
         name, closing = m[2].lower(), bool(m[1])
         if name not in elements:

@@ -186,3 +186,20 @@ def test_table(spark):
     assert got[1].clean == "# Title 1\n\nStory 1" and got[1].families == ["html"] and got[1].template == "t"
     assert got[9].clean is None and got[9].families == [] and got[11].families == ["markdown"]
     assert markup.clean_markup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("opening", ["<pre>", "\\begin{verbatim}", "<!--", "''a ", "{|\n", "\\(", "\\[", "<script>", "` `` ``` ", "\\begin{equation}"])
+def test_openings_without_an_end_take_linear_time(opening):
+    import time
+
+    text = opening * (300_000 // len(opening))
+    began = time.perf_counter()
+    markup.families(text)
+    markup.clean(text, list(markup.FAMILIES))
+    assert time.perf_counter() - began < 5
+
+
+def test_marks_pair_up():
+    text = "a `` b ` c `` d `e` f\n\n`g\n\nh`"
+    assert [text[m.start() : n.end()] for m, n in markup.enclosed(text, markup.CODE)] == ["`` b ` c ``", "`e`"]
+    assert markup.replaced("x<!-- y -->z<!-- w", markup.COMMENT, lambda *_: "") == "xz<!-- w"
