@@ -5,15 +5,14 @@ taken whole times first; the rest is a sample in which each document has the sam
 cube method draws it: the vector of probabilities moves, at random but without drift, along the null space of
 the balancing constraints (tokens and documents of the sample keep their expected totals) until each coordinate
 is 0 or 1. With two constraints three undecided documents are always enough to move, so the flight is a single
-pass over a partition which leaves at most two documents undecided in each stratum; these few go on to a next
-flight, and the last two are landed. Partitions thus decide nearly everything where the rows lie, without a
-shuffle and whatever the share of a source.
+pass over a part of the documents which leaves at most two undecided in each stratum; these few go on to a next
+flight, and the last two are landed. Parts are made by a hash of the document, of ids and sizes only, so that
+a source of any share is drawn by many tasks and the draw is the same on any cluster.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,8 @@ from loomstead.session import write_once
 
 #: Mixes are a small hand-written table; more rows than this are an error, as each task holds them all.
 MOST_TARGETS = 10_000
+#: Documents of a part, about; each part is a flight of its own.
+PART = 32_768
 
 
 def plan_shares(targets: list[Row], held: dict[str, tuple[int, int]]) -> list[dict]:
@@ -111,14 +112,15 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def land(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decide the last few so that the sample's tokens miss their expected total by the least; ties at random."""
+    """Decide the last few so that the sample's tokens, then its documents, miss their expected totals by the least; ties at random."""
     p = p.copy()
     for start in range(0, max(1, len(p)), 12):
         part = np.flatnonzero((p[start : start + 12] > 0) & (p[start : start + 12] < 1)) + start
         if not len(part):
             continue
         choices = (np.arange(1 << len(part))[:, None] >> np.arange(len(part))) & 1
-        miss = np.abs(choices @ sizes[part] - p[part] @ sizes[part]) + 1e-9 * rng.random(len(choices))
+        miss = np.abs(choices @ sizes[part] - p[part] @ sizes[part]) + 0.5 * np.abs(choices.sum(axis=1) - p[part].sum())
+        miss += 1e-9 * rng.random(len(choices))
         p[part] = choices[np.argmin(miss)]
     return p
 
@@ -137,14 +139,13 @@ def compose(
 ) -> tuple[DataFrame, list[dict], dict[str, tuple[int, int]]]:
     """Draw all mixes: rows (mix_name, source, doc_id, tokens, repeats) with repeats >= 1, the plan, and the holdings.
 
-    Documents without tokens (null or empty text) or without a source are never drawn. A document given twice
-    (same doc_id) counts as two. Empty tables give no rows. The draw is the same for the same rows in the same
-    files and the same seed.
+    Documents without tokens (null or empty text), without a source or without a doc_id are never drawn. A document
+    given twice (same doc_id) counts as two. Empty tables give no rows. The draw depends on the rows and the seed only.
     """
     sized = count_column(
         documents.select(F.col("doc_id"), F.col("source"), F.col(text).alias("text")), "text", "tokens", vocabulary, folder
     )
-    sized = write_once(sized.where("tokens > 0 and source is not null"), "sizes")
+    sized = write_once(sized.where("tokens > 0 and source is not null and doc_id is not null"), "sizes")
     rows = targets.select("mix_name", "budget_ratio", "source", "target_share", "max_repeats")
     wanted = rows.where("mix_name is not null and source is not null").limit(MOST_TARGETS + 1).collect()
     if len(wanted) > MOST_TARGETS:
@@ -158,37 +159,34 @@ def compose(
         by_source.setdefault(x["source"], []).append((x["mix"], x["base"], x["p"]))
     schema = "mix_name string, source string, doc_id long, tokens long, repeats int, p double"
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[tuple, list[np.ndarray]] = {}
-        for batch in batches:
-            source = np.array(batch.column("source").to_pylist(), object)
-            ids, tokens = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tokens"))
-            for s in set(source.tolist()):
-                rows = np.flatnonzero(source == s)
-                for mix, base, p in by_source.get(s, ()):
-                    if p == 0.0 and base == 0:
-                        continue
-                    # Those a batch leaves undecided fly on with the next batch of the partition.
-                    old = waiting.pop((mix, s), [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)])
-                    i, t = np.concatenate([old[0], ids[rows]]), np.concatenate([old[1], tokens[rows]])
-                    q = flight(t, np.concatenate([old[2], np.full(len(rows), p)]), _generator(seed, mix, s, int(i[0]), len(i)))
-                    undecided = (q > 0) & (q < 1)
-                    if undecided.any():
-                        waiting[mix, s] = [i[undecided], t[undecided], q[undecided]]
-                    repeats = base + (q == 1).astype(np.int32)
-                    done = ~undecided & (repeats > 0)
-                    yield _batch(mix, s, i[done], t[done], repeats[done], np.full(done.sum(), np.nan))
-        for (mix, s), (i, t, q) in waiting.items():
-            base = next(b for m, b, _ in by_source[s] if m == mix)
-            yield _batch(mix, s, i, t, np.full(len(i), base, np.int32), q)
-
-    drawn = write_once(sized.mapInArrow(draw, schema), "drawn")
+    def draw(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("tokens", "ascending")])
+        source = np.array(group.column("source").to_pylist(), object)
+        ids, tokens = group.column("doc_id").to_numpy(), group.column("tokens").to_numpy()
+        parts = []
+        for s in sorted(set(source.tolist()) & by_source.keys()):
+            rows = np.flatnonzero(source == s)
+            i, t = ids[rows], tokens[rows]
+            for mix, base, p in by_source[s]:
+                if p == 0.0 and base == 0:
+                    continue
+                q = flight(t, np.full(len(rows), p), _generator(seed, mix, s, key[0].as_py()))
+                undecided = (q > 0) & (q < 1)
+                repeats = base + (q == 1).astype(np.int32)
+                taken = undecided | (repeats > 0)
+                parts.append(_batch(mix, s, i[taken], t[taken], repeats[taken], np.where(undecided, q, np.nan)[taken]))
+        return pa.Table.from_batches(parts or [_batch("", "", ids[:0], tokens[:0], np.zeros(0, np.int32), np.zeros(0))])
+
+    # Narrow rows in parts by a hash of the document, so that the draw doesn't depend on files, tasks or batches.
+    parts = max(1, -(-sum(docs for _, docs in held.values()) // PART))
+    parted = sized.select("doc_id", "source", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
+    drawn = write_once(parted.groupBy("part").applyInArrow(draw, schema), "drawn")
     decided = drawn.where(F.isnan("p")).drop("p")
     again = drawn.where(~F.isnan("p"))
 
     def finish(key: tuple, group: pa.Table) -> pa.Table:
         mix, s = (x.as_py() for x in key)
-        group = group.sort_by("doc_id")
+        group = group.sort_by([("doc_id", "ascending"), ("tokens", "ascending")])
         t, q = group.column("tokens").to_numpy(), group.column("p").to_numpy()
         q = land(t, flight(t, q, _generator(seed, mix, s, "last")), _generator(seed, mix, s, "landing"))
         repeats = pa.array(group.column("repeats").to_numpy() + (q == 1).astype(np.int32), pa.int32())

@@ -101,3 +101,11 @@ def test_mix(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     assert mixing.compose(df.limit(0), targets)[0].count() == 0 and mixing.compose(df, targets.limit(0))[0].count() == 0
     assert isinstance(got[0], Row)
+
+
+def test_draw_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 100)
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 30), "ab"[i % 3 == 0]) for i in range(900)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", 0.3, "a", 0.5, 2), ("m", 0.3, "b", 0.5, 2)], "mix_name string, budget_ratio double, source string, target_share double, max_repeats int")
+    draws = [sorted(map(tuple, mixing.compose(d, targets)[0].collect())) for d in (docs.repartition(1), docs.repartition(7, "text"), docs.orderBy("text"))]
+    assert draws[0] == draws[1] == draws[2] and draws[0]
