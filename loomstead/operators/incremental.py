@@ -1,14 +1,18 @@
 """Processing only what is new or changed, against a persisted state of keys and content hashes.
 
-A state is a folder of versions, each a complete table of (key columns, content_hash), and one small file that
-names the current version. A run hashes its rows, joins them with the current version, hands out what is new or
-changed, writes the next version beside the old one and, when the rows have been processed, swaps the name in one
-atomic rename. A run that fails anywhere before leaves the old version in force, so that the next run hands out
-the same rows again; a run that ended hands out nothing twice.
+A state is a folder. Its rows (key columns, content_hash) lie in buckets by a hash of the key; a version is a small
+numbered file that names the folder of each bucket. The version in force is the one of the greatest number, and a new
+one is put beside it by one rename that fails if the number is taken, so that of two writers only one wins. A run
+writes what it hands out under the next number before anything is processed, and rewrites only the buckets it changed.
+
+A run that fails before its rows are written leaves no trace. One that fails later is taken up by the next run, which
+first hands out the very same rows under the same number: a consumer that keeps a number's output once (such as
+`append_once`) sees every record once, whatever failed in between.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -16,72 +20,136 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import is_blank, strip, word
-from loomstead.session import rows_known_below, table
+from loomstead.session import small, table
 
-_CURRENT = "CURRENT"
-#: A run table below this is sent to all executors.
-FEW_RUNS = 50_000
+#: Buckets of a state; about as many as make some hundred megabytes each.
+BUCKETS = 32
+
+
+class Overtaken(RuntimeError):
+    """Another run has put the same version into force before this one."""
 
 
 class KeyHashState:
     """Versions of (keys..., content_hash) under a folder that all executors and later runs share."""
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str]):
-        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = BUCKETS):
+        self.spark, self.folder, self.keys, self.buckets = spark, folder.rstrip("/"), keys, buckets
         self.schema = ", ".join(f"`{k}` string" for k in keys) + ", content_hash string"
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._hadoop = jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._files = self._path(self.folder).getFileSystem(self._conf)
+        self._files = self._path("").getFileSystem(self._conf)
+
+    def _path(self, name: str):
+        return self._hadoop.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _names(self, prefix: str) -> list[str]:
+        if not self._files.exists(self._path("")):
+            return []
+        found = (x.getPath().getName() for x in self._files.listStatus(self._path("")))
+        return sorted(n for n in found if n.startswith(prefix) and not n.endswith(".new"))
+
+    def number(self) -> int:
+        """The number of the version in force, 0 before the first run."""
+        names = self._names("version-")
+        return int(names[-1].removeprefix("version-")) if names else 0
+
+    def _version(self, number: int) -> dict:
+        if not number:
+            return {"buckets": self.buckets, "folders": {}}
+        lines = self.spark.read.text(f"{self.folder}/version-{number:012d}").collect()
+        return json.loads("".join(r[0] for r in lines))
 
-    def current(self) -> str | None:
-        """The name of the version in force, or None before the first run."""
-        at = self._path(f"{self.folder}/{_CURRENT}")
-        if not self._files.exists(at):
-            return None
-        return self.spark.read.text(f"{self.folder}/{_CURRENT}").first()[0]
+    def _read(self, folders: dict[str, str]) -> DataFrame:
+        paths = [f"{self.folder}/{f}/bucket={b}" for b, f in sorted(folders.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        version = self.current()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}")
-
-    def write(self, state: DataFrame) -> str:
-        """Write a complete version beside the current one; it isn't in force yet."""
-        version = f"version-{uuid.uuid4().hex}"
-        state.select(*self.keys, "content_hash").write.parquet(f"{self.folder}/{version}")
-        return version
-
-    def swap(self, version: str) -> None:
-        """Put a version into force by one rename."""
-        jvm = self.spark.sparkContext._jvm
-        new = self._path(f"{self.folder}/{_CURRENT}.{uuid.uuid4().hex}")
-        out = self._files.create(new, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._files.getUri(), self._conf)
-        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        qualified = [self._files.makeQualified(p) for p in (new, self._path(f"{self.folder}/{_CURRENT}"))]
-        context.rename(qualified[0], qualified[1], how)
+        """The rows of the version in force."""
+        return self._read(self._version(self.number())["folders"])
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
 
     def changed(self, rows: DataFrame) -> DataFrame:
         """Of rows with one row for each key and a content_hash: those whose key is new or whose hash differs."""
         known = self.read().select(*self.keys, F.col("content_hash").alias("_known"))
         return rows.join(known, self.keys, "left").where(~F.col("content_hash").eqNullSafe(F.col("_known"))).drop("_known")
 
-    def merged(self, rows: DataFrame) -> DataFrame:
-        """The state after the rows (one for each key) have been processed."""
-        new = rows.select(*self.keys, F.col("content_hash").alias("_new"))
-        both = self.read().join(new, self.keys, "full")
-        return both.select(*self.keys, F.coalesce("_new", "content_hash").alias("content_hash"))
-
-    def run(self, rows: DataFrame, process: Callable[[DataFrame], object]) -> None:
-        """Process what is new or changed; the state moves on only when that has succeeded."""
-        changed = self.changed(rows)
-        process(changed)
-        self.swap(self.write(self.merged(changed)))
+    def move(self, rows: DataFrame, base: int) -> None:
+        """Put the version after `base` into force, in which the rows (one for each key) are known.
+
+        Only buckets that the rows fall into are written again. Raises Overtaken if that version is there already.
+        """
+        if self.number() != base:
+            raise Overtaken(f"version {base + 1} of {self.folder} is in force already")
+        version = self._version(base)
+        new = rows.select(*self.keys, F.col("content_hash").alias("_new"), self._bucket(version["buckets"]).alias("bucket"))
+        touched = {str(r.bucket) for r in new.select("bucket").distinct().collect()}  # at most all buckets
+        held = self._read({b: f for b, f in version["folders"].items() if b in touched})
+        both = held.join(new.drop("bucket"), self.keys, "full").select(*self.keys, F.coalesce("_new", "content_hash").alias("content_hash"))
+        folder = f"rows-{base + 1:012d}-{uuid.uuid4().hex}"
+        bucket = self._bucket(version["buckets"])
+        both.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{folder}")
+        self._commit(base + 1, {**version, "folders": {**version["folders"], **dict.fromkeys(touched, folder)}})
+        self._clean()
+
+    def _commit(self, number: int, version: dict) -> None:
+        new = self._path(f"version-{number:012d}.{uuid.uuid4().hex}.new")
+        out = self._files.create(new, True)
+        out.write(bytearray(json.dumps(version).encode()))
+        out.close()
+        context = self._hadoop.FileContext.getFileContext(self._files.getUri(), self._conf)
+        how = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
+        how[0] = self._hadoop.Options.Rename.NONE
+        at = self._files.makeQualified(self._path(f"version-{number:012d}"))
+        try:
+            context.rename(self._files.makeQualified(new), at, how)
+        except Exception as e:
+            self._files.delete(new, False)
+            if self._files.exists(at):
+                raise Overtaken(f"version {number} of {self.folder} is in force already") from e
+            raise
+
+    def _clean(self) -> None:
+        """Remove what neither the version in force nor the one before it needs."""
+        last = self.number()
+        used = {f for n in (last - 1, last) if n > 0 for f in self._version(n)["folders"].values()}
+        for name in self._names("rows-"):
+            if name not in used and int(name.split("-")[1]) <= last:
+                self._files.delete(self._path(name), True)
+        for prefix, keep in (("version-", last - 1), ("handed-", last)):
+            for name in self._names(prefix):
+                if int(name.split("-")[1].split(".")[0]) < keep:
+                    self._files.delete(self._path(name), True)
+
+    def _handed(self, number: int) -> DataFrame | None:
+        """What a run handed out under a number, if it was written completely."""
+        name = f"handed-{number:012d}"
+        return self.spark.read.parquet(f"{self.folder}/{name}") if self._files.exists(self._path(f"{name}/_SUCCESS")) else None
+
+    def run(self, rows: DataFrame, process: Callable[[DataFrame, int], object]) -> None:
+        """Process what is new or changed: process(rows, number); the state moves on only when that has succeeded.
+
+        What an earlier run handed out without ending comes first, as it was, under its number.
+        """
+        number = self.number() + 1
+        waiting = self._handed(number)
+        if waiting is not None:
+            process(waiting, number)
+            self.move(waiting, number - 1)
+            number += 1
+        # Written down once, so that a source that isn't fixed can't give the consumer and the state different rows.
+        self.changed(rows).write.mode("overwrite").parquet(f"{self.folder}/handed-{number:012d}")
+        handed = self._handed(number)
+        process(handed, number)
+        self.move(handed, number - 1)
+
+
+def append_once(folder: str) -> Callable[[DataFrame, int], None]:
+    """A consumer that keeps each number's rows once, in a folder of its own under batch=<number>."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
 
 def content_hash(text: Column) -> Column:
@@ -103,8 +171,7 @@ def rows_since_success(rows: DataFrame, runs: DataFrame) -> DataFrame:
     last = runs.where(F.col("successful") & F.col("watermark").isNotNull()).groupBy(word(F.col("source")).alias("source"))
     last = last.agg(F.max("started_at").alias("_last"))
     starts = runs.where(F.col("started_at").isNotNull()).groupBy("run_id").agg(F.max("started_at").alias("_started"))
-    if rows_known_below(runs, FEW_RUNS):
-        last, starts = F.broadcast(last), F.broadcast(starts)
+    last, starts = small(last), small(starts)
     joined = rows.join(starts, "run_id").join(last, "source", "left")
     return joined.where(F.col("_last").isNull() | (F.col("_started") > F.col("_last"))).drop("_last", "_started")
 
@@ -139,5 +206,5 @@ def stored_state(spark: SparkSession, sf_dir: str, folder: str) -> KeyHashState:
     stored = table(spark, sf_dir, "stored_documents").select(
         word(F.col("source")).alias("source"), strip(F.col("source_key")).alias("source_key"), plain_hash(F.col("content_hash")).alias("content_hash")
     )
-    state.swap(state.write(stored.groupBy("source", "source_key").agg(F.max("content_hash").alias("content_hash"))))
+    state.move(stored.groupBy("source", "source_key").agg(F.max("content_hash").alias("content_hash")), 0)
     return state

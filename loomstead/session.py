@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: What may be sent to all executors at once.
+BROADCAST_BYTES = 8 << 20
 
 
 def local_session(cpus: int = 8, name: str = "loomstead") -> SparkSession:
@@ -58,28 +62,24 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Compute a frame once and go on from files in the shared folder, which outlive lost executors."""
-    spark = spark or df.sparkSession
-    folder = shared_folder(spark)
-    jsc = spark.sparkContext._jsc
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def write_once(df: DataFrame, label: str) -> DataFrame:
     """Compute a frame into a parquet table of the shared folder and read it again.
 
     Unlike checkpoint() this keeps columns prunable and compressed; the folder is removed with the session.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = temporary(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared one, removed with the session."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _drop_at_exit(spark, path)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan as it is, or, where it has fewer parts than there are cores, dealt out over these before heavy work."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -95,3 +95,10 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 def rows_known_below(df: DataFrame, limit: int) -> bool:
     """Whether a frame has fewer than limit rows, reading no more of it than that takes."""
     return df.limit(limit).count() < limit
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A frame marked to be sent to all executors if its bytes, counted, are few; else as it is."""
+    wide = [F.sum(F.octet_length(F.col(f"`{f.name}`"))) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    counted = df.agg(F.count("*"), *wide).first()
+    return F.broadcast(df) if counted[0] * 16 * (1 + len(df.columns)) + sum(x or 0 for x in counted[1:]) <= most else df

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from loomstead.operators.incremental import KeyHashState, content_hash, latest_versions, plain_hash, rows_since_success
+from loomstead.operators.incremental import KeyHashState, Overtaken, append_once, content_hash, latest_versions, plain_hash, rows_since_success
 from loomstead.streaming.refresh import refresh, sittings
 
 ROWS = "source string, source_key string, row_id long, text string, timestamp timestamp"
@@ -27,26 +27,66 @@ def test_nothing_twice_and_nothing_skipped(spark, tmp_path):
     state = state_at(spark, tmp_path)
     first = hashed(spark, ("a", "1", "x"), ("a", "2", "y"))
     got = []
-    state.run(first, lambda df: got.append(keys(df)))
-    state.run(first, lambda df: got.append(keys(df)))
-    state.run(hashed(spark, ("a", "2", "z"), ("b", "2", "y")), lambda df: got.append(keys(df)))
+    state.run(first, lambda df, _: got.append(keys(df)))
+    state.run(first, lambda df, _: got.append(keys(df)))
+    state.run(hashed(spark, ("a", "2", "z"), ("b", "2", "y")), lambda df, _: got.append(keys(df)))
     assert got == [[("a", "1"), ("a", "2")], [], [("a", "2"), ("b", "2")]]
     assert {(r.source, r.source_key, r.content_hash) for r in state.read().collect()} == {("a", "1", "x"), ("a", "2", "z"), ("b", "2", "y")}
 
 
-def test_a_failed_run_is_repeated(spark, tmp_path):
-    state = state_at(spark, tmp_path)
-    rows = hashed(spark, ("a", "1", "x"))
+@pytest.mark.parametrize("step", ["handed", "process", "move", "commit", "clean"])
+def test_failure_at_each_step(spark, tmp_path, monkeypatch, step):
+    """Wherever a run fails, the next ones leave each version of a record in the output exactly once."""
+    state, out = state_at(spark, tmp_path), str(tmp_path / "out")
+    state.run(hashed(spark, ("a", "1", "x"), ("a", "2", "y")), append_once(out))
 
-    def fail(df):
+    def fail(*_):
         raise RuntimeError("lost")
 
+    def process(df, number):
+        append_once(out)(df, number)
+        if step == "process":
+            fail()
+
+    broken = state_at(spark, tmp_path)
+    if step != "process":
+        monkeypatch.setattr(broken, {"handed": "changed", "move": "move", "commit": "_commit", "clean": "_clean"}[step], fail)
+    second = hashed(spark, ("a", "1", "x"), ("a", "2", "z"), ("b", "1", "w"))
     with pytest.raises(RuntimeError):
-        state.run(rows, fail)
-    assert state.current() is None
-    # A version that was written but never put into force changes nothing.
-    state.write(rows)
-    assert keys(state.changed(rows)) == [("a", "1")]
+        broken.run(second, process)
+    # Meanwhile the source has gone on.
+    third = hashed(spark, ("a", "1", "x"), ("a", "2", "v"), ("b", "1", "w"))
+    state.run(third, append_once(out))
+    state.run(third, append_once(out))
+    got = sorted((r.source, r.source_key, r.content_hash) for r in spark.read.parquet(out).collect())
+    # A run that failed before it handed anything out is as if it hadn't been.
+    between = [] if step == "handed" else [("a", "2", "z")]
+    assert got == sorted([("a", "1", "x"), ("a", "2", "y"), ("a", "2", "v"), ("b", "1", "w"), *between])
+    assert {tuple(r) for r in state.read().collect()} == {("a", "1", "x"), ("a", "2", "v"), ("b", "1", "w")}
+
+
+def test_two_writers(spark, tmp_path):
+    one, other = state_at(spark, tmp_path), state_at(spark, tmp_path)
+
+    def meanwhile(df, number):
+        other.move(hashed(spark, ("b", "1", "y")), number - 1)
+
+    with pytest.raises(Overtaken):
+        one.run(hashed(spark, ("a", "1", "x")), meanwhile)
+    assert keys(one.read()) == [("b", "1")]
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    state = state_at(spark, tmp_path)
+    state.run(hashed(spark, *(("a", str(i), "x") for i in range(200))), lambda *_: None)
+    before = state._version(1)["folders"]
+    state.run(hashed(spark, ("a", "7", "y")), lambda *_: None)
+    after = state._version(2)["folders"]
+    assert len(before) > 10 and sum(before[b] != after[b] for b in before) == 1
+    state.run(hashed(spark, ("a", "7", "z")), lambda *_: None)
+    # The folder that only the first version needed for this bucket stays as long as others lie in it.
+    assert state.read().count() == 200 and state._names("version-") == ["version-000000000002", "version-000000000003"]
+    assert state._names("handed-") == ["handed-000000000003"]
 
 
 def test_versions_and_ties(spark):
