@@ -38,48 +38,60 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return parts.select("query_id", "phrase_id", F.size("t").alias("places"), F.posexplode("t").alias("place", "term"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_pk, field, pos) of all tokens of (chunk_pk, title, content)."""
-    fields = F.array(
-        F.struct(F.lit("title").alias("field"), tokens(F.col("title")).alias("t")),
-        F.struct(F.lit("content").alias("field"), tokens(F.col("content")).alias("t")),
-    )
-    each = chunks.select("chunk_pk", F.explode(fields).alias("f"))
-    return each.select("chunk_pk", F.col("f.field").alias("field"), F.posexplode("f.t").alias("pos", "term"))
+def lengths_and_tokens(chunks: DataFrame) -> DataFrame:
+    """Add the tokens of both fields and `n_tokens`, those of title and content together."""
+    both = chunks.withColumn("t_title", tokens(F.col("title"))).withColumn("t_content", tokens(F.col("content")))
+    return both.withColumn("n_tokens", F.size("t_title") + F.size("t_content"))
+
 
+def exploded(tokenised: DataFrame) -> DataFrame:
+    """(term, chunk_pk, field, pos, n_tokens) of all tokens."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t_{f}").alias("t")) for f in ("title", "content")))
+    each = tokenised.select("chunk_pk", "n_tokens", F.explode(fields).alias("f"))
+    return each.select(F.posexplode("f.t").alias("pos", "term"), "chunk_pk", F.col("f.field").alias("field"), "n_tokens").select("term", "chunk_pk", "field", "pos", "n_tokens")
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """(chunk_pk, n_tokens) of title and content together."""
-    return chunks.select("chunk_pk", (F.size(tokens(F.col("title"))) + F.size(tokens(F.col("content")))).alias("n_tokens"))
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_pk, field, pos, n_tokens) of all tokens of (chunk_pk, title, content)."""
+    return exploded(lengths_and_tokens(chunks))
 
-def phrase_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, phrase_id, chunk_pk, tf): weighted hits of each phrase; its terms must follow each other in one field.
+
+def phrase_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, phrase_id, chunk_pk, tf, n_tokens) of postings: weighted hits of each phrase; its terms must follow each other in one field.
 
     The terms of the queries are few; those postings alone are kept before anything is grouped.
     """
-    found = postings(chunks).join(F.broadcast(terms), "term")
+    found = rows.join(F.broadcast(terms), "term")
     at = (F.col("pos") - F.col("place")).alias("at")
-    whole = found.groupBy("query_id", "phrase_id", "places", "chunk_pk", "field", at).agg(F.count("*").alias("n")).where("n = places")
+    whole = found.groupBy("query_id", "phrase_id", "places", "chunk_pk", "field", at).agg(F.count("*").alias("n"), F.max("n_tokens").alias("n_tokens"))
     weight = F.when(F.col("field") == "title", TITLE_WEIGHT).otherwise(CONTENT_WEIGHT)
-    return whole.groupBy("query_id", "phrase_id", "chunk_pk").agg(F.sum(weight).alias("tf"))
+    return whole.where("n = places").groupBy("query_id", "phrase_id", "chunk_pk").agg(F.sum(weight).alias("tf"), F.max("n_tokens").alias("n_tokens"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_pk, score), larger is better; term weights and lengths are those of all chunks given."""
-    hits = phrase_hits(chunks, query_terms(queries))
-    sizes = lengths(chunks)
-    whole = sizes.agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("avg_tokens"))
-    holding = hits.groupBy("query_id", "phrase_id").agg(F.count("*").alias("n"))
-    # One row, and one row for each phrase of a query.
-    weights = holding.crossJoin(F.broadcast(whole))
+def scores(hits: DataFrame, whole: DataFrame) -> DataFrame:
+    """(query_id, chunk_pk, score) of hits; whole: one row of n_chunks and avg_tokens of the collection."""
+    # One row for each phrase of a query, and one row.
+    weights = hits.groupBy("query_id", "phrase_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(whole))
     idf = F.log((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = weights.select("query_id", "phrase_id", "avg_tokens", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"))
-    joined = hits.join(F.broadcast(weights), ["query_id", "phrase_id"]).join(sizes, "chunk_pk")
+    joined = hits.join(F.broadcast(weights), ["query_id", "phrase_id"])
     norm = K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens"))
     return joined.groupBy("query_id", "chunk_pk").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
+def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_pk, score) of chunks without an index, larger is better; term weights and lengths are those of all chunks given.
+
+    Chunks without any term of the queries aren't exploded.
+    """
+    terms = query_terms(queries)
+    tokenised = lengths_and_tokens(chunks)
+    asked = F.broadcast(terms.agg(F.collect_set("term").alias("asked")))
+    some = tokenised.join(asked).where(F.arrays_overlap("t_title", "asked") | F.arrays_overlap("t_content", "asked"))
+    whole = tokenised.agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("avg_tokens"))
+    return scores(phrase_hits(exploded(some), terms), whole)
+
+
 def ranked(scores: DataFrame, limit: int, tie: Column | None = None) -> DataFrame:
     """Add `rank` and keep the best of each query; ties go to the smaller chunk_pk unless said otherwise."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_pk") if tie is None else tie)

@@ -45,7 +45,7 @@ def summary_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents found by the summaries of their units, each with the chunk of the unit that fits the query best."""
     # Both the ranking and the lookup of its winners read the units; they are made once.
     units = write_once(distilled_units(spark, sf_dir), "units")
-    rows = units.withColumn("chunk_pk", F.col("document_id").cast("long") * 10_000 + F.col("unit")).select(
+    rows = units.withColumn("chunk_pk", F.col("document_id").cast("long") * views.PLACES + F.col("unit")).select(
         "chunk_pk", "document_id", "first_ordinal", "last_ordinal", F.lit("").alias("title"), F.col("search_text").alias("content")
     )
     scores = lexical.bm25(rows, views.queries(spark)).withColumn("score", F.round("score", 9)).join(rows.select("chunk_pk", "document_id", "first_ordinal", "last_ordinal"), "chunk_pk")
@@ -63,7 +63,7 @@ def summary_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results of the search with the part of the text that answers best."""
     top = retrieval_queries.hybrid_search(spark, sf_dir).select("query_id", "position", "chunk_pk")
-    text = views.chunks(spark, sf_dir).select("chunk_pk", "content").join(F.broadcast(top), "chunk_pk")
+    text = views.indexed(spark, sf_dir).chunks.select("chunk_pk", "content").join(F.broadcast(top), "chunk_pk")
     words = views.queries(spark).select("query_id", lexical.query_words(F.col("query")).alias("words"))
     return text.join(F.broadcast(words), "query_id").select("query_id", "position", snippets.snippets(F.col("content"), F.col("words"), 200).alias("snippet"))
 
@@ -75,8 +75,8 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches of each query ordered anew by the share of the query's words they hold."""
-    chunks = views.chunks(spark, sf_dir)
-    scores = lexical.bm25(chunks, views.queries(spark)).withColumn("score", F.round("score", 9))
+    built = views.indexed(spark, sf_dir)
+    chunks, scores = built.chunks, built.bm25(views.queries(spark)).withColumn("score", F.round("score", 9))
     words = views.queries(spark).select("query_id", lexical.query_words(F.col("query")).alias("words"))
     both = scores.join(chunks.select("chunk_pk", "content"), "chunk_pk").join(F.broadcast(words), "query_id")
     held = F.size(F.filter("words", lambda w: F.contains(F.lower("content"), w)))
@@ -88,7 +88,7 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar vectors of every vector whose id is divisible by 50, by the inverted file."""
-    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 100000).alias("chunk_pk"), "embedding")
+    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * views.PLACES).alias("chunk_pk"), "embedding")
     queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return embedding.InvertedFile(v).search(queries, 50, 10).select("query_id", "chunk_pk", "rank")
 

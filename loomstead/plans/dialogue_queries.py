@@ -151,11 +151,9 @@ _RANKING = f"""{views.BM25}, per as (select query_id, document_id, max(round(sco
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomstead.operators import lexical
-
-    c = views.chunks(spark, sf_dir)
-    scores = lexical.bm25(c, views.queries(spark)).withColumn("score", F.round("score", 9))
-    per = scores.join(c.select("chunk_pk", "document_id"), "chunk_pk").groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
+    built = views.indexed(spark, sf_dir)
+    scores = built.bm25(views.queries(spark)).withColumn("score", F.round("score", 9))
+    per = scores.join(built.chunks.select("chunk_pk", "document_id"), "chunk_pk").groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")
     return per.withColumn("position", F.row_number().over(order)).where("position <= 20").select("query_id", "document_id", "position")
 
@@ -220,7 +218,8 @@ def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def canary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each canary finds wrong."""
-    ranking = _ranking(spark, sf_dir).join(views.docs(spark, sf_dir).select("document_id", "source"), "document_id")
+    of_document = views.indexed(spark, sf_dir).chunks.select("document_id", "source").distinct()
+    ranking = _ranking(spark, sf_dir).join(of_document, "document_id")
     first = ranking.groupBy("query_id").agg(F.min("document_id").alias("document_id"))
     cases = views.queries(spark).select("query_id").join(first, "query_id", "left").select(
         "query_id", "document_id", F.lit(1).alias("baseline_rank"), F.lit(2).alias("rank_tolerance"), (F.col("query_id") == 2).alias("expected_empty"),

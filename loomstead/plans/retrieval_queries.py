@@ -13,7 +13,7 @@ from loomstead.session import table, write_once
 
 def _lexical(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
     # Scores are compared to 9 decimals, so that the order of a sum can't change a rank.
-    scores = lexical.bm25(views.chunks(spark, sf_dir), views.queries(spark)).withColumn("score", F.round("score", 9))
+    scores = views.indexed(spark, sf_dir).bm25(views.queries(spark)).withColumn("score", F.round("score", 9))
     return lexical.ranked(scores, limit)
 
 
@@ -24,7 +24,7 @@ def _query_vectors(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (1,
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select((F.col("vec_id") * 100000).alias("chunk_pk"), "embedding", "label", F.col("vec_id").alias("doc_id"))
+    return e.select((F.col("vec_id") * views.PLACES).alias("chunk_pk"), "embedding", "label", F.col("vec_id").alias("doc_id"))
 
 
 @query(
@@ -50,17 +50,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chunks of one source; term weights stay those of the whole collection."""
-    chunks = views.chunks(spark, sf_dir)
-    scores = lexical.bm25(chunks, views.queries(spark)).withColumn("score", F.round("score", 9))
-    own = chunks.join(views.docs(spark, sf_dir).where("source = 'codex'").select("doc_id"), "doc_id", "left_semi").select("chunk_pk")
+    built = views.indexed(spark, sf_dir)
+    scores = built.bm25(views.queries(spark)).withColumn("score", F.round("score", 9))
+    own = built.chunks.where("source = 'codex'").select("chunk_pk")
     return lexical.ranked(scores.join(own, "chunk_pk"), 10).select("query_id", "chunk_pk", "rank")
 
 
 @query(f"with {views.BM25} select query_id, phrase_id, count(*) as n_chunks, sum(tf) as tf from hits where (query_id, phrase_id) in (select (query_id, phrase_id) from qt where places > 1) group by all")
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the phrases of the queries stand in how many chunks."""
-    terms = lexical.query_terms(views.queries(spark)).where("places > 1")
-    hits = lexical.phrase_hits(views.chunks(spark, sf_dir), terms)
+    hits = views.indexed(spark, sf_dir).hits(views.queries(spark), F.col("places") > 1)
     return hits.groupBy("query_id", "phrase_id").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("tf"))
 
 
@@ -71,11 +70,12 @@ def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fts_term_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rarest words of each query."""
-    frequency = lexical.postings(views.chunks(spark, sf_dir)).select("term", "chunk_pk").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    words = views.queries(spark).select(F.explode(lexical.query_words(F.col("query"))).alias("term"))
+    frequency = views.indexed(spark, sf_dir).postings(words).select("term", "chunk_pk").distinct().groupBy("term").agg(F.count("*").alias("n"))
     return lexical.capped_terms(views.queries(spark), frequency, 2)
 
 
-_VECTOR = """v as (select vec_id * 100000 as chunk_pk, embedding, label, vec_id as doc_id from embeddings),
+_VECTOR = """v as (select vec_id * 1073741824 as chunk_pk, embedding, label, vec_id as doc_id from embeddings),
  q as (select vec_id as query_id, embedding as vector from embeddings where vec_id in (1, 2, 3, 4)),
  vs as (select query_id, chunk_pk, label, doc_id, list_sum(list_transform(list_zip(embedding::double[], vector::double[]), lambda x: x[1] * x[2])) as score from v, q)"""
 
@@ -155,8 +155,8 @@ def _scored(spark: SparkSession, sf_dir: str, channels: tuple[DataFrame, DataFra
     fused = hybrid.fuse(*(channels or _channels(spark, sf_dir)))
     now, epoch = F.to_timestamp(F.lit(views.NOW)), F.timestamp_seconds(F.lit(0))
     # Ranks first, wide rows afterwards: at most 100 chunks of each query are looked up.
-    rows = views.chunks(spark, sf_dir).select("chunk_pk", "document_id", "ordinal").join(F.broadcast(fused), "chunk_pk")
-    timed = rows.join(views.docs(spark, sf_dir).select("document_id", "ts"), "document_id")
+    rows = views.indexed(spark, sf_dir).chunks.select("chunk_pk", "document_id", "ordinal", "ts")
+    timed = rows.join(F.broadcast(fused), "chunk_pk")
     return write_once(timed.withColumn("score", F.round(F.col("rrf") * hybrid.recency(F.coalesce("ts", epoch), now), 9)), "scored")
 
 
@@ -188,7 +188,7 @@ _VARIANTS = f"""{_BEST},
 @query(f"with {_VARIANTS} select query_id, document_id, direction, chunk_pks::varchar as chunk_pks from variants")
 def neighbour_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each anchor with the chunk before, the chunk after, or alone."""
-    made = hybrid.variants(_anchors(spark, sf_dir), views.chunks(spark, sf_dir))
+    made = hybrid.variants(_anchors(spark, sf_dir), views.indexed(spark, sf_dir).chunks)
     text = F.concat(F.lit("["), F.array_join(F.col("chunk_pks").cast("array<string>"), ", "), F.lit("]"))
     return made.select("query_id", "document_id", "direction", text.alias("chunk_pks"))
 
@@ -203,7 +203,7 @@ _CHOSEN = f"""{_VARIANTS},
 def fallback_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variant that is shown when nothing reranks."""
     scored = _scored(spark, sf_dir)
-    return hybrid.fallback_variant(_variants(scored, views.chunks(spark, sf_dir)), scored).select("query_id", "document_id", "direction")
+    return hybrid.fallback_variant(_variants(scored, views.indexed(spark, sf_dir).chunks), scored).select("query_id", "document_id", "direction")
 
 
 @query(
@@ -219,13 +219,14 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Ranks of 50 chunks in each channel are kept; all that follows reads them instead of ranking again.
     lex, vec = (write_once(c, "ranks") for c in _channels(spark, sf_dir))
     scored = _scored(spark, sf_dir, (lex, vec))
+    kept = views.indexed(spark, sf_dir).chunks
     anchors = hybrid.best_of_each_document(scored, 10)
-    chosen = hybrid.fallback_variant(_variants(scored, views.chunks(spark, sf_dir), 10), scored)
+    chosen = hybrid.fallback_variant(_variants(scored, kept, 10), scored)
     shaped = (
         anchors.join(chosen.select("query_id", "document_id", "direction"), ["query_id", "document_id"])
         .join(lex.select("query_id", "chunk_pk", F.col("rank").alias("lexical_rank")), ["query_id", "chunk_pk"], "left")
         .join(vec.select("query_id", "chunk_pk", F.col("rank").alias("vector_rank")), ["query_id", "chunk_pk"], "left")
-        .join(views.docs(spark, sf_dir).select("document_id", "source", "project"), "document_id")
+        .join(kept.select("chunk_pk", "source", "project"), "chunk_pk")
     )
     via = F.concat_ws(",", F.when(F.col("lexical_rank").isNotNull(), "lexical"), F.when(F.col("vector_rank").isNotNull(), "vector"))
     citation = F.concat(F.lit("loomstead://document/"), "document_id", F.lit("#"), F.col("ordinal").cast("string"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.text import stable_id
 from loomstead.operators.lexical import ACCENTED, PLAIN, STOPWORDS
+from loomstead.operators import collection
 from loomstead.session import table
 
+#: A chunk's key is its document's times this, which no text has as many paragraphs as, plus its place.
+PLACES = 1 << 30
 #: The time that recency counts from.
 NOW = "2026-08-01 00:00:00"
 QUERIES = [(1, "the stale lease and the ranking floor"), (2, "re-embedded shared footer"), (3, "migration runner timed out on citations"), (4, "le verrou et la fenêtre")]
@@ -32,7 +35,20 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs as chunks, numbered within their document."""
     parts = docs(spark, sf_dir).select("doc_id", "document_id", "title", F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("ordinal", "content"))
-    return parts.where("trim(content) <> ''").withColumn("chunk_pk", F.col("doc_id") * 100000 + F.col("ordinal"))
+    return parts.where("trim(content) <> ''").withColumn("chunk_pk", F.col("doc_id") * PLACES + F.col("ordinal"))
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> collection.Collection:
+    """The documents' chunks with their index, built when they are first searched and again when their files change."""
+    of_document = docs(spark, sf_dir).select("doc_id", "source", "project", "ts")
+    state = table(spark, sf_dir, "documents")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in state.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return collection.built(chunks(spark, sf_dir).join(of_document, "doc_id"), sf_dir, tuple(sorted(found)))
 
 
 def queries(spark: SparkSession) -> DataFrame:
@@ -45,7 +61,7 @@ DOCS = """docs as (
   from documents where "text" is not null and "text" <> '')"""
 CHUNKS = DOCS + r""", parts as (
   select doc_id, document_id, title, string_split_regex("text", '\n[ \t]*\n') as p from docs), chunks as (
-  select doc_id, document_id, title, i - 1 as ordinal, p[i] as content, doc_id * 100000 + i - 1 as chunk_pk
+  select doc_id, document_id, title, i - 1 as ordinal, p[i] as content, doc_id * 1073741824 + i - 1 as chunk_pk
   from (select *, unnest(range(1, len(p) + 1)) as i from parts) where trim(p[i], ' ') <> '')"""
 TOKENS = rf"regexp_extract_all(translate(lower(coalesce({{}}, '')), '{ACCENTED}', '{PLAIN}'), '[\p{{{{L}}}}\p{{{{N}}}}]+')"
 
