@@ -67,6 +67,13 @@ def fields(raw: Column) -> Column:
     return F.struct(parts.alias("parts"), form.alias("form"), s.alias("s"))
 
 
+def swapped(f: Column) -> Column:
+    """fields() with month and day of slashed dates the other way round; null for other spellings."""
+    p = f["parts"]
+    parts = F.concat(F.array(p[0], p[2], p[1]), F.slice(p, 4, 10))
+    return F.when(f["form"] == "slashed", F.struct(parts.alias("parts"), F.lit("slashed, day first").alias("form"), f["s"].alias("s")))
+
+
 def read(f: Column) -> dict[str, Column]:
     """The parts of fields() as columns: wall, offset, mark, region, epoch."""
     p, s = f["parts"], f["s"]
@@ -111,3 +118,20 @@ def second_reading(wall: Column, first: Column, zone: Column) -> Column:
     return F.coalesce(
         *(F.when(F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(first + d), zone)) == wall, first + d) for d in OVERLAPS)
     )
+
+
+def stored_instant(raw: Column) -> Column:
+    """Microseconds of what a store reads plainly: ISO dates (UTC without a zone), seconds or, above 10^10, milliseconds; else null."""
+    s = strip(raw)
+    number = F.when(s.rlike(r"^[0-9]{1,13}$"), s.try_cast("long"))
+    iso = s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$")
+    zoned = F.when(s.rlike(r"(Z|[+-]\d{2}:\d{2})$"), s).otherwise(F.concat(s, F.lit("Z")))
+    return F.coalesce(
+        F.when(number > 10_000_000_000, number * 1000).otherwise(number * _SECOND), F.when(iso, F.unix_micros(zoned.try_cast("timestamp")))
+    )
+
+
+#: stored_instant() of a text {s}, in SQL.
+STORED_INSTANT_SQL = r"""case when regexp_matches({s}, '^[0-9]{1,13}$') then case when {s}::bigint > 10000000000 then {s}::bigint * 1000 else {s}::bigint * 1000000 end
+   when regexp_matches({s}, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?$') then epoch_us(try_cast(replace({s}, 'T', ' ') as timestamp))
+   when regexp_matches({s}, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$') then epoch_us(try_cast({s} as timestamptz)) end"""

@@ -131,3 +131,34 @@ def test_query(spark, small):
     got = QUERIES["p3_found"](spark, small)
     assert got.columns == ["source", "row_id", "epoch_us"]
     assert got.count() == got.select("source", "row_id").distinct().count() > 0
+
+
+def test_slashed_dates_by_their_source(spark):
+    """Read both ways, a source's slashed dates follow the spelling that its certain dates and their order ask for."""
+    day = ["03/07/2026 10:00:00", "04/07/2026 10:00:00", "05/07/2026 10:00:00", "13/07/2026 10:00:00", "14/07/2026 10:00:00"]
+    month = ["07/03/2026 10:00:00", "07/04/2026 10:00:00", "07/05/2026 10:00:00", "07/13/2026 10:00:00", "07/14/2026 10:00:00"]
+    rows = [("s", "day", n, n, d) for n, d in enumerate(day)] + [("s", "month", n, 10 + n, d) for n, d in enumerate(month)]
+    df = spark.createDataFrame(rows, "source string, session string, place int, row_id long, raw string")
+    both = timeline.readings(df, "raw", F.lit(None).cast("string"), {}, day_first_slashes=None)
+    # The fifth of July is another day either way; days after the twelfth can't be months.
+    assert {r.row_id: len(r.readings) for r in both.collect()} == {i: 1 if i % 10 > 2 else 2 for i in (*range(5), *range(10, 15))}
+    got = {r.row_id: r.epoch_us for r in timeline.settle(both).collect()}
+    want = [micros(2026, 7, d, 10) for d in (3, 4, 5, 13, 14)]
+    assert [got[i] for i in range(5)] == want and [got[10 + i] for i in range(5)] == want
+    for how, alone in ((False, "month"), (True, "day")):
+        one = timeline.readings(df.where(F.col("session") == alone), "raw", F.lit(None).cast("string"), {}, day_first_slashes=how)
+        assert sorted(r.readings[0].us for r in one.collect()) == want
+
+
+def test_long_open_stretches_take_linear_time():
+    import time
+
+    def walk(n):
+        began, path, out = time.perf_counter(), timeline.Viterbi(10**15 + 3_600_000_000 * 2), []
+        for i in range(n):
+            out += path.add((i,), [(10**15, "iso"), (10**15 + 3_600_000_000, "iso")])
+        out += path.close()
+        assert [k[0] for k, _ in out] == list(range(n))
+        return time.perf_counter() - began
+
+    assert walk(40_000) < 20 * max(walk(4_000), 0.02)
