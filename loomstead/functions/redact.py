@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomstead.functions.text import strip
+
 # The marker and the shapes of secrets, in the order in which they are replaced.
 MARKER = "[REDACTED]"
 PRIVATE_KEY = r"(?is)-----BEGIN(?: [A-Z0-9]+)? PRIVATE KEY-----.*?-----END(?: [A-Z0-9]+)? PRIVATE KEY-----"
@@ -47,7 +49,7 @@ def redact(text: Column) -> Column:
 
 def spoken(text: Column) -> Column:
     """Dialogue without synthetic elements and secrets, stripped."""
-    return F.trim(redact(F.regexp_replace(text, SYNTHETIC, "")))
+    return strip(redact(F.regexp_replace(text, SYNTHETIC, "")))
 
 
 def taints(text: Column, external: Column | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.functions.redact import redact
+from loomstead.functions.text import strip
 
 # The fields of a summary with the most characters of each; of lists, items have so many and a list so many items.
 TEXTS = {"user_goal": 500, "summary": 1200, "outcome": 500}
@@ -16,13 +17,13 @@ NO_ANSWER = r"(?i)\b(?:no|without)\s+(?:assistant|agent)?\s*response\b|\bonly\s+
 
 def validated(s: Column) -> Column:
     """A summary struct with texts redacted, stripped and cut, and lists without blank items."""
-    texts = [F.substring(F.trim(redact(s[k])), 1, n).alias(k) for k, n in TEXTS.items()]
+    texts = [F.substring(strip(redact(s[k])), 1, n).alias(k) for k, n in TEXTS.items()]
     return F.struct(*texts, *(_items(s[k], n).alias(k) for k, n in LISTS.items()))
 
 
 def _items(items: Column, most: int) -> Column:
-    kept = F.filter(items, lambda x: F.trim(x) != "")
-    return F.slice(F.transform(kept, lambda x: F.substring(F.trim(redact(x)), 1, most)), 1, MOST_ITEMS)
+    kept = F.filter(items, lambda x: strip(x) != "")
+    return F.slice(F.transform(kept, lambda x: F.substring(strip(redact(x)), 1, most)), 1, MOST_ITEMS)
 
 
 def consistent(s: Column, evidence: Column) -> Column:
@@ -37,18 +38,18 @@ def flattened(s: Column) -> Column:
     name = lambda k: k.replace("_", " ").title() + ": "
     texts = [F.when(F.coalesce(s[k], F.lit("")) != "", F.concat(F.lit(name(k)), s[k])) for k in TEXTS]
     lists = [F.when(F.size(s[k]) > 0, F.concat(F.lit(name(k)), F.array_join(s[k], "; "))) for k in LISTS]
-    return F.trim(redact(F.array_join(F.array_compact(F.array(*texts, *lists)), "\n")))
+    return strip(redact(F.array_join(F.array_compact(F.array(*texts, *lists)), "\n")))
 
 
 def extract(units: DataFrame) -> DataFrame:
     """Add `distilled` to units (text): first request as goal, first answer as summary, capitals and paths as lists."""
-    said = lambda role: F.trim(F.regexp_extract("text", rf"(?s){role} \[[^\]\n]+\]\n(.*?)(?=\n\n(?:USER|ASSISTANT) \[|\z)", 1))
+    said = lambda role: strip(F.regexp_extract("text", rf"(?s){role} \[[^\]\n]+\]\n(.*?)(?=\n\n(?:USER|ASSISTANT) \[|\z)", 1))
     last = F.element_at(F.split("text", r"(?m)^ASSISTANT \[[^\]\n]+\]\n"), -1)
     found = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))))
     made = F.struct(
         said("USER").alias("user_goal"),
         said("ASSISTANT").alias("summary"),
-        F.trim(last).alias("outcome"),
+        strip(last).alias("outcome"),
         F.array().cast("array<string>").alias("decisions"),
         found(r"\b[\w./-]+\.(?:py|md|mdx|txt|json|toml|sh)\b").alias("artifacts"),
         found(r"\b[a-z]+\.[a-z]+\b").alias("systems"),

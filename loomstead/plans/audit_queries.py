@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from loomstead.functions import redact
 from loomstead.functions.text import WHITE_SPACE, sha, stable_id, strip, word
+from loomstead.functions.timestamps import STORED_INSTANT_SQL, stored_instant
 from loomstead.operators import distill
 from loomstead.plans import dialogue_queries, store_queries, views
 from loomstead.plans.registry import query
 from loomstead.session import table
+from loomstead.sources import jsonl
 from loomstead.sources.projects import SECRET_NAMES, SECRET_WORDS, looks_secret
 
 _WS = "'" + WHITE_SPACE + "'"
@@ -96,8 +98,7 @@ def label_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("query_id", F.size("l").cast("long").alias("relevant"), sha(F.col("query_id").cast("string"), F.array_join("l", ",")).alias("fingerprint"))
 
 
-_STAMP = """case when regexp_matches(s, '^[0-9]{1,12}$') then case when s::bigint > 10000000000 then s::bigint * 1000 else s::bigint * 1000000 end
-   when regexp_matches(s, '^[0-9]{13}$') then s::bigint * 1000 when regexp_matches(s, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d{1,6})?(Z|[+-]\\d{2}:\\d{2})$') then coalesce(epoch_us(try_cast(s as timestamptz)), 0) else 0 end"""
+_STAMP = STORED_INSTANT_SQL.replace("{s}", "s")
 
 
 @query(
@@ -105,18 +106,13 @@ _STAMP = """case when regexp_matches(s, '^[0-9]{1,12}$') then case when s::bigin
     f"union all select 'grok', row_id, trim(\"timestamp\", {_WS}) from grok_records) select source, row_id, coalesce({_STAMP}, 0) as epoch_us from r"
 )
 def simple_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timestamps as the store reads them: ISO with a zone, or seconds or milliseconds as digits; anything else is the epoch."""
+    """Timestamps as the store reads them: ISO (UTC without a zone), or seconds or milliseconds as digits; anything else is the epoch."""
     parts = [(n, table(spark, sf_dir, t)) for n, t in (("hermes", "hermes_messages"), ("codex", "codex_records"), ("grok", "grok_records"))]
     rows = None
     for name, df in parts:
         one = df.select(F.lit(name).alias("source"), "row_id", strip(F.col("timestamp")).alias("s"))
         rows = one if rows is None else rows.unionByName(one)
-    number = F.col("s").try_cast("long")
-    iso = F.col("s").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$")
-    us = F.when(F.col("s").rlike("^[0-9]{1,13}$"), F.when(number > 10_000_000_000, number * 1000).otherwise(number * 1_000_000)).when(
-        iso, F.unix_micros(F.col("s").try_cast("timestamp"))
-    )
-    return rows.select("source", "row_id", F.coalesce(us, F.lit(0)).alias("epoch_us"))
+    return rows.select("source", "row_id", F.coalesce(stored_instant(F.col("s")), F.lit(0)).alias("epoch_us"))
 
 
 @query(
@@ -184,14 +180,22 @@ def secret_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"select row_id, coalesce(array_to_string(list_transform(list_filter(payload.content, lambda b: lower(trim(b.type, {_WS})) in ('text', 'input_text', 'output_text') and b.text is not null), lambda b: b.text), chr(10)), '') as shown "
-    "from codex_records where payload is not null"
+    f"select 'codex' as source, row_id, coalesce(array_to_string(list_transform(list_filter(payload.content, lambda b: lower(trim(b.type, {_WS})) in ('text', 'input_text', 'output_text') and b.text is not null), lambda b: b.text), chr(10)), '') as shown "
+    "from codex_records where payload is not null union all select 'grok', row_id, case when coalesce(json_type(try_cast(params.update.content as json)), '') = 'OBJECT' and lower(coalesce(json_extract_string(try_cast(params.update.content as json), '$.type'), 'text')) in ('text', 'input_text', 'output_text') "
+    "then coalesce(json_extract_string(try_cast(params.update.content as json), '$.text'), '') when coalesce(json_type(try_cast(params.update.content as json)), '') = 'OBJECT' then '' else coalesce(params.update.content, '') end from (select * from grok_records where params.update is not null) "
+    "union all select 'hermes', row_id, coalesce(content, '') from hermes_messages"
 )
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text that a record's blocks show."""
+    """The text that each record of the three tables shows: plain, of an object, or of blocks."""
     kept = F.filter("payload.content", lambda b: word(b["type"]).isin("text", "input_text", "output_text") & b["text"].isNotNull())
     shown = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return table(spark, sf_dir, "codex_records").where("payload is not null").select("row_id", F.coalesce(shown, F.lit("")).alias("shown"))
+    codex = table(spark, sf_dir, "codex_records").where("payload is not null").select(F.lit("codex").alias("source"), "row_id", F.coalesce(shown, F.lit("")).alias("shown"))
+    content = F.col("params.update.content")
+    parsed = F.try_parse_json(content)
+    said = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), jsonl.visible_text(parsed)).otherwise(F.coalesce(content, F.lit("")))
+    grok = table(spark, sf_dir, "grok_records").where("params.update is not null").select(F.lit("grok").alias("source"), "row_id", said.alias("shown"))
+    hermes = table(spark, sf_dir, "hermes_messages").select(F.lit("hermes").alias("source"), "row_id", F.coalesce("content", F.lit("")).alias("shown"))
+    return codex.unionByName(grok).unionByName(hermes)
 
 
 @query(

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions import redact
-from loomstead.functions.text import word
+from loomstead.functions.text import WHITE_SPACE, word
 from loomstead.operators import chunking, distill, embedding, hybrid, lexical, snippets
 from loomstead.operators.headings import has_headings
-from loomstead.plans import retrieval_queries, views
+from loomstead.plans import retrieval_queries, store_queries, views
 from loomstead.plans.registry import query
 from loomstead.session import spread, table, write_once
 
@@ -96,7 +96,21 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGGED = [(1, "a <system-reminder>x\ny</system-reminder> b"), (2, "<tool_result id='1'>z</tool_result>ok"), (3, "<command-name>n</command-args> stays")]
 
 
-@query()
+def _sql_spoken() -> str:
+    """redact.spoken() of `said`; without back-references each tag has a pattern of its own."""
+    out = "said"
+    for name in redact.SYNTHETIC.split("<(")[1].split(")")[0].split("|"):
+        out = f"regexp_replace({out}, '(?is)<{name}\\b[^>]*>.*?</{name}>', '', 'g')"
+    return f"trim({store_queries.sql_redacted(out)}, '{WHITE_SPACE}')"
+
+
+_TAGGED_SQL = ", ".join("({}, '{}')".format(i, s.replace("'", "''").replace("\n", "' || chr(10) || '")) for i, s in _TAGGED)
+
+
+@query(
+    f"with said_rows as (select row_id + 1000 as id, content as said from hermes_messages where content is not null union all select * from (values {_TAGGED_SQL}) t(id, said)) "
+    f"select id, {_sql_spoken()} as said from said_rows"
+)
 def clean_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages without synthetic elements and secrets."""
     tagged = spark.createDataFrame(_TAGGED, "id long, said string")

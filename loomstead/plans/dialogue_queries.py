@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import WHITE_SPACE, is_blank, word
+from loomstead.functions.timestamps import STORED_INSTANT_SQL, stored_instant
 from loomstead.operators import dialogue, evaluation
 from loomstead.plans import views
 from loomstead.plans.registry import query
 from loomstead.session import table
 
 _WS = "'" + WHITE_SPACE + "'"
-_HERMES = f"""m as (select session_id as session, seq as place, lower(trim(role, {_WS})) as role, content as text, "timestamp" as ts, row_id from hermes_messages
+_US = STORED_INSTANT_SQL.replace("{s}", f'trim("timestamp", {_WS})')
+_HERMES = f"""m as (select session_id as session, seq as place, lower(trim(role, {_WS})) as role, content as text, {_US} as us, row_id from hermes_messages
    where lower(trim(role, {_WS})) in ('user', 'assistant') and content is not null and trim(content, {_WS}) <> ''
    qualify row_number() over (partition by session_id, seq order by row_id) = 1)"""
 
@@ -20,7 +22,7 @@ _HERMES = f"""m as (select session_id as session, seq as place, lower(trim(role,
 def hermes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible messages of the exported sessions; of rows at one place the first counts."""
     m = table(spark, sf_dir, "hermes_messages").select(
-        F.col("session_id").alias("session"), F.col("seq").alias("place"), word(F.col("role")).alias("role"), F.col("content").alias("text"), F.col("timestamp").alias("ts"), "row_id"
+        F.col("session_id").alias("session"), F.col("seq").alias("place"), word(F.col("role")).alias("role"), F.col("content").alias("text"), F.timestamp_micros(stored_instant(F.col("timestamp"))).alias("ts"), "row_id"
     )
     m = m.where(F.col("role").isin("user", "assistant") & ~is_blank(F.col("text")))
     order = Window.partitionBy("session", "place").orderBy("row_id")
@@ -28,15 +30,16 @@ def hermes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {_HERMES} select session, string_agg(upper(role) || ' [' || coalesce(ts, '') || ']' || chr(10) || text, chr(10) || chr(10) order by place) as text, max(ts) as ts, count(*) as message_count from m group by 1"
+    f"with {_HERMES} select session, string_agg(upper(role) || ' [' || strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') || case when us % 1000000 <> 0 then '.' || lpad((us % 1000000)::varchar, 6, '0') else '' end || 'Z]' || chr(10) || text, "
+    "chr(10) || chr(10) order by place) as text, max(us) as ts_us, count(*) as message_count from m where us is not null group by 1"
 )
 def dialogue_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document of each session."""
-    return dialogue.render(hermes(spark, sf_dir))
+    """A document of each session, of its messages with a time."""
+    return dialogue.render(hermes(spark, sf_dir)).select("session", "text", F.unix_micros("ts").alias("ts_us"), "message_count")
 
 
 _GROK = f"""g as (select params.sessionId as session, line_no as place, case when k = 'user_message_chunk' then 'user' when k = 'agent_message_chunk' then 'assistant' else 'end' end as kind,
-   params.update.content as text, "timestamp" as ts from (select *, lower(trim(params.update.sessionUpdate, {_WS})) as k from grok_records)
+   params.update.content as text, {_US} as us from (select *, lower(trim(params.update.sessionUpdate, {_WS})) as k from grok_records)
    where k in ('user_message_chunk', 'agent_message_chunk', 'turn_completed')
    qualify row_number() over (partition by params.sessionId, line_no order by row_id) = 1)"""
 
@@ -46,7 +49,7 @@ def grok(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = word(u["sessionUpdate"])
     g = table(spark, sf_dir, "grok_records").where(k.isin("user_message_chunk", "agent_message_chunk", "turn_completed"))
     kind = F.when(k == "user_message_chunk", "user").when(k == "agent_message_chunk", "assistant").otherwise("end")
-    g = g.select(F.col("params.sessionId").alias("session"), F.col("line_no").alias("place"), kind.alias("kind"), u["content"].alias("text"), F.col("timestamp").alias("ts"), "row_id")
+    g = g.select(F.col("params.sessionId").alias("session"), F.col("line_no").alias("place"), kind.alias("kind"), u["content"].alias("text"), stored_instant(F.col("timestamp")).alias("ts"), "row_id")
     order = Window.partitionBy("session", "place").orderBy("row_id")
     return g.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
@@ -54,11 +57,11 @@ def grok(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {_GROK}, s as (select *, case when lag(kind) over (partition by session order by place) is distinct from kind then 1 else 0 end as st from g),
  r as (select *, sum(st) over (partition by session order by place) as run from s)
- select session, run::bigint as run, kind as role, coalesce(string_agg(text, '' order by place), '') as text, max(ts) as ts from r where kind <> 'end' group by session, run, kind"""
+ select session, run::bigint as run, kind as role, coalesce(string_agg(text, '' order by place), '') as text, max(us) as ts_us from r where kind <> 'end' group by session, run, kind"""
 )
 def role_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streamed chunks as whole messages."""
-    return dialogue.role_runs(grok(spark, sf_dir))
+    return dialogue.role_runs(grok(spark, sf_dir)).select("session", "run", "role", "text", F.col("ts").alias("ts_us"))
 
 
 _CODEX = f"""c as (select file as unit, line_no, row_id, 0 as channel, lower(trim(payload.role, {_WS})) as role from codex_records
@@ -83,11 +86,23 @@ def canonical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with m as (select file, arg_min(payload.id, line_no) as meta_id, arg_min(payload.cwd, line_no) as cwd from codex_records where lower(trim(type)) = 'session_meta' and payload.id is not null group by 1),
  f as (select file, count(*) as records, count(*) filter (payload is null) as malformed, max(line_no) as last_line from codex_records group by 1)
- select file, 'session:' || coalesce(meta_id, regexp_replace(regexp_replace(file, '^.*[/\\\\]', ''), '\\.jsonl$', '')) as source_key,
+ select 'grok' as source, params.sessionId as file, 'session:' || params.sessionId as source_key, nullif(regexp_replace(min(cwd), '^.*[/\\\\]', ''), '') as project,
+   count(*) as records, count(*) filter (params.update is null) as malformed, max(line_no) as last_line from grok_records where params.sessionId is not null group by params.sessionId
+ union all select 'hermes', session_id, 'session:' || session_id, nullif(regexp_replace(min(cwd), '^.*[/\\\\]', ''), ''), count(*), count(*) filter (role is null), max(seq)
+   from hermes_messages left join (select id, min(cwd) as cwd from hermes_sessions group by 1) on id = session_id where session_id is not null group by session_id
+ union all select 'codex', file, 'session:' || coalesce(meta_id, regexp_replace(regexp_replace(file, '^.*[/\\\\]', ''), '\\.jsonl$', '')) as source_key,
    nullif(regexp_replace(cwd, '^.*[/\\\\]', ''), '') as project, records, malformed, last_line from f left join m using (file)"""
 )
 def session_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key, project and record counts of each session file."""
+    """Key, project and record counts of each session of the three tables."""
+    name = lambda c: F.nullif(F.regexp_replace(c, r"^.*[/\\]", ""), F.lit(""))
+    counts = lambda bad, place: [F.count("*").alias("records"), F.count_if(bad).alias("malformed"), F.max(place).alias("last_line")]
+    g = table(spark, sf_dir, "grok_records").where("params.sessionId is not null").groupBy(F.col("params.sessionId").alias("file"))
+    g = g.agg(F.min("cwd").alias("cwd"), *counts(F.col("params.update").isNull(), "line_no")).withColumn("source", F.lit("grok"))
+    known = table(spark, sf_dir, "hermes_sessions").groupBy(F.col("id").alias("file")).agg(F.min("cwd").alias("cwd"))
+    h = table(spark, sf_dir, "hermes_messages").where("session_id is not null").groupBy(F.col("session_id").alias("file"))
+    h = h.agg(*counts(F.col("role").isNull(), "seq")).join(known, "file", "left").withColumn("source", F.lit("hermes"))
+    others = g.unionByName(h).select("source", "file", F.concat(F.lit("session:"), "file").alias("source_key"), name(F.col("cwd")).alias("project"), "records", "malformed", "last_line")
     c = table(spark, sf_dir, "codex_records")
     meta = c.where((F.lower(F.trim("type")) == "session_meta") & F.col("payload.id").isNotNull()).groupBy("file").agg(
         F.min_by("payload.id", "line_no").alias("meta_id"), F.min_by("payload.cwd", "line_no").alias("cwd")
@@ -95,9 +110,10 @@ def session_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = c.groupBy("file").agg(F.count("*").alias("records"), F.count_if(F.col("payload").isNull()).alias("malformed"), F.max("line_no").alias("last_line"))
     stem = F.regexp_replace(F.regexp_replace("file", r"^.*[/\\]", ""), r"\.jsonl$", "")
     project = F.nullif(F.regexp_replace("cwd", r"^.*[/\\]", ""), F.lit(""))
-    return files.join(meta, "file", "left").select(
-        "file", F.concat(F.lit("session:"), F.coalesce("meta_id", stem)).alias("source_key"), project.alias("project"), "records", "malformed", "last_line"
+    own = files.join(meta, "file", "left").select(
+        F.lit("codex").alias("source"), "file", F.concat(F.lit("session:"), F.coalesce("meta_id", stem)).alias("source_key"), project.alias("project"), "records", "malformed", "last_line"
     )
+    return others.unionByName(own)
 
 
 @query(
@@ -234,9 +250,10 @@ def canary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty documents of each source, taken from its projects in turn."""
+    # Of a project no more than fifty rounds can be among a source's first fifty, so each task ranks no more.
     inner = Window.partitionBy("source", "project").orderBy(F.desc_nulls_last("ts"), "doc_id")
     outer = Window.partitionBy("source").orderBy("round", F.asc_nulls_first("project"), "doc_id")
-    d = views.docs(spark, sf_dir).withColumn("round", F.row_number().over(inner))
+    d = views.docs(spark, sf_dir).select("source", "project", "doc_id", "ts").withColumn("round", F.row_number().over(inner)).where("round <= 50")
     return d.withColumn("place", F.row_number().over(outer)).where("place <= 50").select("source", "project", "doc_id", "place")
 
 

@@ -294,8 +294,7 @@ def _with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAID = f"said_rows as (select row_id + 1000 as id, content as said from hermes_messages where content is not null union all select * from (values {_SECRET_ROWS}) t(id, said))"
 
 
-def _sql_redacted() -> str:
-    out = "said"
+def sql_redacted(out: str = "said") -> str:
     for p in [redact.PRIVATE_KEY, *redact.TOKENS]:
         out = f"regexp_replace({out}, '{p}', '[REDACTED]', 'g')"
     for p in redact.ASSIGNMENTS:
@@ -303,7 +302,7 @@ def _sql_redacted() -> str:
     return out
 
 
-@query(f"with {_SAID} select id, {_sql_redacted()} as redacted from said_rows")
+@query(f"with {_SAID} select id, {sql_redacted()} as redacted from said_rows")
 def redact_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages without secrets."""
     return _with_secrets(spark, sf_dir).select("id", redact.redact(F.col("said")).alias("redacted"))

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 # Extensions that are read, folders that aren't, and names of secrets.
 EXTENSIONS = (".md", ".mdx", ".txt")
-EXCLUDED = ("node_modules", ".git", ".venv", "venv", "dist", "build", "__pycache__")
+EXCLUDED = (
+    ".git .hg .svn .idea .vscode .venv venv env node_modules bower_components vendor dist build target out coverage .coverage "
+    ".pytest_cache .mypy_cache .ruff_cache __pycache__ .cache cache tmp temp logs log graphify-out .runtime .next .nuxt .turbo "
+    ".parcel-cache generated secrets .secrets"
+).split()
 SECRET_NAMES = (
     ".env credential credentials secret secrets token tokens password passwd id_rsa id_ed25519 service-account service_account auth.json"
 ).split()

@@ -5,6 +5,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomstead.operators import dialogue, evaluation, hybrid, lexical, store
@@ -128,3 +129,59 @@ def test_project_files(spark, tmp_path):
         "a/readme.md": ("a", "# hi", "read"), "b/notes.txt": ("b", "text", "read"), "b/tokenizer-notes.md": ("b", "yes", "read"), "top.mdx": ("root", "top", "read"),
         "b/nul.md": ("b", None, "kept"), "b/big.md": ("b", None, "kept"), "b/bad.md": ("b", None, "kept"),
     }
+
+
+def test_visible_text(spark):
+    contents = {
+        '"[WARN] please fix"': "[WARN] please fix", '["a", {"type": "text", "text": "b"}, {"text": "c"}, {"type": "image", "text": "d"}, 3]': "a\nb", '{"text": "z"}': "z",
+        '{"type": "Input_Text", "text": "y"}': "y", '{"type": "thinking", "text": "x"}': "", "5": "", "null": "", '""': "", '[{"type": "text", "text": 5}]': "",
+    }
+    df = spark.createDataFrame([(f'{{"c": {c}}}',) for c in contents] + [("{}",)], "raw string")
+    got = df.select(jsonl.visible_text(F.try_variant_get(F.try_parse_json("raw"), "$.c", "variant")).alias("t")).collect()
+    assert [r.t for r in got] == [*contents.values(), ""]
+
+
+def test_session_scans(spark, tmp_path):
+    def write(name, *lines):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
+
+    new, old = "2026-07-20T10:00:00Z", "2026-01-01T00:00:00Z"
+    said = lambda role, text, ts, **more: {"type": role, "timestamp": ts, "message": {"role": role, "content": text}, **more}
+    write("claude/proj/a.jsonl", {"type": "summary"}, said("user", "\n<system-reminder>x</system-reminder>\n[hello]\n", new, sessionId="s1", cwd="/home/me/harbor"), said("assistant", " \n", new), said("assistant", "hi", "1784541600"), "{bad")
+    write("claude/proj/b.jsonl", said("user", "late", old, sessionId="s2"), said("assistant", "undated", None))
+    got = {r.source_key: r for r in jsonl.scan(jsonl.read_lines(spark, [str(tmp_path / "claude")]), "claude", "2026-07-01 00:00:00").collect()}
+    assert got["session:s1"].text == f"USER [{new}]\n[hello]\n\nASSISTANT [{new}]\nhi" and (got["session:s1"].project, got["session:s1"].message_count) == ("harbor", 2)
+    assert (got["session:s2"].status, got["session:s2"].text, got["session:s2"].project) == ("kept", None, "proj")
+    item = lambda kind, **payload: {"type": kind, "timestamp": new, "payload": payload}
+    write("codex/x/rollout-1.jsonl", item("session_meta", id="c1", cwd="C:\\work\\aurora"), item("event_msg", type="user_message", message="mirror"), item("response_item", type="message", role="user", content=[{"type": "input_text", "text": "real"}]))
+    write("codex/x/rollout-2.jsonl", item("event_msg", type="user_message", message="only"), item("response_item", type="message", role="user", content=[{"type": "image"}]), item("event_msg", type="agent_message", text="answer"))
+    got = {r.source_key: r for r in jsonl.scan(jsonl.read_lines(spark, [str(tmp_path / "codex")]), "codex").collect()}
+    assert got["session:c1"].text == f"USER [{new}]\nreal" and got["session:c1"].project == "aurora"
+    assert got["session:rollout-2"].text == f"USER [{new}]\nonly\n\nASSISTANT [{new}]\nanswer"
+    chunk = lambda kind, text, ts=new: {"timestamp": ts, "params": {"sessionId": "g1", "update": {"sessionUpdate": kind, "content": text}}}
+    write("grok/%2Fhome%2Fme%2Fmeadow/g-dir/updates.jsonl", chunk("user_message_chunk", "a", old), chunk("user_message_chunk", {"type": "text", "text": "b"}), chunk("tool_call", "no"), chunk("user_message_chunk", "c", None), chunk("turn_completed", None), chunk("user_message_chunk", "d"), chunk("agent_message_chunk", "e"))
+    lines = jsonl.read_lines(spark, [str(tmp_path / "grok")])
+    (got,) = jsonl.scan(lines, "grok", "2026-07-01 00:00:00").collect()
+    assert (got.source_key, got.project, got.text) == ("session:g1", "meadow", f"USER [{new}]\nabc\n\nUSER [{new}]\nd\n\nASSISTANT [{new}]\ne")
+    assert jsonl.watermark(jsonl.scan(lines, "grok"), old).first()[0].isoformat().startswith("2026-07-20T10:00")
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_runs_across_blocks(spark, monkeypatch, size):
+    import random
+
+    from loomstead.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", size)
+    rng = random.Random(size)
+    rows = [(s, i, rng.choice("abb")) for s in range(3) for i in range(0, 40, 2)]
+    df = spark.createDataFrame(rows, "s int, place int, kind string").withColumn("b", blocks.block(F.col("place")))
+    got = {(r.s, r.place): (r.prev, r.nth) for r in blocks.runs(df, ["s"], ["b"], ["place"], "kind", lambda p, k: ~p.eqNullSafe(k)).collect()}
+    for s in range(3):
+        before, n = None, 0
+        for _, i, kind in (r for r in rows if r[0] == s):
+            n += kind != before
+            assert got[s, i] == (before, n)
+            before = kind
