@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.text import is_blank, word
 from loomstead.llm.components import components
+from loomstead.operators import blocks
 from loomstead.session import table, write_once
 
-#: Places of a unit that are put in order together.
-BLOCK = 65_536
 _UNIT = ["source", "unit", "channel"]
 
 
@@ -147,34 +146,6 @@ def link_sessions(messages: DataFrame) -> DataFrame:
     )
 
 
-def _carry(df: DataFrame, session: list[str], order: list[str], what: Column) -> DataFrame:
-    """Add `prev`: what(row) of the row before in the session, across blocks; null for the first."""
-    inside = Window.partitionBy(*session, "file", "block").orderBy(*order)
-    ends = df.groupBy(*session, "file", "block").agg(F.max_by(what, F.struct(*order)).alias("_end"))
-    over = Window.partitionBy(*session).orderBy("file", "block")
-    ends = ends.select(*session, "file", "block", F.lag("_end").over(over).alias("_before"))
-    return (
-        df.withColumn("prev", F.lag(what).over(inside))
-        .join(ends, [*session, "file", "block"])
-        .withColumn("prev", F.coalesce("prev", "_before"))
-        .drop("_before")
-    )
-
-
-def _number(df: DataFrame, session: list[str], order: list[str], starts: Column) -> DataFrame:
-    """Add `nth`: how many rows of the session up to this one start something, across blocks."""
-    inside = Window.partitionBy(*session, "file", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.groupBy(*session, "file", "block").agg(F.sum(starts.cast("long")).alias("_n"))
-    over = Window.partitionBy(*session).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*session, "file", "block", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_n"))
-    return (
-        df.withColumn("nth", F.sum(starts.cast("long")).over(inside))
-        .join(totals, [*session, "file", "block"])
-        .withColumn("nth", F.col("nth") + F.col("_n"))
-        .drop("_n")
-    )
-
-
 def rebuild(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """Kept conversations: (source, session_id, row_id, turn), one row for each message row.
 
@@ -183,8 +154,7 @@ def rebuild(events: DataFrame, sessions: DataFrame) -> DataFrame:
     share a place, a place is missing or null, a row is unreadable, or the messages aren't the user's first, the
     assistant's last and each user message followed by the assistant. Units without a name are left out.
     """
-    block = F.floor(F.col("place") / BLOCK)
-    events = events.where("unit is not null").withColumn("block", F.coalesce(block, F.lit(-1)))
+    events = events.where("unit is not null").withColumn("block", blocks.block(F.col("place")))
     # One shuffle by unit and block serves the removal of repeats; equal rows have equal marks and flags.
     places = events.groupBy("source", "unit", "block", "place").agg(
         F.min("row_id").alias("row_id"),
@@ -217,16 +187,17 @@ def rebuild(events: DataFrame, sessions: DataFrame) -> DataFrame:
     rows = places.where("kind is not null").drop("bad").join(good, ["source", "unit", "channel"])
     rows = rows.select("source", "session", F.col("unit").alias("file"), "block", "place", "row_id", "kind", "text")
     session, order = ["source", "session"], ["file", "place"]
-    rows = _carry(rows, session, order, F.col("kind"))
-    joins_on = (F.col("source") == "grok") & F.col("prev").eqNullSafe(F.col("kind"))
-    rows = _number(rows, session, order, ~joins_on)
+    # Chunks of a stream go on the message of the chunk before if that is of the same kind.
+    rows = rows.withColumn("said", F.concat_ws("/", F.when(F.col("source") == "grok", "part"), "kind"))
+    goes_on = lambda before, now: before.eqNullSafe(now) & now.startswith("part/")
+    rows = blocks.runs(rows, session, ["file", "block"], order, "said", lambda before, now: ~goes_on(before, now))
     rows = write_once(rows.where("kind <> 'end'").select(*session, "file", "block", "place", "row_id", "kind", "text", "nth"), "rows")
     messages = rows.groupBy(*session, "nth").agg(
         F.min(F.struct("file", "place", "block")).alias("at"), F.max("kind").alias("kind"), F.max("text").alias("text")
     )
-    messages = messages.where("text").select(*session, "nth", "at.file", "at.place", "at.block", "kind")
-    messages = _carry(messages, session, ["file", "place"], F.col("kind"))
-    messages = write_once(_turns(messages, session), "messages")
+    messages = messages.where("text").select(*session, F.col("nth").alias("message"), "at.file", "at.place", "at.block", "kind")
+    messages = blocks.runs(messages, session, ["file", "block"], order, "kind", lambda *_: F.lit(True))
+    messages = write_once(messages.select(*session, F.col("message").alias("nth"), F.col("nth").alias("turn"), "kind", "prev"), "messages")
     # The user's first, the assistant's last, and no two user messages in a row.
     fine = messages.groupBy(*session).agg(
         F.max(
@@ -239,9 +210,23 @@ def rebuild(events: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.join(kept, [*session, "nth"]).select("source", F.col("session").alias("session_id"), "row_id", F.col("turn").cast("int").alias("turn"))
 
 
-def _turns(messages: DataFrame, session: list[str]) -> DataFrame:
-    counted = _number(messages.withColumnRenamed("nth", "message"), session, ["file", "place"], F.lit(True))
-    return counted.withColumnRenamed("nth", "turn").withColumnRenamed("message", "nth")
+def linked_conversations(messages: DataFrame) -> DataFrame:
+    """Kept conversations of messages without identifiers: (session_id, row_id, turn), as rebuild() keeps them.
+
+    messages: message_id, reply_to, row_id, role, content, at (a time). They are tied by link_sessions() and ordered by
+    time, then message_id; messages without a time come first. Rows of one message_id are one message, the smallest row.
+    """
+    once = messages.where("message_id is not null").groupBy("message_id").agg(F.min_by(F.struct("reply_to", "row_id", "role", "content", "at"), "row_id").alias("m"))
+    once = once.select("message_id", "m.*")
+    tied = once.join(link_sessions(once), "message_id")
+    order = Window.partitionBy("conversation").orderBy(F.asc_nulls_first("at"), "message_id")
+    placed = tied.withColumn("place", F.row_number().over(order))
+    role, blank = speaker(F.col("role")), is_blank(F.col("content"))
+    events = placed.select(
+        *_event("linked", F.col("conversation"), F.col("place"), F.when(~blank, role), blank, F.col("role").isNull(), None, F.col("role"), F.col("content"))
+    )
+    none = messages.sparkSession.createDataFrame([], "source string, unit string, session string")
+    return rebuild(events, none).drop("source")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

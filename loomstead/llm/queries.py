@@ -68,6 +68,38 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(spark, sf_dir)
 
 
+@_query
+def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of hermes_messages found again without their names, by replies and quotes planted between their rows.
+
+    Each row replies to the one before it in its session, or, every third where that can be told from all other
+    texts, quotes it instead. Rows of a session thus are one conversation, named by its least row.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from loomstead.llm.conversations import link_sessions
+
+    rows = table(spark, sf_dir, "hermes_messages").where("session_id is not null").select("session_id", "seq", "row_id", "content")
+    plain = rows.withColumn("content", F.when(F.col("content").rlike("(?m)^>"), None).otherwise(F.col("content")))
+    # Texts that no other row has, on one line without outer blanks.
+    lone = plain.where(F.col("content").rlike(r"^\S[^\n\r>]{18,}\S$")).groupBy("content").agg(F.count("*").alias("n"), F.max("row_id").alias("row_id")).where("n = 1").select("row_id", F.lit(True).alias("lone"))
+    order = Window.partitionBy("session_id").orderBy("seq", "row_id")
+    marked = plain.join(lone, "row_id", "left").select(
+        "row_id", "seq", "content", F.lag("row_id").over(order).alias("before"), F.lag("content").over(order).alias("said"), F.lag("lone").over(order).alias("lone")
+    )
+    quotes = F.coalesce(F.col("lone"), F.lit(False)) & (F.col("row_id") % 3 == 0)
+    name = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    messages = marked.select(
+        name("row_id").alias("message_id"), F.when(~quotes, name("before")).alias("reply_to"),
+        F.when(quotes, F.concat(F.lit("> "), "said", F.lit("\n\n"), F.coalesce("content", F.lit("")))).otherwise(F.col("content")).alias("content"),
+    )
+    return link_sessions(messages).select(F.col("message_id").cast("long").alias("row_id"), F.col("conversation").cast("long").alias("conversation"))
+
+
+ORACLE["p2_linked"] = "select row_id, min(row_id) over (partition by session_id) as conversation from hermes_messages where session_id is not null"
+
+
 def split_documents(spark: SparkSession, sf_dir: str, limit: int = 1800, overlap: int = 200) -> DataFrame:
     """Pieces of the ingested documents over the limit: (row_id, ordinal, breadcrumb, piece)."""
     from pyspark.sql import functions as F

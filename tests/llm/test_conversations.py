@@ -5,6 +5,7 @@ import random
 import pytest
 
 from loomstead.llm import conversations as cv
+from loomstead.operators import blocks
 from loomstead.llm.components import components
 
 
@@ -66,7 +67,7 @@ def hermes(spark, rows):
 
 @pytest.mark.parametrize("block", [65_536, 2])
 def test_kept_and_left_out(spark, monkeypatch, block):
-    monkeypatch.setattr(cv, "BLOCK", block)
+    monkeypatch.setattr(blocks, "BLOCK", block)
     good = [("ok", 5, " Human ", "q"), ("ok", 6, "tool", "t"), ("ok", 7, "AI", "a"), ("ok", 7, "AI", "a"), ("ok", 8, "model", "b"), ("ok", 9, "user", " \xa0"), ("ok", 10, "user", "q" * 50_000), ("ok", 11, "assistant", "c")]
     bad = [
         ("gap", 0, "user", "q"), ("gap", 2, "assistant", "a"), ("clash", 0, "user", "q"), ("clash", 1, "assistant", "a"), ("clash", 1, "assistant", "b"),
@@ -86,7 +87,7 @@ GROK = "row_id long, cwd string, line_no int, timestamp string, method string, p
 
 @pytest.mark.parametrize("block", [65_536, 3])
 def test_chunks(spark, monkeypatch, block):
-    monkeypatch.setattr(cv, "BLOCK", block)
+    monkeypatch.setattr(blocks, "BLOCK", block)
     u, a, e = "user_message_chunk", "AGENT_MESSAGE_CHUNK ", "turn_completed"
     lines = [(u, "he"), ("plan", None), (u, '{"type": "text", "text": "llo"}'), (a, " "), (a, "yes"), (e, None), (a, "more"), (u, " "), (u, '{"type":"text","text":" "}'), (a, "end")]
     rows = [(i, "w", i + 1, None, "m", ("s", (k, c))) for i, (k, c) in enumerate(lines)] + [(99, "w", 1, None, "m", ("t", None)), (98, "w", 1, None, "m", None)]
@@ -118,3 +119,26 @@ def test_files_of_a_session(spark, tables):
     assert {(r.session_id, r.row_id, r.turn) for r in turns.collect()} == {("S", 2, 1), ("S", 4, 2), ("c", 6, 1), ("c", 7, 2)}
     texts = {(r.session_id, r.turn): (r.role, r.text) for r in cv.with_texts(turns, spark, folder).collect()}
     assert texts[("S", 1)] == ("user", "q") and texts[("c", 2)] == ("assistant", "a")
+
+
+def test_linked_conversations(spark):
+    rows = [
+        ("a", None, 1, "user", "how do I renew the lease?", 10), ("b", "a", 2, "ai", "like this", 20), ("b", "a", 9, "ai", "like this", 20),
+        ("c", None, 3, "user", "> like this\n\nand then?", 30), ("d", "c", 4, "assistant", "then that", 40),
+        ("e", None, 5, "user", "alone", 50), ("f", "nobody", 6, "assistant", "answers nobody", 60), (None, "a", 7, "user", "nameless", 70),
+    ]
+    df = spark.createDataFrame(rows, "message_id string, reply_to string, row_id long, role string, content string, at long")
+    got = sorted((r.session_id, r.row_id, r.turn) for r in cv.linked_conversations(df).collect())
+    assert got == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("a", 4, 4)]
+    assert cv.linked_conversations(df.limit(0)).count() == 0
+
+
+def test_planted_links(spark, small):
+    from loomstead.llm import queries
+
+    got = {(r.row_id, r.conversation) for r in queries.p2_linked(spark, small).collect()}
+    rows = spark.read.parquet(f"{small}/hermes_messages.parquet").where("session_id is not null").select("session_id", "row_id").collect()
+    least: dict = {}
+    for r in rows:
+        least[r.session_id] = min(least.get(r.session_id, r.row_id), r.row_id)
+    assert got == {(r.row_id, least[r.session_id]) for r in rows}
