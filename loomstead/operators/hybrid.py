@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The constant of rank fusion, and the floor, span and days of recency.
 RRF_K, RECENCY_FLOOR, RECENCY_SPAN, RECENCY_DAYS = 60, 0.7, 0.3, 180.0
 
+#: Queries that are asked in one pass over the vectors.
+QUERIES = 4_096
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -19,6 +26,70 @@ def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(queries)).select("query_id", "chunk_pk", dot(F.col("embedding"), F.col("vector")).alias("score"))
 
 
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None, block: int = QUERIES) -> DataFrame:
+    """(query_id, chunk_pk, score, rank), and `by` if given: the k most similar vectors of each query, or of each query and value of `by`.
+
+    All of (query_id, vector) are asked against all of (chunk_pk, embedding). Queries go over the vectors in blocks of
+    about `block`, one pass each, as a matrix; a task gives k rows of a query at most. Scores are rounded to 9 decimals,
+    ties go to the larger chunk_pk. Null vectors and those of another length than the query's have no score.
+    """
+    kind = queries.schema["query_id"].dataType.simpleString()
+    of = f", `{by}` {vectors.schema[by].dataType.simpleString()}" if by else ""
+    rows = vectors.select("chunk_pk", "embedding", *([by] if by else [])).where("embedding is not null and chunk_pk is not null")
+    asked = queries.select("query_id", "vector").where("vector is not null and query_id is not null")
+    parts = max(1, -(-asked.count() // block))
+    out = None
+    for n in range(parts):
+        # About a block of queries, by a hash of their ids.
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == n).collect()
+        one = _best_of_tasks(rows, [(r.query_id, r.vector) for r in some], k, by, f"query_id {kind}, chunk_pk long, score double{of}")
+        out = one if out is None else out.unionByName(one)
+    order = Window.partitionBy("query_id", *([by] if by else [])).orderBy(F.desc("score"), F.desc("chunk_pk"))
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _best_of_tasks(rows: DataFrame, asked: list[tuple], k: int, by: str | None, schema: str) -> DataFrame:
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+    groups: dict[int, tuple[list, list]] = {}
+    for q, v in asked:
+        ids, held = groups.setdefault(len(v), ([], []))
+        ids.append(q)
+        held.append(v)
+    matrices = {d: (ids, np.array(held, np.float64)) for d, (ids, held) in groups.items()}
+
+    def best(ids: list, scores: np.ndarray, keys: np.ndarray) -> Iterator[tuple]:
+        for q, own in zip(ids, scores):
+            order = np.lexsort((-keys, -own))[:k]
+            yield from ((q, int(keys[i]), float(own[i])) for i in order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            vectors = batch.column("embedding").to_pylist()
+            size = np.array([len(v) for v in vectors], np.int64)
+            values = np.array(batch.column(by).to_pylist(), object) if by else None
+            keys = batch.column("chunk_pk").to_numpy()
+            for d in np.unique(size):
+                if int(d) not in matrices:
+                    continue
+                ids, asked_ = matrices[int(d)]
+                which = np.flatnonzero(size == d)
+                scores = np.round(asked_ @ np.array([vectors[i] for i in which], np.float64).T, 9)
+                if by is None:
+                    made += best(ids, scores, keys[which])
+                    continue
+                for value in dict.fromkeys(values[which].tolist()):
+                    own = np.flatnonzero([x == value for x in values[which]])
+                    made += ((*r, value) for r in best(ids, scores[:, own], keys[which[own]]))
+            if made:
+                fields = rows_schema
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), fields)], names)
+
+    spark = rows.sparkSession
+    rows_schema = [f.type for f in spark.createDataFrame([], schema).toArrow().schema]
+    return rows.mapInArrow(run, schema)
+
+
 def fuse(*channels: DataFrame, k: int = RRF_K) -> DataFrame:
     """(query_id, chunk_pk, rrf) of channels (query_id, chunk_pk, rank): the sum of 1/(k + rank) over those that have it."""
     every = channels[0].select("query_id", "chunk_pk", "rank")

@@ -90,7 +90,7 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar vectors of every vector whose id is divisible by 50, by the inverted file."""
     v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * views.PLACES).alias("chunk_pk"), "embedding")
     queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return embedding.InvertedFile(v).search(queries, 50, 10).select("query_id", "chunk_pk", "rank")
+    return embedding.built(v, sf_dir, views.generation(spark, sf_dir, "embeddings")).search(queries, 50).select("query_id", "chunk_pk", "rank")
 
 
 _TAGGED = [(1, "a <system-reminder>x\ny</system-reminder> b"), (2, "<tool_result id='1'>z</tool_result>ok"), (3, "<command-name>n</command-args> stays")]

@@ -17,9 +17,16 @@ def _lexical(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
     return lexical.ranked(scores, limit)
 
 
-def _query_vectors(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, as a query."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors that stand for the four text queries."""
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector"))
+    return e.where(F.col("vec_id").isin(1, 2, 3, 4)).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +84,8 @@ def fts_term_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VECTOR = """v as (select vec_id * 1073741824 as chunk_pk, embedding, label, vec_id as doc_id from embeddings),
  q as (select vec_id as query_id, embedding as vector from embeddings where vec_id in (1, 2, 3, 4)),
+ asked as (select vec_id as query_id, embedding as vector from embeddings where vec_id % 50 = 0),
+ av as (select query_id, chunk_pk, label, round(list_sum(list_transform(list_zip(embedding::double[], vector::double[]), lambda x: x[1] * x[2])), 9) as score from v, asked),
  vs as (select query_id, chunk_pk, label, doc_id, list_sum(list_transform(list_zip(embedding::double[], vector::double[]), lambda x: x[1] * x[2])) as score from v, q)"""
 
 
@@ -85,36 +94,33 @@ def _vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {_VECTOR} select query_id::int as query_id, chunk_pk, row_number() over (partition by query_id order by round(score, 9) desc, chunk_pk desc) as rank, "
-    "round(score, 6) as score from vs qualify rank <= 50"
+    f"with {_VECTOR} select query_id, chunk_pk, row_number() over (partition by query_id order by score desc, chunk_pk desc) as rank, "
+    "round(score, 6) as score from av qualify rank <= 50"
 )
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar vectors of each query; ties go to the larger chunk_pk."""
-    top = lexical.ranked(_vector_scores(spark, sf_dir), 50, F.desc("chunk_pk"))
+    """The most similar vectors of every vector whose id is divisible by 50; ties go to the larger chunk_pk."""
+    top = hybrid.exact_topk(_vectors(spark, sf_dir), _asked(spark, sf_dir), 50)
     return top.select("query_id", "chunk_pk", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
-    f"with {_VECTOR} select query_id::int as query_id, chunk_pk, row_number() over (partition by query_id order by round(score, 9) desc, chunk_pk desc) as rank "
-    "from vs where label in (1, 2, 3) qualify rank <= 10"
+    f"with {_VECTOR} select query_id, chunk_pk, row_number() over (partition by query_id order by score desc, chunk_pk desc) as rank "
+    "from av where label in (1, 2, 3) qualify rank <= 10"
 )
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar vectors among those with some labels; the filter comes before the ranking."""
     some = _vectors(spark, sf_dir).where("label in (1, 2, 3)")
-    scores = hybrid.vector_scores(some, _query_vectors(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return lexical.ranked(scores, 10, F.desc("chunk_pk")).select("query_id", "chunk_pk", "rank")
+    return hybrid.exact_topk(some, _asked(spark, sf_dir), 10).select("query_id", "chunk_pk", "rank")
 
 
 @query(
-    f"with {_VECTOR} select query_id::int as query_id, label, chunk_pk, row_number() over (partition by query_id, label order by round(score, 9) desc, chunk_pk desc) as rank "
-    "from vs qualify rank <= 3"
+    f"with {_VECTOR} select query_id, label, chunk_pk, row_number() over (partition by query_id, label order by score desc, chunk_pk desc) as rank "
+    "from av qualify rank <= 3"
 )
 def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar vectors of each label."""
-    v = _vectors(spark, sf_dir)
-    scored = _vector_scores(spark, sf_dir).join(v.select("chunk_pk", "label"), "chunk_pk")
-    order = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), F.desc("chunk_pk"))
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "label", "chunk_pk", "rank")
+    top = hybrid.exact_topk(_vectors(spark, sf_dir), _asked(spark, sf_dir), 3, "label")
+    return top.select("query_id", "label", "chunk_pk", "rank")
 
 
 _FUSED = f"""{views.BM25}, {_VECTOR},

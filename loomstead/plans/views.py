@@ -41,14 +41,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed(spark: SparkSession, sf_dir: str) -> collection.Collection:
     """The documents' chunks with their index, built when they are first searched and again when their files change."""
     of_document = docs(spark, sf_dir).select("doc_id", "source", "project", "ts")
-    state = table(spark, sf_dir, "documents")
+    return collection.built(chunks(spark, sf_dir).join(of_document, "doc_id"), sf_dir, generation(spark, sf_dir, "documents"))
+
+
+def generation(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """The files of a table with their sizes and times: what is built from it is built again when they change."""
+    state = table(spark, sf_dir, name)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found = []
     for name in state.inputFiles():
         path = jvm.org.apache.hadoop.fs.Path(name)
         status = path.getFileSystem(conf).getFileStatus(path)
         found.append((name, status.getLen(), status.getModificationTime()))
-    return collection.built(chunks(spark, sf_dir).join(of_document, "doc_id"), sf_dir, tuple(sorted(found)))
+    return tuple(sorted(found))
 
 
 def queries(spark: SparkSession) -> DataFrame:
