@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +87,23 @@ def canary_failures(expected: DataFrame, ranking: DataFrame) -> DataFrame:
         )
     )
     return joined.select("query_id", F.array_join(failures, ",").alias("failures"))
+
+
+def checked_suite(suite: dict) -> dict:
+    """A suite of canaries, if it has a version and 1 to 100 cases with different ids and a query each; else an error."""
+    cases = suite.get("cases") if isinstance(suite, dict) else None
+    if not isinstance(suite, dict) or not str(suite.get("version") or "").strip():
+        raise ValueError("a suite must be an object with a version")
+    if not isinstance(cases, list) or not 1 <= len(cases) <= 100:
+        raise ValueError("a suite has between 1 and 100 cases")
+    ids = [str(c.get("id") or "").strip() if isinstance(c, dict) else "" for c in cases]
+    if not all(ids) or len(set(ids)) < len(ids):
+        raise ValueError("cases have ids, each its own")
+    if missing := [i for i, c in zip(ids, cases) if not str(c.get("query") or "").strip()]:
+        raise ValueError(f"cases without a query: {missing}")
+    return suite
+
+
+def suite_hash(suite: dict) -> str:
+    """SHA-256 of the suite as canonical JSON."""
+    return hashlib.sha256(json.dumps(suite, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()

@@ -140,12 +140,41 @@ def fallback_variant(made: DataFrame, scores: DataFrame) -> DataFrame:
     return known.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "near")
 
 
-def passage(content: Column, words: Column, length: int) -> Column:
+def passage(content: Column, words: Column, length: int | Column) -> Column:
     """A window of the text a third before the first word found, with marks where it is cut."""
     places = F.filter(F.transform(words, lambda w: F.position(w, F.lower(content))), lambda p: p > 0)
-    start = F.greatest(F.lit(0), F.coalesce(F.array_min(places) - 1, F.lit(0)) - length // 3)
-    cut = F.substr(content, start + 1, F.lit(length))
+    length = (F.lit(length) if isinstance(length, int) else length).cast("int")
+    start = F.greatest(F.lit(0), F.coalesce(F.array_min(places) - 1, F.lit(0)) - F.floor(length / 3).cast("int"))
+    cut = F.substr(content, start + 1, length)
     marked = F.concat(
         F.when(start > 0, "…").otherwise(""), F.trim(cut), F.when(start + length < F.length(content), "…").otherwise("")
     )
     return F.when(F.length(content) <= length, content).otherwise(marked)
+
+
+def passages(made: DataFrame, chunks: DataFrame, words: DataFrame, budget: int = 700) -> DataFrame:
+    """Of each variant what a reranker reads: its chunks' passages, which share the budget, with a blank line between.
+
+    made: variants(); chunks: (chunk_pk, content); words: (query_id, words).
+    """
+    each = made.select("query_id", "document_id", "direction", F.size("chunk_pks").alias("n"), F.posexplode("chunk_pks").alias("i", "chunk_pk"))
+    # Variants of some twenty documents of each query.
+    known = chunks.select("chunk_pk", "content").join(F.broadcast(each), "chunk_pk").join(F.broadcast(words), "query_id")
+    share = F.greatest(F.lit(100), F.floor(F.lit(budget) / F.col("n")))
+    parts = known.withColumn("_p", passage(F.col("content"), F.col("words"), share))
+    joined = parts.groupBy("query_id", "document_id", "direction").agg(F.array_sort(F.collect_list(F.struct("i", "_p"))).alias("p"))
+    return joined.select("query_id", "document_id", "direction", F.array_join(F.transform("p", lambda x: x["_p"]), "\n\n").alias("passage"))
+
+
+def best_variant(scored: DataFrame) -> DataFrame:
+    """Of each document the variant with the best rerank_score; of equals what comes before the anchor, then what follows."""
+    place = F.when(F.col("direction") == "previous", 0).when(F.col("direction") == "next", 1).otherwise(2)
+    order = Window.partitionBy("query_id", "document_id").orderBy(F.desc_nulls_last("rerank_score"), place)
+    return scored.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def final_order(results: DataFrame, limit: int) -> DataFrame:
+    """Add `position`: by rerank_score where there is one, else by retrieval_score, then by that, then by document; the limit is 1 to 20."""
+    first = F.coalesce("rerank_score", "retrieval_score")
+    order = Window.partitionBy("query_id").orderBy(F.desc(first), F.desc("retrieval_score"), "document_id")
+    return results.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max(1, min(20, limit)))

@@ -90,3 +90,22 @@ def source_states(runs: DataFrame) -> DataFrame:
     failures = since.groupBy("source").agg(F.count("*").alias("failures"))
     status = F.when(F.coalesce("failures", F.lit(0)) > 0, "failed").when(F.col("last_success").isNull(), "never").otherwise("ok")
     return last.join(failures, "source", "left").select("*", status.alias("status")).withColumn("failures", F.coalesce("failures", F.lit(0)))
+
+
+def refreshed(incoming: DataFrame, stored: DataFrame, columns: list[str]) -> DataFrame:
+    """Unchanged documents with the columns of their latest delivery: only these are written, no chunk and no vector."""
+    return classify(incoming, stored).where("status = 'unchanged'").select(*KEY, *columns)
+
+
+def generation(number: int, changed: DataFrame, gone: DataFrame) -> DataFrame:
+    """One row (changed, deleted, generation, index): any changed or deleted document makes a next generation, of which the index is stale."""
+    one = changed.agg(F.count("*").alias("changed")).crossJoin(F.broadcast(gone.agg(F.count("*").alias("deleted"))))
+    moved = F.col("changed") + F.col("deleted") > 0
+    return one.select("changed", "deleted", (F.lit(number) + moved.cast("int")).alias("generation"), F.when(moved, "stale").otherwise("ready").alias("index"))
+
+
+def index_backends(vectors: DataFrame, benchmark_ms: Column, backend: str, least: int, slow_ms: float) -> DataFrame:
+    """(embedding_model, chunks, eligible, backend): an approximate index is for many vectors or a slow exact search, unless exact is asked for."""
+    counted = vectors.groupBy("embedding_model").agg(F.count("*").alias("chunks"))
+    eligible = ((F.col("chunks") >= least) | (benchmark_ms >= slow_ms)) & F.lit(backend != "exact")
+    return counted.select("embedding_model", "chunks", eligible.alias("eligible"), F.when(eligible, "ann").otherwise("exact").alias("backend"))

@@ -1,0 +1,199 @@
+"""Queries of the whole search result, of models, generations, indexes, cohorts and the canary suite."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstead.functions import redact
+from loomstead.functions.text import stable_id
+from loomstead.operators import evaluation, hybrid, store
+from loomstead.plans import dialogue_queries, retrieval_queries, store_queries, views
+from loomstead.plans.registry import query
+from loomstead.session import table, write_once
+from loomstead.settings import Settings
+
+SETTINGS = Settings()
+
+_WORDS = r"""asked_words as (select query_id, list(distinct w) as words from (select query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_''-]+')) as w from queries) group by 1)"""
+_PASSAGES = f"""{retrieval_queries._VARIANTS}, {_WORDS},
+ vrows as (select query_id, document_id, direction, len(chunk_pks) as n, unnest(chunk_pks) as chunk_pk, generate_subscripts(chunk_pks, 1) as i from variants),
+ spotted as (select r.*, content, greatest(100, 700 // n) as budget, list_min(list_filter(list_transform(words, lambda w: instr(lower(content), w)), lambda x: x > 0)) as p
+   from vrows r join chunks using (chunk_pk) join asked_words using (query_id)),
+ begun as (select *, greatest(0, coalesce(p - 1, 0) - budget // 3) as s from spotted),
+ pieces as (select *, case when length(content) <= budget then content else case when s > 0 then '…' else '' end || trim(substr(content, s + 1, budget), ' ') || case when s + budget < length(content) then '…' else '' end end as piece from begun),
+ passages as (select query_id, document_id, direction, string_agg(piece, chr(10) || chr(10) order by i) as passage from pieces group by 1, 2, 3)"""
+
+
+def _words(spark: SparkSession) -> DataFrame:
+    every = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0)))
+    return views.queries(spark).select("query_id", every.alias("words"))
+
+
+def _passages(spark: SparkSession, sf_dir: str, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    chunks = views.indexed(spark, sf_dir).chunks
+    made = retrieval_queries._variants(scored, chunks, SETTINGS.rerank_documents)
+    return made, hybrid.passages(made, chunks, _words(spark), SETTINGS.rerank_passage)
+
+
+@query(f"with {_PASSAGES} select query_id, document_id, direction, passage from passages")
+def variant_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reranker reads of each variant, within its budget."""
+    return _passages(spark, sf_dir, retrieval_queries._scored(spark, sf_dir))[1]
+
+
+_RERANKED = f"""{_PASSAGES},
+ rated as (select query_id, document_id, direction, round(len(list_filter(words, lambda w: contains(lower(passage), w)))::double / len(words), 6) as rerank_score from passages join asked_words using (query_id)),
+ best as (select * from rated qualify row_number() over (partition by query_id, document_id order by rerank_score desc, case direction when 'previous' then 0 when 'next' then 1 else 2 end) = 1)"""
+
+
+def _rated(passages: DataFrame, spark: SparkSession) -> DataFrame:
+    """The overlap reranker as an expression; other models stand behind models.reranked()."""
+    held = F.size(F.filter("words", lambda w: F.contains(F.lower("passage"), w)))
+    return passages.join(F.broadcast(_words(spark)), "query_id").withColumn("rerank_score", F.round(held / F.size("words"), 6)).drop("words")
+
+
+@query(f"with {_RERANKED} select query_id, document_id, direction, rerank_score from best")
+def reranked_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each candidate document the variant that answers best."""
+    _, passages = _passages(spark, sf_dir, retrieval_queries._scored(spark, sf_dir))
+    return hybrid.best_variant(_rated(passages, spark)).select("query_id", "document_id", "direction", "rerank_score")
+
+
+_TAINTED = f"case when regexp_matches({{}}, '{redact.INSTRUCTION}') then 'executable_instruction,untrusted_evidence' else 'untrusted_evidence' end"
+
+
+@query(
+    f"""with {_RERANKED}, final as (select a.*, b.direction, b.rerank_score, row_number() over (partition by a.query_id order by b.rerank_score desc, a.score desc, a.document_id) as final_position
+   from anchors a join best b using (query_id, document_id) qualify final_position <= 8),
+ context as (select f.query_id, f.document_id, string_agg('chk_' || substr(sha256(f.document_id || chr(0) || c.ordinal), 1, 32) || ':' || c.ordinal || case when c.chunk_pk = f.chunk_pk then ':anchor' else '' end, ',' order by c.ordinal) as context_chunks
+   from final f join variants v using (query_id, document_id, direction) join chunks c on list_contains(v.chunk_pks, c.chunk_pk) group by 1, 2)
+ select f.query_id, f.final_position as position, f.document_id, 'chk_' || substr(sha256(f.document_id || chr(0) || f.ordinal), 1, 32) as chunk_id, f.ordinal as chunk_ordinal, f.rerank_score as score, f.score as retrieval_score,
+   'rerank' as score_stage, l.rank as lexical_rank, v.rank as vector_rank, case when l.rank is not null and v.rank is not null then 'lexical,vector' when l.rank is not null then 'lexical' else 'vector' end as matched_via,
+   'loomstead://document/' || f.document_id || '#' || f.ordinal as citation, d.source, d.project, d.title, epoch_us(d.ts) as ts_us, x.context_chunks, {_TAINTED.format("c.content")} as taints,
+   'rcpt_' || substr(sha256(f.document_id || chr(0) || d.content_hash), 1, 32) as document_receipt
+ from final f join docs d using (document_id) join chunks c on c.chunk_pk = f.chunk_pk join context x on x.query_id = f.query_id and x.document_id = f.document_id
+ left join lexical l on l.query_id = f.query_id and l.chunk_pk = f.chunk_pk left join vector v on v.query_id = f.query_id and v.chunk_pk = f.chunk_pk"""
+)
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole result of a search with reranking: order, ranks of the channels, citation, context, taints and receipt."""
+    lex, vec = (write_once(c, "ranks") for c in retrieval_queries._channels(spark, sf_dir))
+    scored = retrieval_queries._scored(spark, sf_dir, (lex, vec))
+    made, passages = _passages(spark, sf_dir, scored)
+    best = hybrid.best_variant(_rated(passages, spark)).select("query_id", "document_id", "direction", "rerank_score")
+    anchors = hybrid.best_of_each_document(scored, SETTINGS.rerank_documents).withColumnRenamed("score", "retrieval_score").drop("position", "ts")
+    top = write_once(hybrid.final_order(anchors.join(best, ["query_id", "document_id"]), SETTINGS.result_limit), "final")
+    rows = views.indexed(spark, sf_dir).chunks
+    near = top.join(made.select("query_id", "document_id", "direction", F.explode("chunk_pks").alias("near_pk")), ["query_id", "document_id", "direction"])
+    # A result has at most two chunks, and a query at most twenty results.
+    near = rows.select(F.col("chunk_pk").alias("near_pk"), F.col("ordinal").alias("near_ordinal")).join(F.broadcast(near), "near_pk")
+    mark = F.concat_ws(":", stable_id("chk", F.col("document_id"), F.col("near_ordinal").cast("string")), F.col("near_ordinal").cast("string"), F.when(F.col("near_pk") == F.col("chunk_pk"), "anchor"))
+    context = near.groupBy("query_id", "document_id").agg(F.array_sort(F.collect_list(F.struct("near_ordinal", mark.alias("mark")))).alias("c"))
+    context = context.select("query_id", "document_id", F.array_join(F.transform("c", lambda x: x["mark"]), ",").alias("context_chunks"))
+    wide = rows.select("chunk_pk", "title", "content", "source", "project", "ts").join(F.broadcast(top), "chunk_pk")
+    hashes = views.docs(spark, sf_dir).select("document_id", "content_hash").join(F.broadcast(top.select("document_id").distinct()), "document_id")
+    shaped = (
+        wide.join(context, ["query_id", "document_id"])
+        .join(hashes, "document_id")
+        .join(lex.select("query_id", "chunk_pk", F.col("rank").alias("lexical_rank")), ["query_id", "chunk_pk"], "left")
+        .join(vec.select("query_id", "chunk_pk", F.col("rank").alias("vector_rank")), ["query_id", "chunk_pk"], "left")
+    )
+    via = F.concat_ws(",", F.when(F.col("lexical_rank").isNotNull(), "lexical"), F.when(F.col("vector_rank").isNotNull(), "vector"))
+    return shaped.select(
+        "query_id", "position", "document_id", stable_id("chk", F.col("document_id"), F.col("ordinal").cast("string")).alias("chunk_id"), F.col("ordinal").alias("chunk_ordinal"),
+        F.col("rerank_score").alias("score"), "retrieval_score", F.lit("rerank").alias("score_stage"), "lexical_rank", "vector_rank", via.alias("matched_via"),
+        F.concat(F.lit("loomstead://document/"), "document_id", F.lit("#"), F.col("ordinal").cast("string")).alias("citation"), "source", "project", "title",
+        F.unix_micros("ts").alias("ts_us"), "context_chunks", F.array_join(redact.taints(F.col("content")), ",").alias("taints"),
+        stable_id("rcpt", F.col("document_id"), F.col("content_hash")).alias("document_receipt"),
+    )
+
+
+@query(
+    f"with {store_queries._VERSIONS} select source, source_key, v.title, v.uri, v.project, epoch_us(i.ts) as ts_us from incoming i join stored s using (source, source_key) "
+    "join (select row_id, title, uri, project from versions) v using (row_id) where s.content_hash = i.content_hash"
+)
+def unchanged_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written of documents whose content stays: the data of their latest delivery."""
+    same = store.refreshed(store_queries.incoming(spark, sf_dir), store_queries.stored(spark, sf_dir), ["row_id", "ts"])
+    data = store_queries.versions(spark, sf_dir).select("row_id", "title", "uri", "project")
+    return same.join(data, "row_id").select("source", "source_key", "title", "uri", "project", F.unix_micros("ts").alias("ts_us"))
+
+
+@query(
+    f"{'with ' + store_queries._FLOORS}, c as (select count(*) as changed from incoming i left join stored s using (source, source_key) where s.content_hash is distinct from i.content_hash), d as (select count(*) as deleted from gone) "
+    "select changed, deleted, 7 + (changed + deleted > 0)::int as generation, case when changed + deleted > 0 then 'stale' else 'ready' end as index from c, d"
+)
+def next_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generation after this scan, counted from the seventh, and what becomes of the index."""
+    stored = store_queries.stored(spark, sf_dir)
+    changed = store.classify(store_queries.incoming(spark, sf_dir), stored).where("status <> 'unchanged'")
+    return store.generation(7, changed, store.unseen(stored, store_queries.seen(spark, sf_dir)))
+
+
+@query(
+    "select embedding_model, chunks, eligible, case when eligible then 'ann' else 'exact' end as backend from (select embedding_model, count(*) as chunks, "
+    "count(*) >= 1000 or (case when embedding_model like '%v1' then 800.0 else 20.0 end) >= 750 as eligible from chunk_vectors group by 1)"
+)
+def ann_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which models get an approximate index, by their vectors and the time an exact search took."""
+    took = F.when(F.col("embedding_model").endswith("v1"), 800.0).otherwise(20.0)
+    return store.index_backends(table(spark, sf_dir, "chunk_vectors"), took, SETTINGS.vector_backend, 1_000, SETTINGS.ann_latency_ms)
+
+
+@query(
+    f"with {store_queries._QUALIFIED}, cohort as (select document_id from qualified qualify row_number() over (partition by source order by sha256(document_id), document_id) <= 10) "
+    "select d.source, count(*) as documents, sum(length(d.\"text\"))::bigint as characters from docs d join cohort using (document_id) group by 1"
+)
+def cohort_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pilot's documents by source: only members of the cohort are looked at."""
+    members = store_queries.pilot_cohort(spark, sf_dir).select("document_id")
+    return views.docs(spark, sf_dir).join(members, "document_id", "left_semi").groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters"))
+
+
+@query(
+    """with u as (select file, count(*) as total, count(*) filter (payload is not null) as ready, count(*) filter (payload is null) as failed from codex_records group by 1)
+ select count(*) as sessions, count(*) filter (failed = 0) as whole, coalesce(sum(total - ready), 0)::bigint as gap, coalesce(sum(failed), 0)::bigint as failed,
+   greatest(greatest(0, coalesce(sum(total - ready), 0) - 5) + coalesce(sum(failed), 0), coalesce(sum(total - ready) filter (ready > 0), 0))::bigint as units_pending from u"""
+)
+def distillation_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that are ready, failed and pending over all sessions; five are taken to be blocked."""
+    u = table(spark, sf_dir, "codex_records").groupBy("file").agg(
+        F.count("*").alias("total"), F.count_if(F.col("payload").isNotNull()).alias("ready"), F.count_if(F.col("payload").isNull()).alias("failed")
+    )
+    gap = F.coalesce(F.sum(F.col("total") - F.col("ready")), F.lit(0))
+    failed = F.coalesce(F.sum("failed"), F.lit(0))
+    open_gap = F.coalesce(F.sum(F.when(F.col("ready") > 0, F.col("total") - F.col("ready"))), F.lit(0))
+    return u.agg(
+        F.count("*").alias("sessions"), F.count_if(F.col("failed") == 0).alias("whole"), gap.alias("gap"), failed.alias("failed"),
+        F.greatest(F.greatest(F.lit(0), gap - 5) + failed, open_gap).alias("units_pending"),
+    )
+
+
+#: A suite of canaries: expectations that were written down, not taken from the ranking.
+SUITE = {
+    "version": "1",
+    "cases": [
+        {"id": "lease", "query_id": 1, "query": "the stale lease and the ranking floor", "phrase": "stale lease"},
+        {"id": "footer", "query_id": 2, "query": "re-embedded shared footer", "phrase": "shared footer"},
+        {"id": "runner", "query_id": 3, "query": "migration runner timed out on citations", "phrase": "migration runner"},
+    ],
+}
+_CASE_ROWS = ", ".join("('{id}', {query_id}, '{phrase}')".format(**c) for c in SUITE["cases"])
+
+
+@query(
+    f"""with {dialogue_queries._RANKING}, cases(id, query_id, phrase) as (values {_CASE_ROWS}),
+ good as (select c.id, r.position from cases c join ranking r using (query_id) join docs d using (document_id) where contains(lower(d."text"), phrase)),
+ run as (select id, min(position) as fst from cases left join good using (id) group by 1)
+ select count(*) as cases, count(*) filter (fst <= 3) as passed, bool_and(coalesce(fst <= 3, false)) as gate_passed, '{evaluation.suite_hash(SUITE)}' as suite from run"""
+)
+def canary_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suite's gate: each query must find a document with its phrase among the first three."""
+    suite = evaluation.checked_suite(SUITE)
+    cases = spark.createDataFrame([(c["id"], c["query_id"], c["phrase"]) for c in suite["cases"]], "id string, query_id int, phrase string")
+    texts = views.docs(spark, sf_dir).select("document_id", F.lower("text").alias("text"))
+    ranked = dialogue_queries._ranking(spark, sf_dir).join(F.broadcast(cases), "query_id")
+    good = texts.join(F.broadcast(ranked), "document_id").where(F.contains("text", F.col("phrase")))
+    run = cases.join(good.groupBy("id").agg(F.min("position").alias("first")), "id", "left")
+    fine = F.coalesce(F.col("first") <= 3, F.lit(False))
+    return run.agg(F.count("*").alias("cases"), F.count_if(fine).alias("passed"), F.bool_and(fine).alias("gate_passed")).withColumn("suite", F.lit(evaluation.suite_hash(suite)))
