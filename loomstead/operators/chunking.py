@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import takewhile
+from itertools import accumulate, groupby, takewhile
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,12 +42,10 @@ def words_within(text: str, size: int) -> Iterator[str]:
 
 def closing_words(text: str, size: int) -> str:
     """The whole words among the last characters of a text."""
-    if size <= 0:
-        return ""
-    end = text[-size:]
-    if len(text) > size and " " in end:
-        end = end.partition(" ")[2]
-    return end.strip()
+    start = max(0, len(text) - max(0, size))
+    if start:
+        start = text.find(" ", start) + 1 or start
+    return text[start:].strip() if size > 0 else ""
 
 
 def pack(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
@@ -136,18 +136,29 @@ class Block:
     end: int
 
 
+def shared_end(text: str, part: str) -> int:
+    """How many characters the longest end of a text is long that a part begins with; fewer than LEAST_SHARED count as none."""
+    seed = part[:LEAST_SHARED]
+    at = text.find(seed, max(0, len(text) - min(len(part), MOST_SHARED))) if len(seed) == LEAST_SHARED else -1
+    while at >= 0 and not part.startswith(text[at:]):
+        at = text.find(seed, at + 1)
+    return len(text) - at if at >= 0 else 0
+
+
 def joined(parts: Sequence[str]) -> tuple[str, list[tuple[int, int]]]:
     """A text of its overlapping chunks, and where each lies in it: the longest shared end and beginning is one."""
-    whole, places = "", []
+    pieces: list[str] = []
+    places: list[tuple[int, int]] = []
+    size, end = 0, ""
     for part in parts:
-        longest = min(len(whole), len(part), MOST_SHARED)
-        shared = next((n for n in range(longest, LEAST_SHARED - 1, -1) if whole.endswith(part[:n])), 0)
-        if whole and not shared:
-            whole += "\n\n"
-        begin = len(whole) - shared
-        whole += part[shared:]
-        places.append((begin, begin + len(part)))
-    return whole, places
+        shared = shared_end(end, part)
+        added = part[shared:] if shared or not size else "\n\n" + part
+        pieces.append(added)
+        size += len(added)
+        places.append((size - len(part), size))
+        # No more of the end can be shared with what comes.
+        end = (end + added)[-MOST_SHARED:]
+    return "".join(pieces), places
 
 
 def _time(text: str) -> dt.datetime:
@@ -177,25 +188,35 @@ def blocks(text: str, most: int = UNIT_CHARS) -> Iterator[Block]:
                 yield Block(role, at, header + part, head.start(), end)
 
 
+def _numbers(of: Sequence[Block], most: int) -> list[int]:
+    """The unit of each block: a pause, the number of messages or the length begins the next."""
+
+    def step(state: tuple, b: Block) -> tuple:
+        number, held, chars, at = state
+        full = held >= UNIT_MESSAGES or chars + 2 + len(b.raw) > most
+        if at is None or full or b.at - at > UNIT_GAP:
+            return number + 1, 1, len(b.raw), b.at
+        return number, held + 1, chars + 2 + len(b.raw), b.at
+
+    return [s[0] for s in accumulate(of, step, initial=(-1, 0, 0, None))][1:]
+
+
 def units(text: str, places: Sequence[tuple[int, int]] = (), most: int = UNIT_CHARS) -> list[tuple[str, str, int, int]]:
-    """Units of a dialogue (text, hash, first and last chunk): closed by a pause, by messages or by length."""
-    groups: list[list[Block]] = []
-    size = 0
-    for b in blocks(text, most):
-        now = groups[-1] if groups else None
-        if now is None or b.at - now[-1].at > UNIT_GAP or len(now) >= UNIT_MESSAGES or size + len(b.raw) + 2 > most:
-            groups.append([b])
-            size = len(b.raw)
-        else:
-            now.append(b)
-            size += len(b.raw) + 2
+    """Units of a dialogue (text, hash, first and last chunk): closed by a pause, by messages or by length.
+
+    A unit's chunks are those that it overlaps; where none does, the one that begins nearest.
+    """
+    found = list(blocks(text, most))
+    begins, ends = [b for b, _ in places], list(accumulate((e for _, e in places), max))
     out = []
-    for g in groups:
-        said = "\n\n".join(b.raw for b in g).strip()
-        touched = [n for n, (b, e) in enumerate(places) if e > g[0].start and b < g[-1].end]
-        if not touched:
-            touched = [min(range(len(places)), key=lambda n: abs(places[n][0] - g[0].start))] if places else [0]
-        out.append((said, hashlib.sha256(said.encode()).hexdigest(), touched[0], touched[-1]))
+    for _, group in groupby(zip(_numbers(found, most), found), key=itemgetter(0)):
+        own = [b for _, b in group]
+        said = "\n\n".join(b.raw for b in own).strip()
+        first, last = bisect_right(ends, own[0].start), bisect_left(begins, own[-1].end) - 1
+        if first > last:
+            near = min(range(len(places)), key=lambda n: abs(begins[n] - own[0].start), default=0)
+            first, last = near, near
+        out.append((said, hashlib.sha256(said.encode()).hexdigest(), first, last))
     return out
 
 

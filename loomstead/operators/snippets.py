@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,15 +25,19 @@ def snippet(text: str, words: Sequence[str], length: int = LENGTH) -> str:
     if not hits:
         return text[:length].strip() + "…"
 
-    def windows() -> Iterator[tuple[int, int, int, int]]:
-        stop = 0
-        for n, (begin, _, _) in enumerate(hits):
-            while stop < len(hits) and hits[stop][0] < begin + length:
-                stop += 1
-            end = hits[stop - 1][0] + len(hits[stop - 1][2])
-            yield -len({h[2] for h in hits[n:stop]}), end - begin, n, (begin + end) // 2
-
-    middle = min(windows())[3]
+    # A window of hits slides over the text; how often each word is in it, is kept.
+    inside: Counter[str] = Counter()
+    best, middle, stop = (0, 0), 0, 0
+    for begin, _, word in hits:
+        while stop < len(hits) and hits[stop][0] < begin + length:
+            inside[hits[stop][2]] += 1
+            stop += 1
+        end = hits[stop - 1][1]
+        if (len(inside), begin - end) > best or not middle:
+            best, middle = (len(inside), begin - end), (begin + end) // 2
+        inside[word] -= 1
+        if not inside[word]:
+            del inside[word]
     start = min(max(0, middle - length // 2), len(text) - length)
     cut = text[start : start + length].strip()
     return ("…" if start else "") + cut + ("…" if start + length < len(text) else "")
