@@ -16,6 +16,8 @@ from loomstead.operators.headings import sections
 
 #: Boundaries from the strongest on; each match ends where a cut may be.
 BOUNDARIES = [re.compile(p) for p in (r"\n[ \t]*\n\s*", r"\n\s*", r"[.!?…][\"')\]»”’]*\s+|[。！？][」』”’]*", r"[;:,、，；：]\s*", r"\s+")]
+#: Up to this rank a boundary ends a sentence at least.
+_SENTENCE = 2
 
 
 def _steady(text: str, at: int) -> int:
@@ -27,37 +29,41 @@ def _steady(text: str, at: int) -> int:
     return at
 
 
-def _snap(text: str, target: int, reach: int) -> int:
-    """The strongest boundary within reach of the target, of equal ones the nearest; else the target itself."""
-    low, high = target - reach, target + reach
-    for pattern in BOUNDARIES:
+def _snap(text: str, target: int, low: int, high: int) -> tuple[int, int]:
+    """The strongest boundary from low to high, of equal ones the nearest to the target, and its rank; else the target."""
+    for rank, pattern in enumerate(BOUNDARIES):
         ends = [m.end() for m in pattern.finditer(text, max(0, low - 1), min(len(text), high)) if low <= m.end() <= high]
         if ends:
-            return min(ends, key=lambda e: (abs(e - target), e))
-    return _steady(text, target)
+            return min(ends, key=lambda e: (abs(e - target), e)), rank
+    return max(low, _steady(text, target)), len(BOUNDARIES)
 
 
 def balanced_cuts(text: str, limit: int, overlap: int) -> list[int]:
     """Ends of the pieces of a text: as few as fit, of nearly equal length, each end at a boundary.
 
-    A piece is the text from `overlap` before the end of the piece before up to its own end. If snapping to
-    boundaries makes any piece too long, or doesn't move on, there are more pieces with nearer targets.
+    A piece is the text from `overlap` before the end of the piece before up to its own end. Each target divides what
+    is left evenly into the least number of pieces; it is snapped to where its piece and all that follow still keep to
+    the limit. Where that leaves only a place within a sentence, one more piece is allowed for if that gives a better.
     """
-    n = len(text)
-    if n <= limit:
-        return [n]
-    count = -(-(n - overlap) // (limit - overlap))
-    reach = max(1, (limit - overlap) // 6)
-    while True:
-        step = (n - overlap) / count
-        own = min(reach, max(0, int(step / 2) - 1))
-        cuts = [_snap(text, int(overlap + step * k), own) for k in range(1, count)] + [n]
-        begins = [0] + [c - overlap for c in cuts[:-1]]
-        if all(0 < e - b <= limit for b, e in zip(begins, cuts)) and all(a < b for a, b in zip(cuts, cuts[1:])):
-            return cuts
-        if step < 2:
-            return [*range(limit, n, limit - overlap), n]
-        count = max(count + 1, count + count // 50)
+    n, room = len(text), limit - overlap
+    reach = max(1, room // 6)
+    cuts: list[int] = []
+    begin = 0
+    while n - begin > limit:
+        least = -(-(n - begin - overlap) // room)
+        best, at = len(BOUNDARIES) + 1, 0
+        for count in (least, least + 1):
+            target = begin + overlap + (n - begin - overlap) // count
+            low = max(target - reach, n - (count - 1) * room, begin + overlap + 1)
+            high = min(target + reach, begin + limit)
+            found, rank = _snap(text, min(max(target, low), high), low, high)
+            if rank < best:
+                best, at = rank, found
+            if best <= _SENTENCE:
+                break
+        cuts.append(at)
+        begin = at - overlap
+    return [*cuts, n]
 
 
 def pieces(text: str, markdown: bool, limit: int, overlap: int) -> Iterator[tuple[str, str]]:
