@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm import wrappers
-from loomstead.session import rows_known_below, spread
+from loomstead.session import small, spread
 
 FAMILIES = ("html", "markdown", "wiki", "latex")
 #: Elements of HTML.
@@ -217,6 +217,7 @@ def clean(text: str | None, found: list[str] | None = None) -> str | None:
     if "html" in found:
         text = replaced(text, COMMENT, lambda *_: "")
         text = replaced(text, wrappers.HIDDEN, lambda *_: "")
+        text = re.sub(r"<![A-Za-z][^<>]*>", "", text)
         text = wrappers.html_to_text(text, ELEMENTS, TAG)
         text = ENTITY.sub(lambda m: html.unescape(m[0]).replace("\xa0", " "), text)
     if "wiki" in found:
@@ -251,9 +252,8 @@ def clean_markup(df: DataFrame, text: str = "text", host: str = "host") -> DataF
     """
     keep = [c for c in df.columns if c not in (text, host, "families", "clean")]
     templates = wrappers.templates(df, text, host).withColumnRenamed("template", "_template")
-    few = rows_known_below(templates, 10_000)
     joined = spread(df.select(*(f"`{c}`" for c in keep), F.col(text).alias("_text"), F.col(host).alias("_host"))).join(
-        F.broadcast(templates) if few else templates, "_host", "left"
+        small(templates), "_host", "left"
     )
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", families array<string>, clean string"
 

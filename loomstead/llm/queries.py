@@ -152,3 +152,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without markup."""
     return cleaned_texts(spark, sf_dir).select("tbl", "row_id", "clean")
+
+
+@_query
+def p6_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of all documents, one host for each source: what the pages of a host repeat goes, what varies stays."""
+    from pyspark.sql import functions as F
+
+    from loomstead.llm.markup import clean_markup
+
+    page = F.concat(
+        F.lit('<!doctype html><html><head><title>Site</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/about">About us</a></li></ul></nav><main><h1>Note '),
+        F.col("doc_id").cast("string"), F.lit("</h1><p>Written in <b>"), F.coalesce("project", F.lit("no project")), F.lit("</b> with "), F.coalesce(F.col("n_chars").cast("string"), F.lit("no")),
+        F.lit(" characters as number "), F.col("doc_id").cast("string"), F.lit(".</p></main><footer>All rights reserved by "), F.col("source"), F.lit("</footer></body></html>"),
+    )
+    docs = table(spark, sf_dir, "documents").where("source is not null and doc_id is not null")
+    return clean_markup(docs.select("doc_id", page.alias("text"), F.col("source").alias("host"))).select("doc_id", "clean")
+
+
+ORACLE["p6_template"] = (
+    "select doc_id, '# Note ' || doc_id || chr(10) || chr(10) || ' ' || coalesce(project, 'no project') || ' with ' || coalesce(n_chars::varchar, 'no') || ' characters as number ' || doc_id || '.' as clean "
+    "from documents where source is not null and doc_id is not null"
+)
