@@ -191,7 +191,7 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     codex = table(spark, sf_dir, "codex_records").where("payload is not null").select(F.lit("codex").alias("source"), "row_id", F.coalesce(shown, F.lit("")).alias("shown"))
     content = F.col("params.update.content")
-    parsed = F.try_parse_json(content)
+    parsed = F.when(F.ltrim(content).startswith("{"), jsonl.strict_json(content))
     said = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), jsonl.visible_text(parsed)).otherwise(F.coalesce(content, F.lit("")))
     grok = table(spark, sf_dir, "grok_records").where("params.update is not null").select(F.lit("grok").alias("source"), "row_id", said.alias("shown"))
     hermes = table(spark, sf_dir, "hermes_messages").select(F.lit("hermes").alias("source"), "row_id", F.coalesce("content", F.lit("")).alias("shown"))

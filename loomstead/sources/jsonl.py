@@ -27,11 +27,18 @@ def read_lines(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl")
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(there)
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     lines = lines.select(_decoded(F.col("_metadata.file_path")).alias("file"), at.alias("at"), F.col("value").alias("raw")).where(~is_blank(F.col("raw")))
-    parsed = F.try_parse_json("raw")
+    parsed = strict_json(F.col("raw"))
     lines = lines.withColumn("record", F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed))
     return lines.withColumn("malformed", F.col("record").isNull())
 
 
+def strict_json(raw: Column) -> Column:
+    """A text as VARIANT if all of it is one JSON value, else null; the parser alone stops after the first value."""
+    listed, named = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
+    one = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    return F.when(one & named.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def _decoded(path: Column) -> Column:
     """A path without percent signs; unlike in forms, a plus is itself."""
     return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)

@@ -107,9 +107,9 @@ def test_session_files(spark, tmp_path):
         {"type": "user", "isSidechain": True, "timestamp": "2026-07-01T00:01:00Z", "message": {"role": "user", "content": "side"}},
         {"id": "h", "messages": [{"role": "user", "content": "q", "timestamp": "2026-07-01T00:00:00Z"}, {"role": "tool", "content": "t", "timestamp": "2026-07-01T00:00:00Z"}, {"role": "assistant", "content": "undated"}]},
     ]
-    (folder / "a.jsonl").write_text("\n".join([*(json.dumps(x) for x in lines), "{broken", "", "[1]"]))
+    (folder / "a.jsonl").write_text("\n".join([*(json.dumps(x) for x in lines), "{broken", "", "[1]", '{"a": 1} x', '{"a": 1}] x', '{"a": 1}} x', '{"a": 1}, {"b": 2}']))
     read = jsonl.read_lines(spark, [str(tmp_path / "x"), str(tmp_path / "missing")])
-    assert [(r.scanned, r.malformed) for r in jsonl.scan_summary(read).collect()] == [(6, 2)]
+    assert [(r.scanned, r.malformed) for r in jsonl.scan_summary(read).collect()] == [(10, 6)]
     assert [(r.role, r.text) for r in jsonl.agent_messages(read).orderBy("ts").collect()] == [("user", "password:[REDACTED]"), ("assistant", "hi")]
     assert [(r.session, r.role, r.text) for r in jsonl.exported_messages(read).collect()] == [("h", "user", "q")]
     with pytest.raises(FileNotFoundError):
