@@ -55,7 +55,8 @@ def _spoken(blocks: Column) -> Column:
 def grok_text(content: Column) -> Column:
     """The text of a chunk: plain, or the text of a JSON object of type text."""
     parsed = F.from_json(content, "type string, text string")
-    is_object = F.ltrim(content).startswith("{") & parsed["type"].isNotNull()
+    # The parser stops after an object; with more text behind it the content is plain.
+    is_object = F.ltrim(content).startswith("{") & F.rtrim(content).endswith("}") & parsed["type"].isNotNull()
     return F.when(is_object, F.coalesce(parsed["text"], F.lit(""))).otherwise(content)
 
 
