@@ -178,3 +178,13 @@ def final_order(results: DataFrame, limit: int) -> DataFrame:
     first = F.coalesce("rerank_score", "retrieval_score")
     order = Window.partitionBy("query_id").orderBy(F.desc(first), F.desc("retrieval_score"), "document_id")
     return results.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max(1, min(20, limit)))
+
+
+def filters(sources: list[str] | None = None, project: str | None = None, since: Column | None = None) -> Column:
+    """Whether a row is of one of the sources (regardless of case and outer blanks), of the project, and not older; none is no filter."""
+    out = F.lit(True)
+    if sources:
+        out = out & F.col("source").isin(*(s.strip().casefold() for s in sources))
+    if project is not None:
+        out = out & (F.col("project") == project)
+    return out & (F.col("ts") >= since) if since is not None else out

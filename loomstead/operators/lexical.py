@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # BM25's constants, the weights of the fields, the least weight of a term, and the most terms of a query.
 K1, B, TITLE_WEIGHT, CONTENT_WEIGHT, LEAST_IDF, MOST_TERMS = 1.2, 0.75, 2.0, 1.0, 1e-6, 24
-# Accented letters and their plain forms.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñý"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucny"
+# Letters that are another letter with marks, by their canonical decomposition, and that letter; the marks themselves have none and go.
+_MARKS = [chr(c) for c in range(0x300, 0x370)]
+_MARKED = {chr(c): d[0] for c in range(0xC0, 0x2000) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and chr(c).islower() and all(m in _MARKS for m in d[1:])}
+ACCENTED, PLAIN = "".join([*_MARKED, *_MARKS]), "".join(_MARKED.values())
 # Words that carry no meaning for a query.
 STOPWORDS = (
     "a about after all also am an and any are as at be because been before being but by can cannot could did do does doing done down "

@@ -109,3 +109,23 @@ def index_backends(vectors: DataFrame, benchmark_ms: Column, backend: str, least
     counted = vectors.groupBy("embedding_model").agg(F.count("*").alias("chunks"))
     eligible = ((F.col("chunks") >= least) | (benchmark_ms >= slow_ms)) & F.lit(backend != "exact")
     return counted.select("embedding_model", "chunks", eligible.alias("eligible"), F.when(eligible, "ann").otherwise("exact").alias("backend"))
+
+
+def embedding_plan(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """What is done for each text to embed: (input_hash, model, dims, first, uses, origin).
+
+    wanted: (chunk_pk, input_hash, model, dims); cache: (input_hash, model, dims) of vectors there are. A text is taken
+    from the cache, else embedded once, for its first chunk; a vector of another model or length doesn't serve.
+    """
+    key = ["input_hash", "model", "dims"]
+    texts = wanted.groupBy(*key).agg(F.min("chunk_pk").alias("first"), F.count("*").alias("uses"))
+    held = cache.select(*key, F.lit("cache").alias("origin")).distinct()
+    return texts.join(held, key, "left").withColumn("origin", F.coalesce("origin", F.lit("embed")))
+
+
+def missing_receipts(artifacts: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Artifacts (artifact_type, artifact_id) without an active receipt, with the id that theirs gets."""
+    active = receipts.where("superseded_at is null").select("artifact_type", "artifact_id")
+    gone = artifacts.join(active, ["artifact_type", "artifact_id"], "left_anti")
+    fields = [F.col(c) for c in ("artifact_type", "artifact_id", "content_hash", "producer", "producer_version")]
+    return gone.withColumn("receipt_id", stable_id("rcpt", *fields))

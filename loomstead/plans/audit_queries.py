@@ -19,13 +19,13 @@ _WS = "'" + WHITE_SPACE + "'"
 
 
 @query(
-    "select row_id, coalesce(array_to_string(list_sort(list_transform(map_entries(metadata), lambda e: e.key || '=' || regexp_replace(e.value, "
-    "'\\bsk-(?:proj-|live-)?[A-Za-z0-9_-]{16,}\\b', '[REDACTED]', 'g'))), ';'), '') as metadata from ingest_documents"
+    f"select row_id, coalesce(array_to_string(list_sort(list_transform(map_entries(metadata), lambda e: {store_queries.sql_redacted('e.key')} || '=' || coalesce({store_queries.sql_redacted('e.value')}, ''))), ';'), '') as metadata from ingest_documents"
 )
 def redact_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of each delivery without secrets, as sorted pairs."""
-    clean = F.transform_values("metadata", lambda k, v: redact.redact(v))
-    pairs = F.array_sort(F.transform(F.map_entries(clean), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    # Keys that are alike without their secrets stay two, which a map couldn't hold.
+    clean = lambda e: F.concat(redact.redact(e["key"]), F.lit("="), F.coalesce(redact.redact(e["value"]), F.lit("")))
+    pairs = F.array_sort(F.transform(F.map_entries("metadata"), clean))
     return table(spark, sf_dir, "ingest_documents").select("row_id", F.coalesce(F.array_join(pairs, ";"), F.lit("")).alias("metadata"))
 
 

@@ -197,3 +197,74 @@ def canary_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = cases.join(good.groupBy("id").agg(F.min("position").alias("first")), "id", "left")
     fine = F.coalesce(F.col("first") <= 3, F.lit(False))
     return run.agg(F.count("*").alias("cases"), F.count_if(fine).alias("passed"), F.bool_and(fine).alias("gate_passed")).withColumn("suite", F.lit(evaluation.suite_hash(suite)))
+
+
+@query(
+    f"""with {views.CHUNKS}, w as (select chunk_pk, sha256(c.title || chr(10) || chr(10) || content) as input_hash, case when doc_id % 4 = 0 then 'b' else 'a' end as model, 64 as dims from chunks c),
+ cache as (select distinct input_hash, model, dims from w where (chunk_pk // 1073741824) % 3 = 0)
+ select input_hash, model, dims, min(chunk_pk) as "first", count(*) as uses, case when c.input_hash is null then 'embed' else 'cache' end as origin from w left join cache c using (input_hash, model, dims) group by all"""
+)
+def embedding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts are embedded and which vectors are taken over, where a third of the documents has been embedded before."""
+    c = views.chunks(spark, sf_dir)
+    wanted = c.select(
+        "chunk_pk", F.sha2(F.concat("title", F.lit("\n\n"), "content"), 256).alias("input_hash"), F.when(F.col("doc_id") % 4 == 0, "b").otherwise("a").alias("model"), F.lit(64).alias("dims"), "doc_id"
+    )
+    return store.embedding_plan(wanted, wanted.where("doc_id % 3 = 0"))
+
+
+@query(
+    """with a as (select 'document' as artifact_type, document_id as artifact_id, content_hash from stored_documents union all
+   select distinct 'chunk', document_id || ':' || ordinal, '' from chunk_vectors where document_id is not null and ordinal is not null),
+ r as (select 'document' as artifact_type, document_id as artifact_id from stored_documents where run_id % 2 = 0)
+ select artifact_type, artifact_id, 'rcpt_' || substr(sha256(artifact_type || chr(0) || artifact_id || chr(0) || content_hash || chr(0) || 'backfill' || chr(0) || '1'), 1, 32) as receipt_id
+ from a where (artifact_type, artifact_id) not in (select (artifact_type, artifact_id) from r) and content_hash is not null"""
+)
+def backfill_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts that documents and chunks lack, where those of even runs are superseded or missing."""
+    d = table(spark, sf_dir, "stored_documents")
+    documents = d.where("content_hash is not null").select(F.lit("document").alias("artifact_type"), F.col("document_id").alias("artifact_id"), "content_hash")
+    places = table(spark, sf_dir, "chunk_vectors").where("document_id is not null and ordinal is not null").select("document_id", "ordinal").distinct()
+    chunks = places.select(F.lit("chunk").alias("artifact_type"), F.concat_ws(":", "document_id", F.col("ordinal").cast("string")).alias("artifact_id"), F.lit("").alias("content_hash"))
+    ended = F.when(F.coalesce(F.col("run_id") % 2 != 0, F.lit(True)), F.current_timestamp())
+    held = d.select(F.lit("document").alias("artifact_type"), F.col("document_id").alias("artifact_id"), ended.alias("superseded_at"))
+    every = documents.unionByName(chunks).withColumns({"producer": F.lit("backfill"), "producer_version": F.lit("1")})
+    return store.missing_receipts(every, held).select("artifact_type", "artifact_id", "receipt_id")
+
+
+@query(
+    f"""with {views.DOCS} select document_id, 'dst_' || substr(sha256(document_id || chr(0) || content_hash || chr(0) || 'extractive' || chr(0) || 'v1'), 1, 32) as distillation_id,
+ 'rcpt_' || substr(sha256('document' || chr(0) || document_id || chr(0) || content_hash || chr(0) || 'ingest:' || source || chr(0) || '1'), 1, 32) as receipt_id from docs"""
+)
+def artifact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document's summary and receipt, from all that they depend on."""
+    d = F.col("document_id")
+    return views.docs(spark, sf_dir).select(
+        "document_id", stable_id("dst", d, F.col("content_hash"), F.lit("extractive"), F.lit("v1")).alias("distillation_id"),
+        stable_id("rcpt", F.lit("document"), d, F.col("content_hash"), F.concat(F.lit("ingest:"), "source"), F.lit("1")).alias("receipt_id"),
+    )
+
+
+@query(
+    """with v as (select embedding_model, embedding, embedding_dimensions, ordinal, document_id, chunk_pk, list_sum(list_transform(embedding, lambda x: x::double * x::double)) as size,
+   len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) as bad from chunk_vectors),
+ p as (select document_id, embedding_model, max(ordinal) - min(ordinal) + 1 - count(distinct ordinal) as gap from v where document_id is not null group by 1, 2),
+ g as (select embedding_model, count(*) filter (gap > 0) as documents_with_gaps from p group by 1)
+ select embedding_model, count(*) filter (embedding is not null and len(embedding) = 0) as empty, count(*) filter (bad > 0) as not_finite, count(*) filter (bad = 0 and size = 0) as zero,
+   count(*) filter (bad = 0 and size > 0 and abs(sqrt(size) - 1) > 0.01) as not_unit, count(*) filter (ordinal is null) as no_ordinal, count(*) filter (document_id is null) as no_document,
+   count(*) - count(distinct chunk_pk) as repeated_keys, any_value(documents_with_gaps) as documents_with_gaps from v left join g using (embedding_model) group by 1"""
+)
+def vector_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More rules that vectors may break: empty, not finite, zero or not of unit length, without a place, keys twice, gaps in a document."""
+    v = table(spark, sf_dir, "chunk_vectors")
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    size = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    v = v.withColumn("_bad", bad).withColumn("_size", F.when(~bad, size))
+    places = v.where("document_id is not null").groupBy("document_id", "embedding_model").agg((F.max("ordinal") - F.min("ordinal") + 1 - F.countDistinct("ordinal")).alias("gap"))
+    gaps = places.groupBy("embedding_model").agg(F.count_if(F.col("gap") > 0).alias("documents_with_gaps"))
+    counted = v.groupBy("embedding_model").agg(
+        F.count_if(F.size("embedding") == 0).alias("empty"), F.count_if("_bad").alias("not_finite"), F.count_if((F.col("_size") == 0) & (F.size("embedding") > 0)).alias("zero"),
+        F.count_if((F.col("_size") > 0) & (F.abs(F.sqrt("_size") - 1) > 0.01)).alias("not_unit"), F.count_if(F.col("ordinal").isNull()).alias("no_ordinal"),
+        F.count_if(F.col("document_id").isNull()).alias("no_document"), (F.count("*") - F.countDistinct("chunk_pk")).alias("repeated_keys"),
+    )
+    return counted.join(gaps, "embedding_model", "left")

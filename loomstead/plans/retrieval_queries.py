@@ -242,12 +242,39 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"with {views.CHUNKS} select document_id, ordinal, content from chunks where document_id = (select min(document_id) from docs) order by ordinal limit 3 offset 1")
+def page(chunks: DataFrame, document_id: str, offset: int, limit: int) -> DataFrame:
+    """A page of one document's chunks with `next_offset`, null on the last; the limit is 1 to 50, the offset not below 0."""
+    offset, limit = max(0, offset), max(1, min(50, limit))
+    own = chunks.where(F.col("document_id") == document_id)
+    rows = own.orderBy("ordinal").offset(offset).limit(limit + 1).withColumn("_at", F.row_number().over(Window.partitionBy("document_id").orderBy("ordinal")))
+    more = F.max("_at").over(Window.partitionBy("document_id")) > limit
+    return rows.withColumn("next_offset", F.when(more, offset + limit)).where(F.col("_at") <= limit).drop("_at")
+
+
+@query(
+    f"with {views.CHUNKS}, wide as (select document_id, count(*) as n from chunks group by 1 order by n desc, document_id limit 1), own as (select c.*, n, row_number() over (order by ordinal) as nth from chunks c join wide using (document_id)) "
+    "select document_id, ordinal, content, case when n > 4 then 4 end as next_offset from own where nth between 2 and 4"
+)
 def page_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of one document's chunks."""
-    first = views.docs(spark, sf_dir).agg(F.min("document_id").alias("document_id"))
-    own = views.chunks(spark, sf_dir).join(F.broadcast(first), "document_id", "left_semi")
-    return own.orderBy("ordinal").offset(1).limit(3).select("document_id", "ordinal", "content")
+    """The second to fourth chunk of the document with most, and where to go on."""
+    kept = views.indexed(spark, sf_dir).chunks
+    first = kept.groupBy("document_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "document_id").limit(1).collect()
+    return page(kept, first[0].document_id if first else "", 1, 3).select("document_id", "ordinal", "content", "next_offset")
+
+
+_SINCE = "2026-06-01 00:00:00"
+
+
+@query(
+    f"with {views.BM25}, kept as (select chunk_pk from chunks join (select document_id, source, project, ts from docs) using (document_id) where source in ('codex', 'claude') and project is not null and ts >= timestamptz '{_SINCE}+00') "
+    "select query_id, chunk_pk, row_number() over (partition by query_id order by round(score, 9) desc, chunk_pk) as rank from scores join kept using (chunk_pk) qualify rank <= 10"
+)
+def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks of two sources, of a project, since a time; filters come before the ranking, weights are those of all."""
+    built = views.indexed(spark, sf_dir)
+    some = built.chunks.where(hybrid.filters(["CODEX", " claude"], None, F.to_timestamp(F.lit(_SINCE))) & F.col("project").isNotNull()).select("chunk_pk")
+    scores = built.bm25(views.queries(spark)).withColumn("score", F.round("score", 9))
+    return lexical.ranked(scores.join(some, "chunk_pk"), 10).select("query_id", "chunk_pk", "rank")
 
 
 @query(f"with {views.DOCS} select lower(project) as folded, arg_min(project, (n, project)) as spelling, sum(n)::bigint as documents from (select project, count(*) as n from docs where project is not null group by 1) group by 1")

@@ -318,17 +318,20 @@ _MD = """lower(coalesce(nullif(metadata['extension'], ''), regexp_extract(coales
 
 
 @query(
-    f"with {_VERSIONS} select row_id, source = 'projects' and {_MD} as markdown, coalesce(nullif(substr(trim(title, {_WS}), 1, 1000), ''), 'Untitled') as safe_title, "
-    "content_hash, length(body) as characters from versions"
+    f"with {_VERSIONS}, safe as (select *, trim({sql_redacted('body')}, {_WS}) as text from versions) select row_id, source = 'projects' and {_MD} as markdown, "
+    f"coalesce(nullif(substr({sql_redacted(f'trim(title, {_WS})')}, 1, 1000), ''), 'Untitled') as safe_title, {sql_redacted('source_key')} as safe_key, substr({sql_redacted('project')}, 1, 500) as safe_project, "
+    "sha256(text) as content_hash, length(text) as characters from safe where text <> ''"
 )
 def prepare_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions as the store takes them: cleaned title, hash, and whether headings count."""
+    """Versions as the store takes them: title, key, project and text without secrets, the hash of that text, and whether headings count."""
     suffix = F.regexp_extract(F.coalesce("title", F.lit("")), r"[^/.][^/]*(\.[^./]+)$", 1)
     extension = F.lower(F.coalesce(F.nullif(F.try_element_at("metadata", F.lit("extension")), F.lit("")), suffix))
-    title = F.coalesce(F.nullif(F.substring(strip(F.col("title")), 1, 1000), F.lit("")), F.lit("Untitled"))
-    return versions(spark, sf_dir).select(
+    title = F.coalesce(F.nullif(F.substring(redact.redact(strip(F.col("title"))), 1, 1000), F.lit("")), F.lit("Untitled"))
+    safe = versions(spark, sf_dir).withColumn("safe", strip(redact.redact(F.col("body")))).where("safe <> ''")
+    return safe.select(
         "row_id", ((F.col("source") == "projects") & extension.isin(".md", ".mdx", ".markdown")).alias("markdown"), title.alias("safe_title"),
-        "content_hash", F.length("body").alias("characters"),
+        redact.redact(F.col("source_key")).alias("safe_key"), F.substring(redact.redact(F.col("project")), 1, 500).alias("safe_project"),
+        F.sha2("safe", 256).alias("content_hash"), F.length("safe").alias("characters"),
     )
 
 
