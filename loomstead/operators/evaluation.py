@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Floors of the gate, and how much a metric may fall.
+CITATION = "loomstead://document/"
 FLOORS = {"recall_at_8": 1.0, "recall_at_20": 1.0, "mrr_at_8": 0.78, "ndcg_at_10": 0.83}
 TOLERANCE = 1e-6
 
@@ -68,15 +69,26 @@ def nearest_rank(column: str, share: float) -> Column:
 def canary_failures(expected: DataFrame, ranking: DataFrame) -> DataFrame:
     """(query_id, failures): what each case finds wrong with its ranking (query_id, document_id, position, source).
 
-    expected: query_id, document_id or null, baseline_rank, rank_tolerance, expected_empty, forbidden_source.
+    expected: query_id, document_id or null, baseline_rank, rank_tolerance, expected_empty, forbidden_source, and
+    optionally forbidden_document, project (all results must be of it), latency_ms and most_ms. The ranking optionally
+    has project, citation and taints.
     """
     want = ranking.select("query_id", "document_id", "position")
     found = expected.join(want, ["query_id", "document_id"], "left").select("query_id", "document_id", "position", *[c for c in expected.columns if c not in ("query_id", "document_id")])
+    more = [F.collect_set(c).alias(f"{c}s") for c in ("project",) if c in ranking.columns]
+    if "citation" in ranking.columns:
+        more.append(F.bool_and(F.coalesce(F.col("citation").startswith(CITATION), F.lit(False))).alias("cited"))
+    if "taints" in ranking.columns:
+        more.append(F.bool_and(F.coalesce(F.array_contains("taints", "untrusted_evidence"), F.lit(False))).alias("flagged"))
+    # A ranking has at most some twenty rows of a query.
     whole = ranking.groupBy("query_id").agg(
-        F.count("*").alias("results"), F.countDistinct("document_id").alias("distinct_results"), F.collect_set("source").alias("sources")
-    )
+        F.count("*").alias("results"), F.countDistinct("document_id").alias("distinct_results"), F.collect_set("source").alias("sources"),
+        F.collect_set("document_id").alias("documents"), *more,
+    )
     joined = found.join(whole, "query_id", "left")
     n = F.coalesce("results", F.lit(0))
+    has = lambda c: c in joined.columns
+    no = F.lit(None).cast("string")
     failures = F.array_compact(
         F.array(
             F.when(F.col("expected_empty") & (n > 0), "expected_empty"),
@@ -84,6 +96,11 @@ def canary_failures(expected: DataFrame, ranking: DataFrame) -> DataFrame:
             F.when(F.col("position") - F.col("baseline_rank") > F.col("rank_tolerance"), "rank_regression"),
             F.when(F.array_contains("sources", F.col("forbidden_source")), "forbidden_source_returned"),
             F.when(n != F.coalesce("distinct_results", F.lit(0)), "duplicate_documents"),
+            F.when(F.array_contains("documents", F.col("forbidden_document")), "forbidden_document_returned") if has("forbidden_document") else no,
+            F.when(F.size(F.array_except("projects", F.array("project"))) > 0, "project_leak") if has("project") and has("projects") else no,
+            F.when(~F.col("cited"), "citation_invalid") if has("cited") else no,
+            F.when(~F.col("flagged"), "trust_flag_missing") if has("flagged") else no,
+            F.when(F.col("latency_ms") > F.col("most_ms"), "latency_exceeded") if has("latency_ms") and has("most_ms") else no,
         )
     )
     return joined.select("query_id", F.array_join(failures, ",").alias("failures"))

@@ -12,11 +12,34 @@ FLOOR_FROM, FLOOR_RATIO = 10, 0.5
 KEY = ["source", "source_key"]
 
 
-def classify(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Add `status` to incoming (keys, content_hash): created, updated or unchanged."""
+def classify(incoming: DataFrame, stored: DataFrame, current: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Add `status` to incoming (keys, content_hash): created, updated or unchanged.
+
+    current: the keys of documents that have chunks, all of them of the present models; where given, others are updated
+    even if their hash is the same. force: nothing counts as unchanged.
+    """
     known = stored.select(*KEY, F.col("content_hash").alias("_known"))
-    status = F.when(F.col("_known").isNull(), "created").when(F.col("_known") != F.col("content_hash"), "updated").otherwise("unchanged")
-    return incoming.join(known, KEY, "left").withColumn("status", status).drop("_known")
+    both = incoming.join(known, KEY, "left")
+    stays = (F.col("_known") == F.col("content_hash")) & F.lit(not force)
+    if current is not None:
+        both = both.join(current.select(*KEY, F.lit(True).alias("_current")).distinct(), KEY, "left")
+        stays = stays & F.coalesce("_current", F.lit(False))
+    status = F.when(F.col("_known").isNull(), "created").when(F.coalesce(stays, F.lit(False)), "unchanged").otherwise("updated")
+    return both.withColumn("status", status).drop("_known", "_current")
+
+
+def current_documents(stored: DataFrame, chunks: DataFrame, model: str, dims: int) -> DataFrame:
+    """Keys of stored documents with at least one chunk and no chunk of another model or length."""
+    fits = (F.col("embedding_model") == model) & (F.col("embedding_dimensions") == dims)
+    whole = chunks.groupBy("document_id").agg(F.min(F.coalesce(fits, F.lit(False)).cast("int")).alias("fits")).where("fits = 1")
+    return stored.join(whole.select("document_id"), "document_id", "left_semi").select(*KEY)
+
+
+def replaced_chunks(old: DataFrame, new: DataFrame, updated: DataFrame) -> DataFrame:
+    """Chunks (document_id, ordinal) after the updated documents (document_id) got their new ones; ids depend on these two only."""
+    kept = old.select("document_id", "ordinal").distinct().join(updated, "document_id", "left_anti").withColumn("is_new", F.lit(False))
+    made = new.select("document_id", "ordinal").join(updated, "document_id", "left_semi").withColumn("is_new", F.lit(True))
+    return kept.unionByName(made).withColumn("chunk_id", stable_id("chk", F.col("document_id"), F.col("ordinal").cast("string")))
 
 
 def merge(incoming: DataFrame, stored: DataFrame) -> DataFrame:

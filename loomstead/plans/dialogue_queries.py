@@ -224,24 +224,29 @@ def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {_RANKING}, expected as (select query_id, (select min(document_id) from ranking r where r.query_id = q.query_id) as document_id, 1 as baseline_rank, 2 as rank_tolerance,
-   query_id = 2 as expected_empty, case when query_id = 3 then 'codex' else 'none' end as forbidden_source from (values (1), (2), (3), (4)) q(query_id)),
- counted as (select query_id, count(*) as n, count(distinct document_id) as nd, list(distinct source) as sources from ranking join docs using (document_id) group by 1)
+    f"""with {_RANKING}, written(query_id, word, forbidden_source, most_ms, latency_ms) as (values (1, 'stale lease', 'none', 1500, 900), (2, 'shared footer', 'none', 1500, 1600), (3, 'migration runner', 'codex', 1500, 20), (4, 'no such words', 'none', 1500, 20)),
+ expected as (select w.*, (select min(document_id) from docs d where contains(lower(d."text"), word)) as document_id, (select max(document_id) from docs d where contains(lower(d."text"), word)) as forbidden_document, 1 as baseline_rank, 2 as rank_tolerance, query_id = 4 as expected_empty from written w),
+ counted as (select query_id, count(*) as n, count(distinct document_id) as nd, list(distinct source) as sources, list(distinct document_id) as documents, list(distinct project) filter (project is not null) as projects from ranking join docs using (document_id) group by 1)
  select e.query_id, array_to_string(list_filter([case when expected_empty and coalesce(n, 0) > 0 then 'expected_empty' end,
    case when e.document_id is not null and r.position is null then 'expected_document_missing' end, case when r.position - baseline_rank > rank_tolerance then 'rank_regression' end,
-   case when list_contains(sources, forbidden_source) then 'forbidden_source_returned' end, case when coalesce(n, 0) <> coalesce(nd, 0) then 'duplicate_documents' end], lambda x: x is not null), ',') as failures
+   case when list_contains(sources, forbidden_source) then 'forbidden_source_returned' end, case when coalesce(n, 0) <> coalesce(nd, 0) then 'duplicate_documents' end,
+   case when list_contains(documents, forbidden_document) then 'forbidden_document_returned' end, case when len(list_filter(projects, lambda x: x <> 'harbor-console')) > 0 then 'project_leak' end,
+   case when latency_ms > most_ms then 'latency_exceeded' end], lambda x: x is not null), ',') as failures
  from expected e left join ranking r on r.query_id = e.query_id and r.document_id = e.document_id left join counted w on w.query_id = e.query_id"""
 )
 def canary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each canary finds wrong."""
-    of_document = views.indexed(spark, sf_dir).chunks.select("document_id", "source").distinct()
+    """What each canary finds wrong; what is expected comes from the texts, not from the ranking."""
+    of_document = views.indexed(spark, sf_dir).chunks.select("document_id", "source", "project").distinct()
     ranking = _ranking(spark, sf_dir).join(of_document, "document_id")
-    first = ranking.groupBy("query_id").agg(F.min("document_id").alias("document_id"))
-    cases = views.queries(spark).select("query_id").join(first, "query_id", "left").select(
-        "query_id", "document_id", F.lit(1).alias("baseline_rank"), F.lit(2).alias("rank_tolerance"), (F.col("query_id") == 2).alias("expected_empty"),
-        F.when(F.col("query_id") == 3, "codex").otherwise("none").alias("forbidden_source"),
-    )
-    return evaluation.canary_failures(cases, ranking)
+    ranking = ranking.withColumns({"citation": F.concat(F.lit(evaluation.CITATION), "document_id"), "taints": F.array(F.lit("untrusted_evidence"))})
+    written = [(1, "stale lease", "none", 1500, 900), (2, "shared footer", "none", 1500, 1600), (3, "migration runner", "codex", 1500, 20), (4, "no such words", "none", 1500, 20)]
+    cases = spark.createDataFrame(written, "query_id int, word string, forbidden_source string, most_ms int, latency_ms int")
+    held = views.docs(spark, sf_dir).select("document_id", F.lower("text").alias("text")).join(F.broadcast(cases.select("query_id", "word")), F.contains("text", F.col("word")))
+    ends = held.groupBy("query_id").agg(F.min("document_id").alias("document_id"), F.max("document_id").alias("forbidden_document"))
+    expected = cases.drop("word").join(ends, "query_id", "left").withColumns(
+        {"baseline_rank": F.lit(1), "rank_tolerance": F.lit(2), "expected_empty": F.col("query_id") == 4, "project": F.lit("harbor-console")}
+    )
+    return evaluation.canary_failures(expected, ranking)
 
 
 @query(

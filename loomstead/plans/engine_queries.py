@@ -268,3 +268,81 @@ def vector_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("document_id").isNull()).alias("no_document"), (F.count("*") - F.countDistinct("chunk_pk")).alias("repeated_keys"),
     )
     return counted.join(gaps, "embedding_model", "left")
+
+
+_CURRENT = f"""{store_queries._VERSIONS}, fit as (select document_id from chunk_vectors group by 1 having bool_and(coalesce(embedding_model = 'local/mini-embed-v2' and embedding_dimensions = 64, false))),
+ known as (select s.*, f.document_id is not null as fits from stored s left join fit f using (document_id)),
+ states as (select i.*, k.document_id, case when k.content_hash is null then 'created' when k.content_hash = i.content_hash and k.fits then 'unchanged' else 'updated' end as status from incoming i left join known k using (source, source_key))"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = store_queries.stored(spark, sf_dir)
+    current = store.current_documents(held, table(spark, sf_dir, "chunk_vectors"), "local/mini-embed-v2", 64)
+    states = store.classify(store_queries.incoming(spark, sf_dir), held, current)
+    return states.join(held.select(*store.KEY, "document_id"), store.KEY, "left")
+
+
+@query(f"with {_CURRENT} select source, source_key, status from states")
+def classify_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each incoming document does to the store, where chunks of another model are made anew."""
+    return _states(spark, sf_dir).select("source", "source_key", "status")
+
+
+@query(
+    f"""with {_CURRENT}, changed as (select document_id, row_id from states where status = 'updated'),
+ made as (select document_id, unnest(range(0, len(string_split_regex(body, '\n[ \t]*\n')))) as ordinal from changed join (select row_id, body from versions) using (row_id)),
+ kept as (select distinct document_id, ordinal::bigint as ordinal from chunk_vectors where document_id is null or document_id not in (select document_id from changed))
+ select document_id, ordinal, is_new, case when document_id is not null then 'chk_' || substr(sha256(document_id || chr(0) || coalesce(ordinal::varchar, '')), 1, 32) end as chunk_id from (
+   select document_id, ordinal, false as is_new from kept union all select document_id, ordinal, true from made) where document_id is not null and ordinal is not null"""
+)
+def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks after the updated documents' old ones have given way to the paragraphs of their new texts."""
+    updated = _states(spark, sf_dir).where("status = 'updated'")
+    texts = store_queries.versions(spark, sf_dir).select("row_id", "body").join(updated.select("row_id", "document_id"), "row_id")
+    new = texts.select("document_id", F.posexplode(F.split("body", r"\n[ \t]*\n")).alias("ordinal", "_part")).select("document_id", F.col("ordinal").cast("long").alias("ordinal"))
+    old = table(spark, sf_dir, "chunk_vectors").select("document_id", F.col("ordinal").cast("long").alias("ordinal")).where("document_id is not null and ordinal is not null")
+    return store.replaced_chunks(old, new, updated.select("document_id").distinct())
+
+
+_SCOPES = [
+    (1, "Harbor-Console", False, [], None), (2, None, True, ["aurora-api"], None), (3, None, False, ["aurora-api"], None), (4, None, False, ["Aurora-API", "nowhere"], None),
+    (5, None, False, ["aurora-api", "harbor-console"], "cinder-cli"), (6, None, False, [], "CINDER-CLI"), (7, None, False, ["nowhere"], None), (8, "unknown", True, [], None), (9, "unknown thing", False, [], "cinder-cli"),
+]
+_SCOPE_ROWS = ", ".join(f"({i}, {repr(p) if p else 'null'}, {str(g).lower()}, {r}::varchar[], {repr(c) if c else 'null'})" for i, p, g, r, c in _SCOPES)
+
+
+@query(
+    f"""with {views.DOCS}, known as (select lower(project) as folded, arg_min(project, (n, project)) as spelling from (select project, count(*) as n from docs where project is not null group by 1) group by 1),
+ r(id, project, everywhere, roots, cwd) as (values {_SCOPE_ROWS}),
+ rooted as (select id, count(distinct spelling) as n, min(spelling) as one from (select id, unnest(roots) as root from r) join known on folded = lower(root) group by 1)
+ select r.id, case when r.project is not null and everywhere then null when r.project is not null then coalesce(k.spelling, r.project) when everywhere then null when n = 1 then one when n > 1 then null else c.spelling end as scope,
+   case when r.project is not null and everywhere then 'error' when r.project is not null then 'explicit' when everywhere then 'global' when n = 1 then 'client_root' when n > 1 then 'ambiguous_roots' when c.spelling is not null then 'cwd' else 'global' end as origin
+ from r left join known k on k.folded = lower(r.project) left join rooted using (id) left join known c on c.folded = lower(r.cwd)"""
+)
+def search_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each request searches: its project, everywhere, the one project of its roots, that of its folder; a project and everywhere is an error."""
+    known = retrieval_queries.scope_projects(spark, sf_dir).select("folded", "spelling")
+    r = spark.createDataFrame(_SCOPES, "id int, project string, everywhere boolean, roots array<string>, cwd string")
+    rooted = r.select("id", F.explode("roots").alias("root")).join(known, F.lower("root") == F.col("folded")).groupBy("id").agg(F.countDistinct("spelling").alias("n"), F.min("spelling").alias("one"))
+    named = known.select(F.col("folded").alias("f1"), F.col("spelling").alias("s1"))
+    here = known.select(F.col("folded").alias("f2"), F.col("spelling").alias("s2"))
+    all_ = r.join(rooted, "id", "left").join(named, F.lower("project") == F.col("f1"), "left").join(here, F.lower("cwd") == F.col("f2"), "left")
+    explicit, both = F.col("project").isNotNull(), F.col("project").isNotNull() & F.col("everywhere")
+    scope = F.when(both, None).when(explicit, F.coalesce("s1", "project")).when(F.col("everywhere"), None).when(F.col("n") == 1, F.col("one")).when(F.col("n") > 1, None).otherwise(F.col("s2"))
+    origin = (
+        F.when(both, "error").when(explicit, "explicit").when(F.col("everywhere"), "global").when(F.col("n") == 1, "client_root")
+        .when(F.col("n") > 1, "ambiguous_roots").when(F.col("s2").isNotNull(), "cwd").otherwise("global")
+    )
+    return all_.select("id", scope.alias("scope"), origin.alias("origin"))
+
+
+@query(
+    f"with {store_queries._VERSIONS}, m as (select content_hash, min(row_id) as row_id, count(*) as deliveries from versions where kind = 'memory' group by 1) "
+    "select 'mem_' || substr(content_hash, 1, 32) as source_key, row_id, deliveries, content_hash in (select content_hash from stored where content_hash is not null) as held from m"
+)
+def saved_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories by their content, and whether the store holds that content already, so that it isn't saved again."""
+    v = store_queries.versions(spark, sf_dir).where("kind = 'memory'")
+    m = v.groupBy("content_hash").agg(F.min("row_id").alias("row_id"), F.count("*").alias("deliveries"))
+    held = store_queries.stored(spark, sf_dir).where("content_hash is not null").select("content_hash", F.lit(True).alias("held")).distinct()
+    return m.join(held, "content_hash", "left").select(F.concat(F.lit("mem_"), F.substring("content_hash", 1, 32)).alias("source_key"), "row_id", "deliveries", F.coalesce("held", F.lit(False)).alias("held"))
