@@ -7,6 +7,8 @@ split or hash a document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,13 @@ class Collection:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        #: Tables by name, whose files are listed once.
+        self._tables: dict[str, DataFrame] = {}
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}")
+        return self._tables[name]
 
     @classmethod
     def build(cls, chunks: DataFrame, folder: str) -> Collection:
@@ -44,23 +53,26 @@ class Collection:
 
     @property
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/chunks")
+        return self._table("chunks")
 
     @property
     def figures(self) -> DataFrame:
         """One row: n_chunks, avg_tokens."""
-        return self.spark.read.parquet(f"{self.folder}/figures")
+        return self._table("figures")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, chunk_pk, field, pos, n_tokens), all of them or those of some terms."""
-        rows = self.spark.read.parquet(f"{self.folder}/postings")
+        rows = self._table("postings")
         if terms is None:
             return rows
         named = [r.term for r in terms.select("term").distinct().limit(MOST_NAMED + 1).collect()]
         if len(named) > MOST_NAMED:
             return rows.join(terms.select("term", bucket(F.col("term")).alias("bucket")).distinct(), ["bucket", "term"], "left_semi")
-        within = [r[0] for r in self.spark.createDataFrame([(t,) for t in named], "term string").select(bucket(F.col("term"))).distinct().collect()]
-        return rows.where(F.col("bucket").isin(*within) & F.col("term").isin(*named)) if named else rows.limit(0)
+        if not named:
+            return rows.limit(0)
+        # Folded to constants by the planner, so that other buckets aren't listed.
+        within = F.array(*(bucket(F.lit(t)) for t in named))
+        return rows.where(F.array_contains(within, F.col("bucket")) & F.col("term").isin(*named))
 
     def hits(self, queries: DataFrame, only: Column | None = None) -> DataFrame:
         terms = lexical.query_terms(queries)
@@ -75,10 +87,9 @@ class Collection:
 _BUILT: dict[tuple[str, str, tuple], Collection] = {}
 
 
-def built(chunks: DataFrame, name: str, state: tuple) -> Collection:
+def built(spark: SparkSession, chunks: Callable[[], DataFrame], name: str, state: tuple) -> Collection:
     """The collection of a name, built once in a session for each state of its source."""
-    spark = chunks.sparkSession
     key = (spark.sparkContext.applicationId, name, state)
     if key not in _BUILT:
-        _BUILT[key] = Collection.build(chunks, temporary(spark, "collection"))
+        _BUILT[key] = Collection.build(chunks(), temporary(spark, "collection"))
     return _BUILT[key]

@@ -40,8 +40,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indexed(spark: SparkSession, sf_dir: str) -> collection.Collection:
     """The documents' chunks with their index, built when they are first searched and again when their files change."""
-    of_document = docs(spark, sf_dir).select("doc_id", "source", "project", "ts")
-    return collection.built(chunks(spark, sf_dir).join(of_document, "doc_id"), sf_dir, generation(spark, sf_dir, "documents"))
+
+    def rows() -> DataFrame:
+        return chunks(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id", "source", "project", "ts"), "doc_id")
+
+    return collection.built(spark, rows, sf_dir, generation(spark, sf_dir, "documents"))
 
 
 def generation(spark: SparkSession, sf_dir: str, name: str) -> tuple:
