@@ -70,7 +70,18 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = temporary(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a frame that write_once() gave, when nothing reads it any more; other frames stay as they are."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def temporary(spark: SparkSession, label: str) -> str:

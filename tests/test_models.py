@@ -85,3 +85,16 @@ def test_exact_topk_in_blocks(spark):
     by = hybrid.exact_topk(vectors, queries, 2, "label", block=5).groupBy("query_id", "label").count().collect()
     assert len(by) == 36 and {r["count"] for r in by} == {2}
     assert hybrid.exact_topk(vectors, queries.limit(0), 3).count() == 0
+
+
+def test_tables_are_discarded(spark):
+    import os
+
+    from loomstead.session import discard, write_once
+
+    df = write_once(spark.range(3), "some")
+    path = df._written_at.removeprefix("file:")
+    assert os.path.isdir(path)
+    discard(df)
+    discard(spark.range(2))
+    assert not os.path.isdir(path)
