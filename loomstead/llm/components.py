@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.session import write_once
+from loomstead.session import discard, write_once
 
 #: Rounds after which an unfinished run is an error; each round at least halves the longest chains.
 MOST_ROUNDS = 60
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             break
-        now = write_once(_star(_star(now, True), False), "edges")
+        now, before = write_once(_star(_star(now, True), False), "edges"), now
+        discard(before)
         new = print_of(now)
         if new == seen:
             break

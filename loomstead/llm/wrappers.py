@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.session import rows_known_below, spread, write_once
+from loomstead.session import discard, rows_known_below, spread, write_once
 
 #: Different pages of a host that a template needs, and in what share of the others a text of it stands.
 LEAST_PAGES, SHARE = 3, 0.8
@@ -343,7 +343,8 @@ def templates(df: DataFrame, text: str, host: str) -> DataFrame:
         best = write_once(best.agg(F.max_by("_id", F.struct("c", "_id")).alias("_id")), "best")
         references = best if references is None else references.unionByName(best)
         covered = left.join(best, ["_host", "_id"], "left_semi").select("_host", "key")
-        left = write_once(left.join(covered, ["_host", "key"], "left_anti"), "left")
+        left, before = write_once(left.join(covered, ["_host", "key"], "left_anti"), "left"), left
+        discard(before)
     if references is None:
         return none
     references = write_once(references.join(pages, ["_host", "_id"]).select("_host", F.col("_id").alias("_ref"), F.col("_page").alias("_first")), "references")
