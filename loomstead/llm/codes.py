@@ -137,11 +137,11 @@ class Index:
     trees: tuple[Tree, ...]
     inner: tuple[Rotation, ...] = ()
 
-    def cells(self, units: np.ndarray, salt: int) -> np.ndarray:
+    def cells(self, units: np.ndarray, salt: int, margins: np.ndarray | None = None) -> np.ndarray:
         """The cells of each vector, (n, slots): its own and probed ones of each table; unused slots are _NO_CELL."""
         deep = PROBES if self.inner else 1
         out = np.full((len(units), TABLES, PROBES, deep), _NO_CELL)
-        margins = self.rotation.margins(units)
+        margins = self.rotation.margins(units) if margins is None else margins
         for t, tree in enumerate(self.trees):
             for p, (code, there) in enumerate(_probed(margins[:, bit_order(t)], lambda c: tree.bits[_leaf(tree, c)])):
                 leaf = _leaf(tree, code)
@@ -315,17 +315,21 @@ class Cell:
 
         bits: codes of the rows, by which a large cell is probed; null compares all.
         """
-        narrow = self.units.astype(np.float32)
         blocks = self.blocks(bits)
+        # Rows in the order of their blocks, so that a block is a slice.
+        order = np.concatenate([rows for rows, _ in blocks])
+        narrow = self.units[order].astype(np.float32)
+        ends = np.cumsum([len(rows) for rows, _ in blocks]).tolist()
+        spans = [(end - len(rows), end, key) for (rows, key), end in zip(blocks, ends)]
         found = Best(len(self.ids), k + SPARE, least - 1e-5)
-        for n, (x, mine) in enumerate(blocks):
-            for y, theirs in blocks[n:]:
+        for n, (x, x_end, mine) in enumerate(spans):
+            for y, y_end, theirs in spans[n:]:
                 if (mine ^ theirs).bit_count() <= RADIUS:
-                    _compare(narrow, x, y, found)
+                    _compare(narrow, slice(x, x_end), slice(y, y_end), found)
         found.settle()
         a = np.repeat(np.arange(len(self.ids)), k + SPARE)
         b = found.other.ravel()
-        a, b = a[b >= 0], b[b >= 0]
+        a, b = order[a[b >= 0]], order[b[b >= 0]]
         cosine = np.round(np.einsum("nd,nd->n", self.units[a], self.units[b]), 6)
         a, b, cosine = a[cosine >= least], b[cosine >= least], cosine[cosine >= least]
         order = np.lexsort((self.ids[b], -cosine, a))
@@ -334,33 +338,34 @@ class Cell:
         return a[top], b[top], cosine[top]
 
 
-def _compare(narrow: np.ndarray, x: np.ndarray, y: np.ndarray, found: Best) -> None:
+def _compare(narrow: np.ndarray, x: slice, y: slice, found: Best) -> None:
     """All pairs of two blocks (or of one) that reach a row's bar."""
     cosines = narrow[x] @ narrow[y].T
-    own = x is y
+    own = x == y
     if own:
         np.fill_diagonal(cosines, -2.0)
-    bars, wide = (found.bar[x], found.bar[y]), cosines.shape[1]
-    # While no row is full, one look serves both.
-    same = own or (bars[0].max() <= found.least and bars[1].max() <= found.least)
-    for side in (0,) if same else (0, 1):
-        rows, others = (x, y) if not side else (y, x)
-        at = np.flatnonzero((cosines >= (bars[0][:, None] if not side else bars[1][None, :])).ravel())
-        if len(at) > 32 * (len(x) + len(y)) and len(others) > found.k:
+    wide = cosines.shape[1]
+    # While no row is full, one look serves both sides.
+    open_ = found.bar[x].max() <= found.least and found.bar[y].max() <= found.least
+    for side in (0,) if open_ or own else (0, 1):
+        bar = found.least if open_ else found.bar[y] if side else found.bar[x][:, None]
+        at = np.flatnonzero((cosines >= bar).ravel())
+        if len(at) > 32 * sum(cosines.shape) and min(cosines.shape) > found.k:
             # Rows with many: the best of each first, so that no more than these wait.
-            for one, two, values in ((x, y, cosines), (y, x, cosines.T)) if same and not own else ((rows, others, cosines.T if side else cosines),):
-                near = np.argpartition(-values, min(found.k, len(two)) - 1, axis=1)[:, : found.k]
+            sides = ((x, y, cosines), (y, x, cosines.T))
+            for one, two, values in sides[:1] if own else sides if open_ else sides[side : side + 1]:
+                near = np.argpartition(-values, found.k - 1, axis=1)[:, : found.k]
                 best = np.take_along_axis(values, near, 1)
                 i, j = np.nonzero(best >= found.bar[one][:, None])
-                found.add(one[i], two[near[i, j]], best[i, j])
+                found.add(one.start + i, two.start + near[i, j], best[i, j])
             found.settle()
         elif len(at):
-            i, j = at // wide, at % wide
+            i, j = x.start + at // wide, y.start + at % wide
             value = cosines.ravel()[at]
             if not side:
-                found.add(x[i], y[j], value)
-            if side or same and not own:
-                found.add(y[j], x[i], value)
+                found.add(i, j, value)
+            if side or open_ and not own:
+                found.add(j, i, value)
 
 
 def meets_first(mine: np.ndarray, theirs: np.ndarray, here: int) -> np.ndarray:

@@ -213,8 +213,9 @@ def similar_pairs(
         model, log = int(head["model"][0]), int(head["log"][0])
         if log:
             index = _index(plan, model, log, held.units.shape[1])
-            a, b, cosine = held.best(k, least, index.rotation.bits(held.units) if len(held.ids) > codes.SMALL else None)
-            cells = index.cells(held.units, model)
+            margins = index.rotation.margins(held.units)
+            a, b, cosine = held.best(k, least, margins > 0)
+            cells = index.cells(held.units, model, margins)
             # Which of its like a near copy takes may differ from cell to cell, so these pairs are given out by each.
             once = meets_first(cells[a], cells[b], here) | (cosine > ALIKE)
             a, b, cosine = a[once], b[once], cosine[once]
