@@ -82,11 +82,10 @@ def _best_of_tasks(rows: DataFrame, asked: list[tuple], k: int, by: str | None,
                     own = np.flatnonzero([x == value for x in values[which]])
                     made += ((*r, value) for r in best(ids, scores[:, own], keys[which[own]]))
             if made:
-                fields = rows_schema
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), fields)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names)
 
     spark = rows.sparkSession
-    rows_schema = [f.type for f in spark.createDataFrame([], schema).toArrow().schema]
+    types = [f.type for f in spark.createDataFrame([], schema).toArrow().schema]
     return rows.mapInArrow(run, schema)
 
 

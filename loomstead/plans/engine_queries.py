@@ -346,3 +346,26 @@ def saved_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = v.groupBy("content_hash").agg(F.min("row_id").alias("row_id"), F.count("*").alias("deliveries"))
     held = store_queries.stored(spark, sf_dir).where("content_hash is not null").select("content_hash", F.lit(True).alias("held")).distinct()
     return m.join(held, "content_hash", "left").select(F.concat(F.lit("mem_"), F.substring("content_hash", 1, 32)).alias("source_key"), "row_id", "deliveries", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+@query(
+    """with sized as (select chunk_pk, embedding_model, source, embedding, list_sum(list_transform(embedding, lambda x: x::double * x::double)) as size from chunk_vectors
+   where embedding is not null and len(embedding) = embedding_dimensions and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ v as (select chunk_pk, embedding_model, source, list_transform(embedding, lambda x: x::double / sqrt(size)) as unit from sized where size > 0)
+ select q.chunk_pk as query_id, v.chunk_pk, row_number() over (partition by q.chunk_pk order by round(list_sum(list_transform(list_zip(q.unit, v.unit), lambda x: x[1] * x[2])), 9) desc, v.chunk_pk desc) as rank
+ from v, v q where q.chunk_pk % 50 = 0 and q.embedding_model = v.embedding_model and v.source in ('codex', 'claude', 'projects') qualify rank <= 10"""
+)
+def chunk_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten chunks of three sources nearest to every chunk whose key is divisible by 50, by cosine, within its model.
+
+    Vectors that aren't usable (null, of another length than stated, not finite, zero) neither ask nor are found.
+    """
+    v = table(spark, sf_dir, "chunk_vectors").where(F.col("embedding").isNotNull() & (F.size("embedding") == F.col("embedding_dimensions")) & (F.size("embedding") > 0))
+    v = v.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    size = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    v = v.withColumn("_size", size).where("_size > 0")
+    v = v.select("chunk_pk", "embedding_model", "source", F.transform("embedding", lambda x: x.cast("double") / F.sqrt("_size")).alias("embedding"))
+    asked = v.where("chunk_pk % 50 = 0").select(F.col("chunk_pk").alias("query_id"), F.col("embedding").alias("vector"), F.col("embedding_model").alias("own"))
+    some = v.where(hybrid.filters(["codex", "claude", "projects"]))
+    top = hybrid.exact_topk(some, asked, 10, "embedding_model")
+    return top.join(asked.select("query_id", F.col("own").alias("embedding_model")), ["query_id", "embedding_model"]).select("query_id", "chunk_pk", "rank")
