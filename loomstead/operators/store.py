@@ -152,3 +152,27 @@ def missing_receipts(artifacts: DataFrame, receipts: DataFrame) -> DataFrame:
     gone = artifacts.join(active, ["artifact_type", "artifact_id"], "left_anti")
     fields = [F.col(c) for c in ("artifact_type", "artifact_id", "content_hash", "producer", "producer_version")]
     return gone.withColumn("receipt_id", stable_id("rcpt", *fields))
+
+
+def attempt_states(attempts: DataFrame, unit: list[str], at: list[str]) -> DataFrame:
+    """The state of each unit after its attempts: (unit, state, attempts, last_at, last_success, last_error).
+
+    attempts: the unit, the columns `at` in whose order they happened (the first is their time), outcome (null while it
+    runs), blocked, error. A blocked unit is policy_blocked; else its last attempt decides: pending, ready or failed. The
+    last success and the last error stay known through later attempts.
+    """
+    order = F.struct(*at)
+    got = attempts.groupBy(*unit).agg(
+        F.count("*").alias("attempts"), F.max(at[0]).alias("last_at"), F.max(F.when(F.col("outcome"), F.col(at[0]))).alias("last_success"),
+        F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("last_error"), F.bool_or("blocked").alias("blocked"),
+        F.max_by(F.coalesce(F.when(F.col("outcome"), "ready").when(~F.col("outcome"), "failed"), F.lit("pending")), order).alias("last"),
+    )
+    return got.select(*unit, F.when(F.col("blocked"), "policy_blocked").otherwise(F.col("last")).alias("state"), "attempts", "last_at", "last_success", "last_error")
+
+
+def rollup(states: DataFrame, group: list[str]) -> DataFrame:
+    """Of each group its units by state, and its status: ready if all are, partial if some are, else failed."""
+    n = lambda state: F.count_if(F.col("state") == state).alias(state)
+    got = states.groupBy(*group).agg(F.count("*").alias("units"), n("ready"), n("failed"), n("pending"), n("policy_blocked"))
+    status = F.when(F.col("ready") == F.col("units"), "ready").when(F.col("ready") > 0, "partial").otherwise("failed")
+    return got.withColumn("status", status)

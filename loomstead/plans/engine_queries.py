@@ -369,3 +369,35 @@ def chunk_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = v.where(hybrid.filters(["codex", "claude", "projects"]))
     top = hybrid.exact_topk(some, asked, 10, "embedding_model")
     return top.join(asked.select("query_id", F.col("own").alias("embedding_model")), ["query_id", "embedding_model"]).select("query_id", "chunk_pk", "rank")
+
+
+_ATTEMPTS = """a as (select distinct source, run_id % 7 as unit, run_id, started_at, successful, error, source = 'grok' and run_id % 7 = 3 as blocked from scan_runs where started_at is not null and run_id is not null),
+ got as (select source, unit, count(*) as attempts, max(started_at) as last_at, max(started_at) filter (successful) as last_success,
+   arg_max(error, (started_at, run_id)) filter (error is not null) as last_error, bool_or(blocked) as blocked,
+   arg_max(case when successful then 'ready' when not successful then 'failed' else 'pending' end, (started_at, run_id)) as last from a group by 1, 2),
+ units as (select *, case when blocked then 'policy_blocked' else last end as state from got)"""
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs as attempts at seven units of each source, one of which may not be sent anywhere."""
+    r = table(spark, sf_dir, "scan_runs").where("started_at is not null and run_id is not null")
+    r = r.select("source", (F.col("run_id") % 7).alias("unit"), "run_id", "started_at", F.col("successful").alias("outcome"), "error").distinct()
+    r = r.withColumn("blocked", F.coalesce((F.col("source") == "grok") & (F.col("unit") == 3), F.lit(False)))
+    return store.attempt_states(r, ["source", "unit"], ["started_at", "run_id"])
+
+
+@query(f"with {_ATTEMPTS} select source, unit, state, attempts, epoch_us(last_at) as last_us, epoch_us(last_success) as success_us, last_error from units")
+def unit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each unit after all attempts at it."""
+    return _attempts(spark, sf_dir).select(
+        "source", "unit", "state", "attempts", F.unix_micros("last_at").alias("last_us"), F.unix_micros("last_success").alias("success_us"), "last_error"
+    )
+
+
+@query(
+    f"with {_ATTEMPTS}, n as (select source, count(*) as units, count(*) filter (state = 'ready') as ready, count(*) filter (state = 'failed') as failed, count(*) filter (state = 'pending') as pending, "
+    "count(*) filter (state = 'policy_blocked') as policy_blocked from units group by 1) select *, case when ready = units then 'ready' when ready > 0 then 'partial' else 'failed' end as status from n"
+)
+def unit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's units by state, and its status."""
+    return store.rollup(_attempts(spark, sf_dir), ["source"])
