@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions import redact
@@ -401,3 +401,36 @@ def unit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's units by state, and its status."""
     return store.rollup(_attempts(spark, sf_dir), ["source"])
+
+
+_COHORT = """cohort as (select doc_id, document_id, title, source from docs where source in ('hermes', 'claude', 'codex', 'grok') qualify row_number() over (partition by source order by sha256(document_id), document_id) <= 5),
+ queries as (select doc_id as query_id, title as query from cohort)"""
+_SELF = views.BM25.replace(f"queries(query_id, query) as (values {views.QUERY_SQL})", _COHORT)
+
+
+@query(
+    f"""with {_SELF}, per as (select query_id, document_id, max(round(score, 9)) as score from scores join chunks using (chunk_pk) group by all),
+ own as (select c.doc_id as query_id, c.document_id, c.source, score from cohort c left join per p on p.query_id = c.doc_id and p.document_id = c.document_id),
+ better as (select o.query_id, count(*) as every, count(*) filter (d.source = o.source) as scoped from own o join per p on p.query_id = o.query_id and (p.score > o.score or p.score = o.score and p.document_id < o.document_id)
+   join docs d on d.document_id = p.document_id group by 1)
+ select document_id, case when score is not null then 1 + coalesce(every, 0) end as rank_everywhere, case when score is not null then 1 + coalesce(scoped, 0) end as rank_in_source from own left join better using (query_id)"""
+)
+def self_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the title of each of five dialogues of a source finds its own document, among all and within the source."""
+    d = views.docs(spark, sf_dir).where("source in ('hermes', 'claude', 'codex', 'grok')").select("doc_id", "document_id", "title", "source")
+    order = Window.partitionBy("source").orderBy(F.sha2("document_id", 256), "document_id")
+    # At most five of four sources.
+    cohort = write_once(d.withColumn("_n", F.row_number().over(order)).where("_n <= 5").drop("_n"), "cohort")
+    built = views.indexed(spark, sf_dir)
+    scores = built.bm25(cohort.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))).withColumn("score", F.round("score", 9))
+    of_document = built.chunks.select("chunk_pk", F.col("document_id").alias("found"), F.col("source").alias("found_source"))
+    per = scores.join(of_document, "chunk_pk").groupBy("query_id", "found", "found_source").agg(F.max("score").alias("score"))
+    asked = F.broadcast(cohort.select(F.col("doc_id").alias("query_id"), "document_id", "source"))
+    known = write_once(per.join(asked, "query_id"), "found")
+    own = known.where("found = document_id").select("query_id", F.col("score").alias("own"))
+    ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("found") < F.col("document_id")))
+    # Counted, not sorted: a query may match any number of documents.
+    better = known.join(F.broadcast(own), "query_id").groupBy("query_id").agg(
+        F.count_if(ahead).alias("every"), F.count_if(ahead & (F.col("found_source") == F.col("source"))).alias("scoped")
+    )
+    return cohort.join(better, F.col("doc_id") == F.col("query_id"), "left").select("document_id", (F.col("every") + 1).alias("rank_everywhere"), (F.col("scoped") + 1).alias("rank_in_source"))
